@@ -1,0 +1,59 @@
+"""Splitting of keys that hold too many rows for one task.
+
+The ordered operators work inside ``(key, part)``. Most keys have a single part, 0. A key with
+more than ``max_rows`` rows is cut along its order column into several parts, and the operators
+carry what must cross a cut in a summary with one row per part. Results never depend on the cuts.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PART = "_part"
+CUT = "_cut"
+MAX_ROWS = 1_000_000
+MAX_HOT = 10_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS,
+             min_width: float = 0.0) -> DataFrame:
+    """Start and width of the parts of the largest keys; at most ``MAX_HOT`` rows, so that it can
+    be broadcast. Keys beyond that many hold less than one ten-thousandth of the rows each."""
+    stats = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(order).cast("double").alias("_low"),
+        F.max(order).cast("double").alias("_high"),
+    )
+    width = (F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / max_rows)
+    return (
+        stats.where(F.col("_n") > max_rows)
+        .orderBy(F.col("_n").desc(), *keys)
+        .limit(MAX_HOT)
+        .select(*keys, "_low", F.greatest(width, F.lit(float(min_width)), F.lit(1e-9)).alias("_width"))
+    )
+
+
+def with_parts(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS,
+               min_width: float = 0.0) -> DataFrame:
+    """Add the part number of every row, and whether its key is cut at all."""
+    hot = hot_keys(df, keys, order, max_rows, min_width)
+    part = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
+    return (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn(PART, F.coalesce(part, F.lit(0)).cast("long"))
+        .withColumn(CUT, F.col("_width").isNotNull())
+        .drop("_low", "_width")
+    )
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
+                salts: int = 16, spread: Column | None = None) -> DataFrame:
+    """Equi join whose big side may hold many rows of one key.
+
+    The rows of a key are spread over ``salts`` tasks; the small side, unique on the keys, is
+    repeated that often. Inner, left, semi and anti joins keep their meaning.
+    """
+    spread = F.xxhash64(*big.columns) if spread is None else spread
+    left = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
