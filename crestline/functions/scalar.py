@@ -174,7 +174,6 @@ def ticks_of(ms: Column, bpm: Column) -> Column:
 def note_number(text: Column) -> Column:
     """``A1`` -> 33, ``C#2`` -> 37, digits 0..127 as they are, anything else NULL."""
     plain = F.trim(text)
-    digits = F.when(plain.rlike("^[0-9]+$"), F.expr("null").cast("int"))
     as_number = plain.try_cast("int")
     letter = F.upper(F.regexp_extract(plain, "^([A-Ga-g])([#b]?)(-?[0-9])$", 1))
     sign = F.regexp_extract(plain, "^([A-Ga-g])([#b]?)(-?[0-9])$", 2)
@@ -200,7 +199,7 @@ def reasons(type_: Column, start: Column, end: Column, scores: Column, has_chann
     """Type sentence, interval sentence, the three best dimensions, missing-channel note."""
     entries = F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
     best = F.slice(F.sort_array(entries), 1, 3)
-    named = F.transform(best, lambda e: F.concat(e["k"], F.lit("="), F.format_string("%.2f", -e["v"])))
+    named = F.transform(best, lambda e: F.concat(e["k"], F.lit("="), F.format_string("%.2f", round_to(-e["v"], 2))))
     return F.array_compact(F.array(
         F.concat(F.lit("type "), type_),
         F.format_string("window %.1f-%.1f", start, end),

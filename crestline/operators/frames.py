@@ -13,13 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, round_to
+from .grid import WINDOW_MIN, usable_sizes, window_interval
 
 
-def frames(points: DataFrame, keys: list[str], t: str, value: str, width: float, bin_: str = "bin") -> DataFrame:
-    """Count, sum, sum of squares and peak per bin of ``width``."""
+def frames(points: DataFrame, keys: list[str], t: str, value: str, width: float,
+           channel: str | None = None, channels: tuple[str, ...] = ()) -> DataFrame:
+    """Count, sum, sum of squares and peak per bin of ``width``; with ``channels`` also the sum of
+    squares of each channel."""
     v = F.col(value)
-    return points.groupBy(*keys, F.floor(F.col(t) / width).alias(bin_)).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.max(F.abs(v)).alias("peak"))
+    extra = [F.sum(F.when(F.col(channel) == c, v * v).otherwise(0.0)).alias(f"{c}_s2") for c in channels]
+    return points.groupBy(*keys, F.floor(F.col(t) / width).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"),
+        F.max(F.abs(v)).alias("peak"), *extra)
 
 
 def rms(sum_squares: Column, n: Column) -> Column:
@@ -43,42 +48,44 @@ def deviation(n: Column, s1: Column, s2: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(s2, n) - mean * mean))
 
 
-def covering(frames_: DataFrame, at: str, sizes: list[float], last: dict[float, Column] | None = None) -> DataFrame:
-    """Repeat every frame for the half-overlapping windows that cover it (two per size)."""
-    options = []
-    for size in sizes:
-        hop = size / 2.0
-        cell = F.floor(F.col(at) / hop)
-        options += [F.struct(F.lit(float(size)).alias("size"), cell.alias("index")),
-                    F.struct(F.lit(float(size)).alias("size"), (cell - 1).alias("index"))]
-    return frames_.withColumn("_w", F.explode(F.array(*options))).where("_w.index >= 0").select(
-        *frames_.columns, "_w.size", "_w.index")
+def covering(frames_: DataFrame, at: str, duration: str, sizes: Column, shortest: float = WINDOW_MIN) -> DataFrame:
+    """Repeat every frame for the half-overlapping windows that cover it: two per size, and only
+    windows that ``grid.multires_windows`` generates for the same duration and sizes."""
+    size, cell = F.col("size"), F.floor(F.col(at) / (F.col("size") / 2.0))
+    spread = frames_.withColumn("size", F.explode(usable_sizes(sizes, F.col(duration), shortest)))
+    spread = spread.withColumn("index", F.explode(F.array(cell, cell - 1)))
+    last = F.floor((F.col(duration) - size + 1e-6) / (size / 2.0))
+    return spread.where((F.col("index") >= 0) & (F.col("index") <= last) & (F.col(at) < F.col("index") * (size / 2.0) + size))
 
 
-def window_features(frames_: DataFrame, key: str, windows: DataFrame, sizes: list[float],
-                    width: float = 1.0, active: float = 0.4) -> DataFrame:
-    """Energy features of fixed-size windows over frames with columns ``bin, n, s2, peak``.
+def window_features(frames_: DataFrame, key: str, sizes: Column, width: float = 1.0,
+                    active: float = 0.4, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Energy features of half-overlapping windows over frames with columns ``bin, n, s1, s2, peak``.
 
-    ``windows`` (key, size, index, start, end) gives the windows that exist; a window without any
-    frame is left out.
+    The duration of a series is the end of its last frame. It is found by a window on the series,
+    and that partitioning also serves the grouping by window, so frames are shuffled once. Windows
+    without a frame are left out. ``_levels`` holds at most ``size / width`` numbers.
     """
-    leveled = frames_.withColumn("at", F.col("bin") * width).withColumn("level", rms(F.col("s2"), F.col("n")))
-    spread = covering(leveled, "at", sizes)
-    grouped = spread.groupBy(key, "size", "index").agg(
-        F.sum("n").alias("points"), F.sum("s2").alias("energy"), F.max("peak").alias("peak"),
-        F.count(F.lit(1)).alias("frames"), F.sum("level").alias("l1"), F.sum(F.col("level") * F.col("level")).alias("l2"),
-        F.max("level").alias("top"), F.collect_list("level").alias("levels"))
-    cells = F.lit(1.0) * F.col("size") / width
-    loud = F.size(F.filter("levels", lambda x: x > active * F.col("top"))) / cells
+    leveled = frames_.select(
+        "*", ((F.max("bin").over(Window.partitionBy(key)) + 1) * width).cast("double").alias("duration"),
+        (F.col("bin") * width).alias("_at"), rms(F.col("s2"), F.col("n")).alias("_level"))
+    grouped = covering(leveled, "_at", "duration", sizes).groupBy(key, "size", "index").agg(
+        F.first("duration").alias("duration"),
+        F.sum("n").alias("points"), F.sum("s1").alias("total"), F.sum("s2").alias("energy"), F.max("peak").alias("peak"),
+        F.count(F.lit(1)).alias("frames"), F.sum("_level").alias("_l1"), F.sum(F.col("_level") * F.col("_level")).alias("_l2"),
+        F.max("_level").alias("_top"), F.collect_list("_level").alias("_levels"),
+        *[F.sum(c).alias(c) for c in sums])
+    cells = F.col("size") / width
+    loud = F.size(F.filter("_levels", lambda x: x > active * F.col("_top"))) / cells
     level = rms(F.col("energy"), F.col("points"))
-    featured = grouped.select(
-        key, "size", "index", "points", "frames", "peak",
-        level.alias("rms"),
-        stability(F.col("l1") / cells, deviation(cells, F.col("l1"), F.col("l2"))).alias("stability"),
+    start, end = window_interval(F.col("index"), F.col("size"), F.col("duration"))
+    return grouped.select(
+        key, "size", "index", "duration", start.alias("start"), end.alias("end"),
+        "points", "frames", "total", "energy", "peak", *sums, level.alias("rms"),
+        stability(F.col("_l1") / cells, deviation(cells, F.col("_l1"), F.col("_l2"))).alias("stability"),
         crest(F.col("peak"), level).alias("crest"),
         (1.0 - loud).alias("headroom"),
     )
-    return windows.join(featured, [key, "size", "index"])
 
 
 def space(headroom: Column, crest_: Column) -> Column:

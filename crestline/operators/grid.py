@@ -33,24 +33,31 @@ def tempo_sizes(tempo: Column, longest: float = WINDOW_MAX) -> Column:
     return F.when(known, bars).otherwise(F.array(*[F.lit(s) for s in PHRASE_SIZES]))
 
 
+def usable_sizes(sizes: Column, duration: Column, shortest: float = WINDOW_MIN) -> Column:
+    """Sizes above the duration shrink to it; too short and repeated ones go."""
+    fitted = F.transform(sizes, lambda w: F.least(w, duration.cast("double")))
+    return F.when(duration >= shortest, F.array_distinct(F.filter(fitted, lambda w: w >= shortest - 1e-6)))
+
+
+def window_interval(index: Column, size: Column, duration: Column) -> tuple[Column, Column]:
+    start = index * (size / 2.0)
+    return round_to(start, 3), round_to(F.least(start + size, duration.cast("double")), 3)
+
+
 def multires_windows(spans: DataFrame, key: str, duration: str, sizes: Column,
                      shortest: float = WINDOW_MIN, bar: Column | None = None) -> DataFrame:
     """Half-overlapping windows of several sizes over ``[0, duration)`` of every series.
 
-    A size above the duration shrinks to the duration; sizes below ``shortest`` and repeated
-    windows are dropped. Windows come from one generated sequence per size; the only shuffle is
-    the one that removes repeated sizes, which are removed in the array, so there is none.
+    Windows come from one generated sequence per size, and repeated sizes are removed in the
+    array, so nothing is shuffled.
     """
-    fitted = F.transform(sizes, lambda w: F.least(w, F.col(duration).cast("double")))
-    usable = F.array_distinct(F.filter(fitted, lambda w: w >= shortest - 1e-6))
-    last = F.floor((F.col(duration) - F.col("size") + 1e-6) / (F.col("size") / 2.0)).cast("long")
-    start = F.col("index") * (F.col("size") / 2.0)
+    size = F.col("size")
+    last = F.floor((F.col(duration) - size + 1e-6) / (size / 2.0)).cast("long")
+    start, end = window_interval(F.col("index"), size, F.col(duration))
     windows = (
-        spans.where(F.col(duration) >= shortest)
-        .withColumn("size", F.explode(usable))
+        spans.withColumn("size", F.explode(usable_sizes(sizes, F.col(duration), shortest)))
         .withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .withColumn("start", round_to(start, 3))
-        .withColumn("end", round_to(F.least(start + F.col("size"), F.col(duration).cast("double")), 3))
+        .withColumns({"start": start, "end": end})
         .where(F.col("end") - F.col("start") >= shortest - 1e-6)
     )
     bars = F.lit(None).cast("double") if bar is None else round_to((F.col("end") - F.col("start")) / bar, 2)

@@ -14,7 +14,7 @@ def _over(keys: list[str], order: list[Column]) -> Window:
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-              ahead: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+              ahead: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Values of the previous (or next) row of the key; ``values`` maps new names to columns.
 
     ``order`` starts with a numeric column and must be unique inside a key.
@@ -24,6 +24,8 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str
     w = _over(keys, [F.col(c) for c in order])
     local = parted.withColumn("_near", (F.lead if ahead else F.lag)(packed).over(w))
     pick = F.min_by if ahead else F.max_by
+    if max_rows is None:
+        return local.select(*df.columns, *[F.col(f"_near.{n}").alias(n) for n in values])
     edges = parted.where(CUT).groupBy(*keys, PART).agg(pick(packed, F.struct(*order)).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy(PART)
     carried = edges.select(*keys, PART, (F.lead if ahead else F.lag)("_edge").over(across).alias("_far"))
@@ -34,13 +36,15 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-               inclusive: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+               inclusive: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the key (0 for the first row)."""
     parted = with_parts(df, keys, order[0], max_rows)
     parted = parted.withColumn("_v", value)
     w = _over(keys, [F.col(c) for c in order])
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = parted.withColumn("_local", F.sum("_v").over(frame))
+    if max_rows is None:
+        return local.select(*df.columns, F.coalesce(F.col("_local"), F.lit(0)).alias(name))
     sums = parted.where(CUT).groupBy(*keys, PART).agg(F.sum("_v").alias("_sum"))
     across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, PART, F.sum("_sum").over(across).alias("_before"))
@@ -51,14 +55,14 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str,
-            max_rows: int = MAX_ROWS) -> DataFrame:
+            max_rows: int | None = MAX_ROWS) -> DataFrame:
     """1-based position of every row inside its key."""
     return prefix_sum(df, keys, order, F.lit(1).cast("long"), name, inclusive=True, max_rows=max_rows)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
           earlier: str | None = None, later: str | None = None,
-          max_rows: int = MAX_ROWS) -> DataFrame:
+          max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Nearest right time at or before (``earlier``) and at or after (``later``) each left row.
 
     Both sides go through one shuffle; the last and first right time of each part are carried
@@ -70,13 +74,6 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
     both = with_parts(l.unionByName(r, allowMissingColumns=True), keys, "_t", max_rows)
     mark = F.when(F.col("_is") == 0, F.col("_t"))
     w = Window.partitionBy(*keys, PART).orderBy("_t")
-    bounds = both.where(CUT).groupBy(*keys, PART).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
-    across = Window.partitionBy(*keys).orderBy(PART)
-    carried = bounds.select(
-        *keys, PART,
-        F.max("_hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-        F.min("_lo").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
-    ).where("_prev is not null or _next is not null")
     out = both
     if earlier:
         frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,7 +81,18 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
     if later:
         frame = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
         out = out.withColumn("_after", F.min(mark).over(frame))
-    out = out.where("_is = 1").join(carried, [*keys, PART], "left")
+    out = out.where("_is = 1")
+    if max_rows is None:
+        out = out.withColumn("_prev", F.lit(None).cast("double")).withColumn("_next", F.lit(None).cast("double"))
+    else:
+        bounds = both.where(CUT).groupBy(*keys, PART).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
+        across = Window.partitionBy(*keys).orderBy(PART)
+        carried = bounds.select(
+            *keys, PART,
+            F.max("_hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
+            F.min("_lo").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        ).where("_prev is not null or _next is not null")
+        out = out.join(carried, [*keys, PART], "left")
     found = []
     if earlier:
         found.append(F.coalesce("_before", "_prev").alias(earlier))
@@ -94,7 +102,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str, name: str,
-            max_rows: int = MAX_ROWS) -> DataFrame:
+            max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Closest right time of the key; of two equally close ones the earlier. NULL without any."""
     both = as_of(left, right, keys, t, at, "_early", "_late", max_rows=max_rows)
     closer_late = F.col("_early").isNull() | (F.col("_late") - F.col(t) < F.col(t) - F.col("_early"))
@@ -103,7 +111,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
 
 
 def first_inside(windows: DataFrame, bounds: DataFrame, keys: list[str], at: str, name: str,
-                 eps: float = 1e-6, max_rows: int = MAX_ROWS) -> DataFrame:
+                 eps: float = 1e-6, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """First boundary strictly inside ``(start+eps, end-eps)``: the first one after the start,
     if it comes before the end. No range join is needed."""
     shifted = windows.withColumn("_from", F.col("start").cast("double") + eps)
@@ -112,8 +120,25 @@ def first_inside(windows: DataFrame, bounds: DataFrame, keys: list[str], at: str
     return found.select(*windows.columns, inside.alias(name))
 
 
+def with_bounds(df: DataFrame, bounds: DataFrame, key: str, at: str, name: str = "bounds") -> DataFrame:
+    """The sorted boundaries of a row's series as an array, for series with few boundaries; a
+    series with very many is served by ``as_of``."""
+    few = bounds.groupBy(key).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias(name))
+    return df.join(few, key, "left")
+
+
+def inside_of(bounds: Column, start: Column, end: Column, eps: float = 1e-6) -> Column:
+    """First boundary strictly inside an interval, NULL without one."""
+    return F.array_min(F.filter(bounds, lambda b: (b > start + eps) & (b < end - eps)))
+
+
+def closest_of(bounds: Column, t: Column) -> Column:
+    """Closest boundary; of two equally close ones the earlier."""
+    return F.array_min(F.transform(bounds, lambda b: F.struct(F.abs(t - b).alias("far"), b.alias("at"))))["at"]
+
+
 def state_changes(df: DataFrame, keys: list[str], order: list[str], state: Column, width: float,
-                  name: str = "bound", max_rows: int = MAX_ROWS) -> DataFrame:
+                  name: str = "bound", max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Times where a boolean state flips (it starts as false), plus a closing time ``width``
     after the last row of a key that ends in the true state."""
     t = order[0]
@@ -126,7 +151,7 @@ def state_changes(df: DataFrame, keys: list[str], order: list[str], state: Colum
 
 
 def segments(df: DataFrame, keys: list[str], order: list[str], longest: float, shortest: float,
-             duration: str, max_rows: int = MAX_ROWS) -> DataFrame:
+             duration: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """From each point to the next one, at most ``longest`` and at least ``shortest`` long."""
     t = order[0]
     ahead = neighbour(df, keys, order, {"_next": t}, ahead=True, max_rows=max_rows)
@@ -136,7 +161,7 @@ def segments(df: DataFrame, keys: list[str], order: list[str], longest: float, s
 
 
 def pieces(points: DataFrame, spans: DataFrame, keys: list[str], t: str, duration: str,
-           shortest: float, max_rows: int = MAX_ROWS) -> DataFrame:
+           shortest: float, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Pieces between consecutive points, both ends of the span included; short ones dropped."""
     ends = [spans.select(*keys, F.lit(0.0).alias("start")),
             spans.select(*keys, F.col(duration).cast("double").alias("start"))]
@@ -146,7 +171,7 @@ def pieces(points: DataFrame, spans: DataFrame, keys: list[str], t: str, duratio
 
 
 def delta_encode(notes: DataFrame, keys: list[str], start: str, length: str, ident: str,
-                 max_rows: int = MAX_ROWS) -> DataFrame:
+                 max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Intervals to on/off rows with the distance to the previous row; off sorts before on."""
     sides = F.array(
         F.struct(F.greatest(F.lit(0).cast("long"), F.col(start)).alias("tick"), F.lit(1).alias("kind")),

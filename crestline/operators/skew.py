@@ -33,9 +33,15 @@ def hot_keys(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROW
     )
 
 
-def with_parts(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS,
+def with_parts(df: DataFrame, keys: list[str], order: str, max_rows: int | None = MAX_ROWS,
                min_width: float = 0.0) -> DataFrame:
-    """Add the part number of every row, and whether its key is cut at all."""
+    """Add the part number of every row, and whether its key is cut at all.
+
+    ``max_rows=None`` is for input whose rows per key are bounded by its making (windows, bins and
+    boundaries of a series): nothing is counted and nothing is cut.
+    """
+    if max_rows is None:
+        return df.withColumn(PART, F.lit(0).cast("long")).withColumn(CUT, F.lit(False))
     hot = hot_keys(df, keys, order, max_rows, min_width)
     part = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
     return (
