@@ -174,29 +174,35 @@ def _replay(gap: float, stronger: bool, emit_closed: bool):
 
 
 def _fold(df: DataFrame, key: str, t: str, ident: str, strength: str | None, gap: float,
-          max_rows: int) -> DataFrame:
+          max_rows: int | None) -> DataFrame:
     stronger = strength is not None
     points = df.select(
         F.col(key).cast("string").alias("_key"), F.col(t).cast("double").alias("_t"),
         F.col(ident).cast("long").alias("_id"),
         (F.col(strength).cast("double") if stronger else F.lit(0.0)).alias("_s"))
     points = with_parts(points, ["_key"], "_t", max_rows, min_width=gap)
+    rows = points.select("_key", PART, F.lit(1).alias("_side"), "_t", "_id", "_s", F.lit(False).alias("taken"))
+    if max_rows is not None:
+        rows = rows.unionByName(_seeds(points, gap, stronger))
+    return (
+        rows.repartition("_key", PART)
+        .sortWithinPartitions("_key", PART, "_side", "_t", "_id")
+        .mapInPandas(_replay(gap, stronger, stronger), "_key string, _t double, _id long, _s double")
+    )
+
+
+def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
+    """One row in front of every part that starts from an anchor or hands its own on."""
     entries = _entries(points, gap, stronger)
     anchors = points.select("_key", F.col("_id").alias("entry"), "_t", "_s")
     known = entries.where(F.col("entry") != FRESH).join(anchors, ["_key", "entry"])
     fresh = entries.where((F.col("entry") == FRESH) & F.col("taken")).select(
         "_key", "entry", PART, "taken", F.lit(0.0).alias("_t"), F.lit(0.0).alias("_s"))
-    seeds = known.unionByName(fresh).select(
+    return known.unionByName(fresh).select(
         "_key", PART, F.lit(0).alias("_side"), "_t", F.col("entry").alias("_id"), "_s", "taken")
-    rows = points.select("_key", PART, F.lit(1).alias("_side"), "_t", "_id", "_s", F.lit(False).alias("taken"))
-    return (
-        rows.unionByName(seeds).repartition("_key", PART)
-        .sortWithinPartitions("_key", PART, "_side", "_t", "_id")
-        .mapInPandas(_replay(gap, stronger, stronger), "_key string, _t double, _id long, _s double")
-    )
 
 
-def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int = MAX_ROWS) -> DataFrame:
+def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Keep a point when it lies at least ``gap`` after the last kept one; the first is kept.
 
     ``ident`` is a unique non-negative number that also breaks ties of ``t``.
@@ -207,7 +213,7 @@ def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int
 
 
 def merge_stronger(df: DataFrame, key: str, t: str, ident: str, strength: str, gap: float,
-                   max_rows: int = MAX_ROWS) -> DataFrame:
+                   max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Merge points closer than ``gap`` to the current one; a stronger point takes its place."""
     kept = _fold(df, key, t, ident, strength, gap, max_rows)
     return kept.select(F.col("_key").cast(df.schema[key].dataType).alias(key), F.col("_t").alias(t),

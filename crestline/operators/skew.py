@@ -59,7 +59,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     The rows of a key are spread over ``salts`` tasks; the small side, unique on the keys, is
     repeated that often. Inner, left, semi and anti joins keep their meaning.
     """
-    spread = F.xxhash64(*big.columns) if spread is None else spread
+    if spread is None:
+        spread = F.xxhash64(*[f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()])
     left = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

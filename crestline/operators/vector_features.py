@@ -133,18 +133,19 @@ def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block
     sized = salted_join(df.select(key, ident, vec), counts, [key], "inner", spread=F.xxhash64(ident))
     sized = sized.withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
-    left = sized.select(key, F.col("_own").alias("_i"), F.explode(every).alias("_j"), ident, vec)
-    right = sized.select(key, F.explode(every).alias("_i"), F.col("_own").alias("_j"), ident, vec)
+    sides = F.transform(every, lambda b: F.struct(F.col("_own").alias("i"), b.alias("j"), F.lit(0).alias("side")))
+    others = F.transform(every, lambda b: F.struct(b.alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side")))
+    placed = sized.select(key, ident, vec, F.explode(F.concat(sides, others)).alias("_b")).select(key, ident, vec, "_b.*")
 
     def unit(pdf):
         m = np.stack(pdf[vec].to_numpy()).astype("float64")
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(length < EPS, 1.0, length)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], ident: [], "other": [], "cosine": []})
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if a.empty or b.empty:
-            return empty
+            return pd.DataFrame({key: [], ident: [], "other": [], "cosine": []})
         a, b = a.sort_values(ident), b.sort_values(ident)
         ids, others = a[ident].to_numpy(), b[ident].to_numpy()
         rows = []
@@ -163,6 +164,6 @@ def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"{key} {types[key]}, {ident} {types[ident]}, other {types[ident]}, cosine double"
-    pairs = left.groupBy(key, "_i", "_j").cogroup(right.groupBy(key, "_i", "_j")).applyInPandas(best, schema)
+    pairs = placed.groupBy(key, "i", "j").applyInPandas(best, schema)
     ranked = top_per(pairs, [key, ident], [F.col("cosine").desc(), F.col("other")], k)
     return ranked.withColumn("rank", F.col("rank").cast("long"))

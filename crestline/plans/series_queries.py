@@ -72,7 +72,7 @@ WHERE m.last IS NULL OR s.duration - m.last > 48""")
 def structure_bounds(spark, sf):
     """Silence boundaries, at least 48 hours apart, closed by the end of the series."""
     marks = silence_bounds(spark, sf).distinct().withColumn("id", F.col("bound").cast("long"))
-    kept = D.thin(marks, "series_id", "bound", "id", 48.0)
+    kept = D.thin(marks, "series_id", "bound", "id", 48.0, max_rows=None)
     return D.with_span_end(kept, spans(spark, sf), "series_id", "bound", "duration", 48.0)
 
 
@@ -94,8 +94,7 @@ picks AS (SELECT c.series_id, c.bin, c.s1 FROM walk w JOIN cand c ON c.series_id
 
 def _peaks(frames):
     found = FR.peaks(frames, "series_id", "s1")
-    kept = D.thin(found, "series_id", "bin", "bin_id", 4.0) if "bin_id" in found.columns else D.thin(
-        found.withColumn("bin_id", F.col("bin")), "series_id", "bin", "bin_id", 4.0)
+    kept = D.thin(found.withColumn("bin_id", F.col("bin")), "series_id", "bin", "bin_id", 4.0, max_rows=None)
     return kept.select("series_id", F.col("bin").cast("long").alias("bin")).join(frames, ["series_id", "bin"])
 
 
@@ -234,8 +233,7 @@ SELECT c.series_id, c.i, {r("CASE WHEN k.pieces >= 14 AND n.snap IS NOT NULL THE
 FROM c JOIN k ON k.series_id = c.series_id LEFT JOIN n ON n.series_id = c.series_id AND n.i = c.i""")
 def split_snap(spark, sf):
     """Sixteen even cuts, each moved to the nearest event when that leaves enough pieces."""
-    even = G.split_even(spans(spark, sf), "zero", "duration", 16) if False else G.split_even(
-        spans(spark, sf).withColumn("zero", F.lit(0.0)), "zero", "duration", 16)
+    even = G.split_even(spans(spark, sf).withColumn("zero", F.lit(0.0)), "zero", "duration", 16)
     snapped = O.nearest(even.select("series_id", "i", "point"), points(spark, sf), ["series_id"], "point", "t", "snap")
     inner = F.col("i").between(1, 15)
     counts = snapped.where(inner).groupBy("series_id").agg((F.count_distinct("snap") + 1).alias("pieces"))
@@ -313,7 +311,7 @@ def absorb_short(spark, sf):
     vectors = _vectors(spark, sf)
     inner = VF.novelty_bounds(vectors, "label", "vec_id", "embedding").select("label", F.col("vec_id").cast("double").alias("bound"))
     ends = vectors.groupBy("label").agg(F.min("vec_id").alias("a"), (F.max("vec_id") + 1).alias("b"))
-    ends = ends.select("label", F.explode(F.array("a", "b")).cast("double").alias("bound"))
+    ends = ends.select("label", F.explode(F.array("a", "b")).alias("bound")).withColumn("bound", F.col("bound").cast("double"))
     return D.absorb_short(inner.unionByName(ends).distinct(), "label", "bound", 40.0)
 
 
