@@ -1,11 +1,12 @@
 """Greedy folds over ordered points.
 
 Both folds keep one anchor point per key. Given the anchor on entry, the points of one part decide
-the anchor on exit, so a part is a function from entry to exit anchor. A key that is cut into
-parts (see ``skew``) is folded in three steps, each spread over tasks: the functions of all parts,
-their composition in groups of ``FANOUT`` parts, and a replay of each part from its entry anchor.
-A part can only be entered with an anchor that lies less than ``gap`` before it; every other entry
-acts like a fresh start. Parts are at least ``gap`` wide, so such an anchor is in the part before.
+the anchor on exit, so a part is a function from entry to exit anchor. Keys small enough for one
+task are replayed directly. A key that is cut into parts (see ``skew``) is folded in three steps,
+each spread over tasks: the functions of its parts, their composition in groups of ``FANOUT``
+parts, and a replay of each part from its entry anchor. A part can only be entered with an anchor
+that lies less than ``gap`` before it; every other entry acts like a fresh start. Parts are at
+least ``gap`` wide, so such an anchor is in the part before.
 """
 from __future__ import annotations
 
@@ -16,20 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .skew import CUT, MAX_ROWS, PART, with_parts
 
 FRESH = -1
 FANOUT = 64
-_TABLE = "_key string, _part long, first long, last long, entry long, exit long"
-
-
-def _replaces(stronger: bool, gap: float):
-    """Whether a point takes over from the anchor, and whether the anchor is then emitted."""
-    def rule(t, s, anchor_t, anchor_s):
-        if t - anchor_t >= gap:
-            return True, True
-        return (stronger and s > anchor_s), False
-    return rule
+_TABLE = ["_key", "_part", "first", "last", "entry", "t", "s", "exit"]
+_TABLE_TYPES = "_key string, _part long, first long, last long, entry long, t double, s double, exit long"
+_WALK = ["_key", "first", "entry", "t", "s", "taken"]
+_WALK_TYPES = "_key string, first long, entry long, t double, s double, taken boolean"
+_FAR = float("-inf")
 
 
 def _groups(frames):
@@ -48,127 +45,121 @@ def _groups(frames):
 
 
 def _transfer(gap: float, stronger: bool):
+    """Exit anchor of a part for each entry anchor. Entries that reach the same anchor are one
+    from there on, so a point is handled once however many entries there are."""
     def run(frames):
         for (key, part), rows in _groups(frames):
-            out = []
-            anchors = {FRESH: (float("-inf"), float("-inf"), FRESH, [FRESH])}
-            oldest, weakest = deque([FRESH]), [(float("-inf"), FRESH)]
+            given = [(FRESH, _FAR, _FAR)]
+            anchors = {FRESH: (_FAR, [0])}
+            oldest, weakest = deque([FRESH]), [(_FAR, FRESH)]
             for _, _, side, t, ident, s in rows:
                 if side == 0:
-                    anchors[ident] = (t, s, ident, [ident])
+                    anchors[ident] = (t, [len(given)])
+                    given.append((ident, t, s))
                     oldest.append(ident)
                     heapq.heappush(weakest, (s, ident))
                     continue
                 moved = []
                 while oldest and (oldest[0] not in anchors or t - anchors[oldest[0]][0] >= gap):
-                    gone = anchors.pop(oldest.popleft(), None)
-                    if gone:
-                        moved += gone[3]
+                    moved += anchors.pop(oldest.popleft(), (0, []))[1]
                 while stronger and weakest and (weakest[0][1] not in anchors or weakest[0][0] < s):
-                    gone = anchors.pop(heapq.heappop(weakest)[1], None)
-                    if gone:
-                        moved += gone[3]
+                    moved += anchors.pop(heapq.heappop(weakest)[1], (0, []))[1]
                 if moved:
-                    anchors[ident] = (t, s, ident, moved)
+                    anchors[ident] = (t, moved)
                     oldest.append(ident)
                     if stronger:
                         heapq.heappush(weakest, (s, ident))
-            for _, _, ident, entries in anchors.values():
-                out += [(key, part, part, part, e, ident) for e in entries]
-            yield pd.DataFrame(out, columns=["_key", "_part", "first", "last", "entry", "exit"])
+            yield pd.DataFrame([(key, part, part, part, *given[i], ident) for ident, (_, entries) in anchors.items() for i in entries],
+                               columns=_TABLE)
     return run
 
 
 def _functions(pdf: pd.DataFrame):
-    ordered = pdf.sort_values("first", kind="stable")
-    for first, rows in ordered.groupby("first", sort=True):
-        yield int(first), int(rows["last"].iloc[0]), dict(zip(rows["entry"].tolist(), rows["exit"].tolist()))
+    for first, rows in pdf.groupby("first", sort=True):
+        given = {e: (t, s) for e, t, s in zip(rows["entry"].tolist(), rows["t"].tolist(), rows["s"].tolist())}
+        yield int(first), int(rows["last"].iloc[0]), dict(zip(rows["entry"].tolist(), rows["exit"].tolist())), given
 
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One function for the whole group of parts, keyed by the number of the group."""
-    result, begin, end = None, None, None
-    for first, last, function in _functions(pdf):
+    """One function for a whole group of parts, from the entries of its first part."""
+    result, begin, end, start = None, None, None, None
+    for first, last, function, given in _functions(pdf):
         if result is None:
-            result, begin = dict(function), first
+            result, begin, start = function, first, given
         else:
             adjacent = first == end + 1
-            result = {e: function.get(x, function[FRESH]) if adjacent else function[FRESH]
-                      for e, x in result.items()}
+            result = {e: function.get(x, function[FRESH]) if adjacent else function[FRESH] for e, x in result.items()}
         end = last
-    return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_part": pdf["_group"].iloc[0], "first": begin, "last": end,
-                         "entry": list(result), "exit": list(result.values())})
+    rows = [(pdf["_key"].iloc[0], int(pdf["_group"].iloc[0]), begin, end, e, *start[e], x) for e, x in result.items()]
+    return pd.DataFrame(rows, columns=_TABLE)
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry and exit anchor of each part of a group, from the entry anchor of the group."""
-    given = pdf.loc[pdf["is_entry"], "entry"]
-    anchor, end, out = (int(given.iloc[0]) if len(given) else FRESH), None, []
-    for first, last, function in _functions(pdf.loc[~pdf["is_entry"]]):
+    """Entry anchor of each part in turn, from the entry anchor of the group, and whether the part
+    after it takes its exit anchor over."""
+    seed = pdf[pdf["is_seed"]]
+    anchor = int(seed["entry"].iloc[0]) if len(seed) else FRESH
+    after = bool(seed["taken"].iloc[0]) if len(seed) else False
+    end, out = None, []
+    for first, last, function, given in _functions(pdf[~pdf["is_seed"]]):
         if end is not None and first != end + 1:
             anchor = FRESH
         entry = anchor if anchor in function else FRESH
-        anchor = function[entry]
-        out.append((pdf["_key"].iloc[0], first, last, entry, anchor))
-        end = last
-    return pd.DataFrame(out, columns=["_key", "first", "last", "entry", "exit"])
-
-
-def _entries(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
-    """Entry anchor of every part of the cut keys, and whether its exit anchor is taken over."""
-    hot = points.where(CUT).drop(CUT)
-    edge = hot.groupBy("_key", PART).agg(F.min("_t").alias("_edge"))
-    following = edge.select("_key", (F.col(PART) - 1).alias(PART), "_edge")
-    tail = hot.join(following, ["_key", PART]).where(F.col("_edge") - F.col("_t") < gap).drop("_edge")
-    tail = tail.withColumn(PART, F.col(PART) + 1).withColumn("_side", F.lit(0))
-    both = hot.withColumn("_side", F.lit(1)).unionByName(tail)
-    table = (
-        both.select("_key", PART, "_side", "_t", "_id", "_s")
+        if out:
+            out[-1][-1] = entry != FRESH
+        out.append([pdf["_key"].iloc[0], first, entry, *given[entry], after])
+        anchor, end = function[entry], last
+    return pd.DataFrame(out, columns=_WALK)
+
+
+def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
+    """One row in front of every part of a cut key: its entry anchor, and whether its exit anchor
+    is taken over. The table of functions is read twice and therefore checkpointed."""
+    own = F.struct(F.col(PART).alias("part"), F.lit(1).alias("side"))
+    tail = F.when(F.col("_end") - F.col("_t") < gap, F.struct((F.col(PART) + 1).alias("part"), F.lit(0).alias("side")))
+    rows = points.where(CUT).select("_key", "_t", "_id", "_s", F.explode(F.array_compact(F.array(own, tail))).alias("_p"))
+    table = checkpointed(
+        rows.select("_key", F.col("_p.part").alias(PART), F.col("_p.side").alias("_side"), "_t", "_id", "_s")
         .repartition("_key", PART).sortWithinPartitions("_key", PART, "_side", "_t", "_id")
-        .mapInPandas(_transfer(gap, stronger), _TABLE)
-    )
+        .mapInPandas(_transfer(gap, stronger), _TABLE_TYPES))
     grouped = table.withColumn("_group", F.floor(F.col(PART) / FANOUT))
-    tops = grouped.groupBy("_key", "_group").applyInPandas(_compose, _TABLE)
-    walked = "_key string, first long, last long, entry long, exit long"
-    no = F.lit(False).alias("is_entry")
-    top_entries = tops.select("*", no).groupBy("_key").applyInPandas(_walk, walked)
-    seeds = top_entries.select("_key", F.floor(F.col("first") / FANOUT).alias("_group"), "first", "last",
-                               "entry", "exit", F.lit(True).alias("is_entry"))
-    parts = (
-        grouped.select("_key", "_group", "first", "last", "entry", "exit", no).unionByName(seeds)
-        .groupBy("_key", "_group").applyInPandas(_walk, walked)
-    )
-    taken = parts.where(F.col("entry") != FRESH).select("_key", (F.col("first") - 1).alias("first"), F.lit(True).alias("_taken"))
-    return parts.join(taken, ["_key", "first"], "left").select(
-        "_key", F.col("first").alias(PART), "entry", F.coalesce("_taken", F.lit(False)).alias("taken"))
-
-
-def _replay(gap: float, stronger: bool, emit_closed: bool):
-    rule = _replaces(stronger, gap)
-
+    plain = [F.lit(False).alias("is_seed"), F.lit(False).alias("taken")]
+    tops = grouped.groupBy("_key", "_group").applyInPandas(_compose, _TABLE_TYPES)
+    entries = tops.select("*", *plain).groupBy("_key").applyInPandas(_walk, _WALK_TYPES)
+    blank = F.lit(None).cast("long")
+    group_seeds = entries.select("_key", blank.alias("_part"), "first", "first", "entry", "t", "s", blank.alias("exit"),
+                                 F.floor(F.col("first") / FANOUT).alias("_group"), F.lit(True).alias("is_seed"), "taken")
+    group_seeds = group_seeds.toDF(*_TABLE, "_group", "is_seed", "taken")
+    walked = grouped.select("*", *plain).unionByName(group_seeds).groupBy("_key", "_group").applyInPandas(_walk, _WALK_TYPES)
+    return walked.select("_key", F.col("first").alias(PART), F.lit(0).alias("_side"), F.col("t").alias("_t"),
+                         F.col("entry").alias("_id"), F.col("s").alias("_s"), "taken")
+
+
+def _replay(gap: float, stronger: bool):
+    """Walk every part from its anchor. A thinned point is emitted when it is kept, a merged one
+    when the next anchor opens or the part ends with it and no later part takes it over."""
     def run(frames):
-        current, anchor, taken, out = None, None, False, []
+        current, anchor, taken = None, None, False
         for pdf in frames:
+            out = []
             for key, part, side, t, ident, s, flag in pdf.itertuples(index=False, name=None):
                 if (key, part) != current:
-                    if emit_closed and anchor and not taken:
+                    if stronger and anchor and not taken:
                         out.append((current[0], *anchor))
                     current, anchor, taken = (key, part), None, False
                 if side == 0:
                     taken = flag
-                    if ident != FRESH:
-                        anchor = (t, ident, s)
+                    anchor = (t, ident, s) if ident != FRESH else None
                     continue
-                over, closes = (True, False) if anchor is None else rule(t, s, anchor[0], anchor[2])
-                if over:
-                    if emit_closed and closes:
-                        out.append((key, *anchor))
+                opens = anchor is None or t - anchor[0] >= gap
+                if stronger and opens and anchor:
+                    out.append((key, *anchor))
+                if opens or (stronger and s > anchor[2]):
                     anchor = (t, ident, s)
-                    if not emit_closed:
-                        out.append((key, *anchor))
+                if opens and not stronger:
+                    out.append((key, *anchor))
             yield pd.DataFrame(out, columns=["_key", "_t", "_id", "_s"])
-            out = []
-        if emit_closed and anchor and not taken:
+        if stronger and anchor and not taken:
             yield pd.DataFrame([(current[0], *anchor)], columns=["_key", "_t", "_id", "_s"])
     return run
 
@@ -177,29 +168,15 @@ def _fold(df: DataFrame, key: str, t: str, ident: str, strength: str | None, gap
           max_rows: int | None) -> DataFrame:
     stronger = strength is not None
     points = df.select(
-        F.col(key).cast("string").alias("_key"), F.col(t).cast("double").alias("_t"),
-        F.col(ident).cast("long").alias("_id"),
+        F.col(key).cast("string").alias("_key"), F.col(t).cast("double").alias("_t"), F.col(ident).cast("long").alias("_id"),
         (F.col(strength).cast("double") if stronger else F.lit(0.0)).alias("_s"))
-    points = with_parts(points, ["_key"], "_t", max_rows, min_width=gap)
+    points, cut = with_parts(points, ["_key"], "_t", max_rows, min_width=gap, ends=True)
     rows = points.select("_key", PART, F.lit(1).alias("_side"), "_t", "_id", "_s", F.lit(False).alias("taken"))
-    if max_rows is not None:
+    if cut:
         rows = rows.unionByName(_seeds(points, gap, stronger))
     return (
-        rows.repartition("_key", PART)
-        .sortWithinPartitions("_key", PART, "_side", "_t", "_id")
-        .mapInPandas(_replay(gap, stronger, stronger), "_key string, _t double, _id long, _s double")
-    )
-
-
-def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
-    """One row in front of every part that starts from an anchor or hands its own on."""
-    entries = _entries(points, gap, stronger)
-    anchors = points.select("_key", F.col("_id").alias("entry"), "_t", "_s")
-    known = entries.where(F.col("entry") != FRESH).join(anchors, ["_key", "entry"])
-    fresh = entries.where((F.col("entry") == FRESH) & F.col("taken")).select(
-        "_key", "entry", PART, "taken", F.lit(0.0).alias("_t"), F.lit(0.0).alias("_s"))
-    return known.unionByName(fresh).select(
-        "_key", PART, F.lit(0).alias("_side"), "_t", F.col("entry").alias("_id"), "_s", "taken")
+        rows.repartition("_key", PART).sortWithinPartitions("_key", PART, "_side", "_t", "_id")
+        .mapInPandas(_replay(gap, stronger), "_key string, _t double, _id long, _s double"))
 
 
 def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int | None = MAX_ROWS) -> DataFrame:

@@ -121,12 +121,19 @@ def downsample(points: DataFrame, key: str, t: str, value: str, duration: Column
     return level.withColumn("share", F.coalesce(F.try_divide(F.col("level"), top), F.lit(0.0))).select(key, "bin", "level", "share")
 
 
-def filled(frames_: DataFrame, key: str, values: list[str], first: Column, last: Column) -> DataFrame:
-    """One row per bin between ``first`` and ``last`` of each key; missing bins are 0."""
-    spans = frames_.groupBy(key).agg(first.alias("_from"), last.alias("_to"))
-    grid = spans.select(key, F.explode(F.sequence("_from", "_to")).alias("bin"))
-    return grid.join(frames_, [key, "bin"], "left").select(
-        key, "bin", *[F.coalesce(F.col(v), F.lit(0)).cast("double").alias(v) for v in values])
+def filled(frames_: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row per bin from 0 to the last bin of each key; missing bins are 0.
+
+    Every frame writes the empty bins up to the next frame, the first one also those before it, so
+    this is one window on the key and no join.
+    """
+    w = Window.partitionBy(key).orderBy("bin")
+    first = F.when(F.lag("bin").over(w).isNull(), F.lit(0).cast("long")).otherwise(F.col("bin"))
+    stop = F.coalesce(F.lead("bin").over(w) - 1, F.col("bin"))
+    placed = frames_.select(key, F.col("bin").alias("_own"), *values, first.alias("_first"), stop.alias("_stop"))
+    spread = placed.withColumn("bin", F.explode(F.sequence("_first", "_stop")))
+    here = F.col("bin") == F.col("_own")
+    return spread.select(key, "bin", *[F.when(here, F.col(v)).otherwise(0).cast("double").alias(v) for v in values])
 
 
 def moving_average(frames_: DataFrame, key: str, value: str, reach: int, name: str) -> DataFrame:

@@ -13,45 +13,56 @@ def _over(keys: list[str], order: list[Column]) -> Window:
     return Window.partitionBy(*keys, PART).orderBy(*order)
 
 
-def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-              ahead: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Values of the previous (or next) row of the key; ``values`` maps new names to columns.
+def neighbours(df: DataFrame, keys: list[str], order: list[str], back: dict[str, str] = {},
+               ahead: dict[str, str] = {}, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """Values of the previous and the next row of the key; both maps give new names to columns.
 
     ``order`` starts with a numeric column and must be unique inside a key.
     """
-    parted = with_parts(df, keys, order[0], max_rows)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    parted, cut = with_parts(df, keys, order[0], max_rows)
     w = _over(keys, [F.col(c) for c in order])
-    local = parted.withColumn("_near", (F.lead if ahead else F.lag)(packed).over(w))
-    pick = F.min_by if ahead else F.max_by
-    if max_rows is None:
-        return local.select(*df.columns, *[F.col(f"_near.{n}").alias(n) for n in values])
-    edges = parted.where(CUT).groupBy(*keys, PART).agg(pick(packed, F.struct(*order)).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy(PART)
-    carried = edges.select(*keys, PART, (F.lead if ahead else F.lag)("_edge").over(across).alias("_far"))
-    joined = local.join(carried.where(F.col("_far").isNotNull()), [*keys, PART], "left")
-    near = F.when(F.col("_near").isNotNull(), F.col("_near")).otherwise(F.col("_far"))
-    out = joined.withColumn("_pick", near)
-    return out.select(*df.columns, *[F.col(f"_pick.{n}").alias(n) for n in values])
+    sides = []
+    for values, near, pick, name in ((back, F.lag, F.max_by, "_back"), (ahead, F.lead, F.min_by, "_ahead")):
+        if values:
+            packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+            sides.append((values, packed, near, pick, name))
+    out = parted.select("*", *[near(packed).over(w).alias(name) for _, packed, near, _, name in sides])
+    if cut:
+        edges = parted.where(CUT).groupBy(*keys, PART).agg(
+            *[pick(packed, F.struct(*order)).alias(name) for _, packed, _, pick, name in sides])
+        carried = edges.select(*keys, PART, *[near(name).over(across).alias(f"{name}_far") for _, _, near, _, name in sides])
+        out = out.join(carried, [*keys, PART], "left")
+    found = []
+    for values, _, _, _, name in sides:
+        for n in values:
+            near = F.col(f"{name}.{n}")
+            found.append((F.when(F.col(name).isNotNull(), near).otherwise(F.col(f"{name}_far.{n}")) if cut else near).alias(n))
+    return out.select(*df.columns, *found)
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+              ahead: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """Values of the previous row, or of the next one."""
+    return neighbours(df, keys, order, {} if ahead else values, values if ahead else {}, max_rows)
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
                inclusive: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the key (0 for the first row)."""
-    parted = with_parts(df, keys, order[0], max_rows)
+    parted, cut = with_parts(df, keys, order[0], max_rows)
     parted = parted.withColumn("_v", value)
     w = _over(keys, [F.col(c) for c in order])
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = parted.withColumn("_local", F.sum("_v").over(frame))
-    if max_rows is None:
-        return local.select(*df.columns, F.coalesce(F.col("_local"), F.lit(0)).alias(name))
-    sums = parted.where(CUT).groupBy(*keys, PART).agg(F.sum("_v").alias("_sum"))
-    across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, PART, F.sum("_sum").over(across).alias("_before"))
-    joined = local.join(carried.where(F.col("_before").isNotNull()), [*keys, PART], "left")
-    zero = F.lit(0)
-    both = F.coalesce(F.col("_local"), zero) + F.coalesce(F.col("_before"), zero)
-    return joined.select(*df.columns, both.alias(name))
+    out = parted.withColumn("_local", F.sum("_v").over(frame))
+    total = F.coalesce(F.col("_local"), F.lit(0))
+    if cut:
+        sums = parted.where(CUT).groupBy(*keys, PART).agg(F.sum("_v").alias("_sum"))
+        across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        carried = sums.select(*keys, PART, F.sum("_sum").over(across).alias("_before"))
+        out = out.join(carried, [*keys, PART], "left")
+        total = total + F.coalesce("_before", F.lit(0))
+    return out.select(*df.columns, total.alias(name))
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str,
@@ -71,7 +82,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
     columns = left.columns
     l = left.withColumn("_t", F.col(t).cast("double")).withColumn("_is", F.lit(1))
     r = right.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_is", F.lit(0))
-    both = with_parts(l.unionByName(r, allowMissingColumns=True), keys, "_t", max_rows)
+    both, cut = with_parts(l.unionByName(r, allowMissingColumns=True), keys, "_t", max_rows)
     mark = F.when(F.col("_is") == 0, F.col("_t"))
     w = Window.partitionBy(*keys, PART).orderBy("_t")
     out = both
@@ -82,9 +93,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
         frame = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
         out = out.withColumn("_after", F.min(mark).over(frame))
     out = out.where("_is = 1")
-    if max_rows is None:
-        out = out.withColumn("_prev", F.lit(None).cast("double")).withColumn("_next", F.lit(None).cast("double"))
-    else:
+    prev = after = F.lit(None).cast("double")
+    if cut:
         bounds = both.where(CUT).groupBy(*keys, PART).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
         across = Window.partitionBy(*keys).orderBy(PART)
         carried = bounds.select(
@@ -93,11 +103,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
             F.min("_lo").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
         ).where("_prev is not null or _next is not null")
         out = out.join(carried, [*keys, PART], "left")
+        prev, after = F.col("_prev"), F.col("_next")
     found = []
     if earlier:
-        found.append(F.coalesce("_before", "_prev").alias(earlier))
+        found.append(F.coalesce(F.col("_before"), prev).alias(earlier))
     if later:
-        found.append(F.coalesce("_after", "_next").alias(later))
+        found.append(F.coalesce(F.col("_after"), after).alias(later))
     return out.select(*columns, *found)
 
 
@@ -142,12 +153,11 @@ def state_changes(df: DataFrame, keys: list[str], order: list[str], state: Colum
     """Times where a boolean state flips (it starts as false), plus a closing time ``width``
     after the last row of a key that ends in the true state."""
     t = order[0]
-    marked = df.withColumn("_state", state)
-    flips = neighbour(marked, keys, order, {"_was": "_state"}, max_rows=max_rows)
-    flips = flips.where(F.col("_state") != F.coalesce(F.col("_was"), F.lit(False)))
-    last = marked.groupBy(*keys).agg(F.max_by(F.struct(t, "_state"), F.struct(*order)).alias("_last"))
-    tail = last.where("_last._state").select(*keys, (F.col(f"_last.{t}") + width).alias(name))
-    return flips.select(*keys, F.col(t).alias(name)).unionByName(tail)
+    marked = df.withColumn("_state", state).withColumn("_one", F.lit(True))
+    near = neighbours(marked, keys, order, {"_was": "_state"}, {"_more": "_one"}, max_rows)
+    flip = F.when(F.col("_state") != F.coalesce(F.col("_was"), F.lit(False)), F.col(t))
+    close = F.when(F.col("_more").isNull() & F.col("_state"), F.col(t) + width)
+    return near.select(*keys, F.explode(F.array_compact(F.array(flip, close))).alias(name))
 
 
 def segments(df: DataFrame, keys: list[str], order: list[str], longest: float, shortest: float,

@@ -1,11 +1,16 @@
-"""Splitting of keys that hold too many rows for one task.
+"""Keys that hold too many rows for one task.
 
-The ordered operators work inside ``(key, part)``. Most keys have a single part, 0. A key with
-more than ``max_rows`` rows is cut along its order column into several parts, and the operators
-carry what must cross a cut in a summary with one row per part. Results never depend on the cuts.
+``hot_keys`` counts rows per key (one scan of the key columns, combined on the map side) and brings
+the few keys above the limit to the driver: at most ``MAX_HOT`` short rows, whatever the data. With
+that list known, everything else is planned for the data at hand. When no key is hot the operators
+are plain windows and joins. When some are, only those keys are treated: ordered operators cut them
+along their order column into parts and carry what must cross a cut in one summary row per part,
+joins spread them over several tasks. Results never depend on the list or on the cuts.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,52 +20,56 @@ MAX_ROWS = 1_000_000
 MAX_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_ROWS,
-             min_width: float = 0.0) -> DataFrame:
-    """Start and width of the parts of the largest keys; at most ``MAX_HOT`` rows, so that it can
-    be broadcast. Keys beyond that many hold less than one ten-thousandth of the rows each."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(order).cast("double").alias("_low"),
-        F.max(order).cast("double").alias("_high"),
-    )
-    width = (F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / max_rows)
-    return (
-        stats.where(F.col("_n") > max_rows)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(MAX_HOT)
-        .select(*keys, "_low", F.greatest(width, F.lit(float(min_width)), F.lit(1e-9)).alias("_width"))
-    )
+def hot_keys(df: DataFrame, keys: list[str], max_rows: int, order: str | None = None) -> DataFrame | None:
+    """Keys with more than ``max_rows`` rows, their counts and order range, or None without any.
+
+    Were there more than ``MAX_HOT`` of them, the largest are returned and the rest, each below one
+    ten-thousandth of the rows, is left alone.
+    """
+    ranges = [] if order is None else [F.min(order).cast("double").alias("_low"), F.max(order).cast("double").alias("_high")]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ranges).where(F.col("_n") > max_rows)
+    found = large.orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def with_parts(df: DataFrame, keys: list[str], order: str, max_rows: int | None = MAX_ROWS,
-               min_width: float = 0.0) -> DataFrame:
-    """Add the part number of every row, and whether its key is cut at all.
+               min_width: float = 0.0, ends: bool = False) -> tuple[DataFrame, bool]:
+    """Add the part number of every row and whether its key is cut; tell if any key is.
 
     ``max_rows=None`` is for input whose rows per key are bounded by its making (windows, bins and
-    boundaries of a series): nothing is counted and nothing is cut.
+    boundaries of a series): nothing is counted and nothing is cut. ``ends`` adds the end of the part.
     """
-    if max_rows is None:
-        return df.withColumn(PART, F.lit(0).cast("long")).withColumn(CUT, F.lit(False))
-    hot = hot_keys(df, keys, order, max_rows, min_width)
+    hot = None if max_rows is None else hot_keys(df, keys, max_rows, order)
+    if hot is None:
+        return df.withColumn(PART, F.lit(0).cast("long")), False
+    width = F.greatest((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / max_rows), F.lit(float(min_width)), F.lit(1e-9))
+    spans = hot.select(*keys, "_low", width.alias("_width"))
     part = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(PART, F.coalesce(part, F.lit(0)).cast("long"))
-        .withColumn(CUT, F.col("_width").isNotNull())
-        .drop("_low", "_width")
-    )
+    out = df.join(F.broadcast(spans), keys, "left").withColumn(CUT, F.col("_width").isNotNull()).withColumn(
+        PART, F.coalesce(part, F.lit(0)).cast("long"))
+    if ends:
+        out = out.withColumn("_end", F.col("_low") + (F.col(PART) + 1) * F.col("_width"))
+    return out.drop("_low", "_width"), True
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
-                salts: int = 16, spread: Column | None = None) -> DataFrame:
-    """Equi join whose big side may hold many rows of one key.
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
+              spread: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Equi join (inner, left, left_semi or left_anti) whose left side may hold very many rows of
+    one key. ``small`` has few rows per key.
 
-    The rows of a key are spread over ``salts`` tasks; the small side, unique on the keys, is
-    repeated that often. Inner, left, semi and anti joins keep their meaning.
+    Rows of a hot key go to as many tasks as the key has ``max_rows`` rows, and the right rows of
+    that key are repeated as often. Left rows with a NULL key match nothing and are spread as well.
     """
+    hot = hot_keys(big, keys, max_rows)
+    if hot is None:
+        return big.join(small, keys, how)
     if spread is None:
         spread = F.xxhash64(*[f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()])
-    left = big.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / max_rows).cast("int").alias("_salts")))
+    empty = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    count = F.when(empty, F.lit(1024)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = big.join(salts, keys, "left").withColumn("_salt", F.pmod(spread, count).cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = small.join(salts, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

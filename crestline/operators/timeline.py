@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import BEATS_PER_BAR, STEPS_PER_BAR, col, pan_gains, round_to, stable_id
 from .ordered import ordinal, prefix_sum
-from .skew import MAX_ROWS, salted_join
+from .skew import MAX_ROWS, skew_join
 
 # The section template (name, bars); intro and outro keep their length.
 TEMPLATE = (("intro", 2), ("verse", 8), ("hook", 8), ("verse_variation", 6), ("outro", 2))
@@ -80,7 +80,7 @@ def cyclic_assign(rows: DataFrame, pool: DataFrame, keys: list[str], order: list
     counted = ordinal(rows, keys, order, "_n", max_rows)
     size = pool.select(F.max("slots")).scalar()
     placed = counted.withColumn("slot", F.pmod(F.col("_n") - 1, size)).drop("_n")
-    return salted_join(placed, pool.drop("slots"), ["slot"], "left", spread=F.xxhash64(*order))
+    return skew_join(placed, pool.drop("slots"), ["slot"], "left", spread=F.xxhash64(*order))
 
 
 # --- documents ---------------------------------------------------------------------------
@@ -92,7 +92,7 @@ def events_to_doc(events: DataFrame, keys: list[str], fields: list[str], page_ro
     """
     sizes = events.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("long").alias("_pages"))
     many = sizes.where(F.col("_pages") > 1)
-    sized = salted_join(events, many, keys, "left", spread=F.xxhash64(*events.columns))
+    sized = skew_join(events, many, keys, "left", spread=F.xxhash64(*events.columns))
     page = F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_pages")), F.lit(0))
     return sized.withColumn("page", page).groupBy(*keys, "page").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
@@ -196,7 +196,7 @@ def kit_for(classes: DataFrame, hits: DataFrame, key: str, order: list[Column],
 def provenance(uses: DataFrame, recipe_key: str, assets: DataFrame, rights: DataFrame, asset_key: str) -> DataFrame:
     """Lineage row per use: asset attributes and rights next to the interval used."""
     known = assets.join(rights, asset_key, "left")
-    return salted_join(uses, known, [asset_key], "left")
+    return skew_join(uses, known, [asset_key], "left")
 
 
 def usage_summary(uses: DataFrame, key: str, start: str, end: str, n: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.scalar import clamp, round_to
 from .ordered import neighbour, ordinal, top_per
-from .skew import MAX_ROWS, salted_join
+from .skew import MAX_ROWS, skew_join
 
 EPS = 1e-9
 
@@ -65,7 +65,7 @@ def harmonicity(df: DataFrame, key: str, vec: str, active: float = 0.1) -> DataF
     """1 minus the mean spectral flatness of the frames above a share of the loudest."""
     leveled = df.select(key, V.norm(F.col(vec)).alias("_len"), V.flatness(V.power(F.col(vec))).alias("_flat"))
     tops = leveled.groupBy(key).agg(F.max("_len").alias("_top"))
-    joined = salted_join(leveled, tops, [key], "inner")
+    joined = skew_join(leveled, tops, [key], "inner")
     loud = F.col("_len") > active * F.col("_top")
     return joined.groupBy(key).agg(
         F.count(F.when(loud, 1)).alias("active"),
@@ -77,7 +77,7 @@ def continuity(df: DataFrame, key: str, order: str, vec: str, dims: int, divisor
     """Correlation of the mean vectors of the first and the last n frames, mapped to 0..1."""
     placed = ordinal(df.select(key, order, vec), [key], [order], "_pos", max_rows)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    sized = salted_join(placed, counts, [key], "inner", spread=F.xxhash64(order))
+    sized = skew_join(placed, counts, [key], "inner", spread=F.xxhash64(order))
     n = F.floor(F.col("_n") / divisor)
     head, tail = F.col("_pos") <= n, F.col("_pos") > F.col("_n") - n
     def part(where):
@@ -130,7 +130,7 @@ def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block
     task holds two blocks however long the series is. The best lists are then merged.
     """
     counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
-    sized = salted_join(df.select(key, ident, vec), counts, [key], "inner", spread=F.xxhash64(ident))
+    sized = skew_join(df.select(key, ident, vec), counts, [key], "inner", spread=F.xxhash64(ident))
     sized = sized.withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
     sides = F.transform(every, lambda b: F.struct(F.col("_own").alias("i"), b.alias("j"), F.lit(0).alias("side")))

@@ -72,7 +72,7 @@ HOURLY = """hourly AS (SELECT series_id, floor(t)::BIGINT AS bin, count(*) AS n,
 
 
 def hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
-    return FR.filled(hourly(spark, sf), "series_id", ["n", "s1", "s2"], F.lit(0).cast("long"), F.max("bin"))
+    return FR.filled(hourly(spark, sf), "series_id", ["n", "s1", "s2"])
 
 
 FILLED = """grid AS (SELECT series_id, unnest(generate_series(0, max(bin))) AS bin FROM hourly GROUP BY series_id),
@@ -118,7 +118,7 @@ features AS (SELECT *, CASE WHEN mean > 0 THEN greatest(0, least(1, 1 - sqrt(gre
 def silence_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Starts and ends of days without any event, in hours."""
     daily = FR.frames(points(spark, sf), ["series_id"], "t", "value", 24.0)
-    grid = FR.filled(daily, "series_id", ["n"], F.lit(0).cast("long"), F.max("bin"))
+    grid = FR.filled(daily, "series_id", ["n"])
     at = grid.withColumn("at", F.col("bin") * 24.0)
     return O.state_changes(at, ["series_id"], ["at"], F.col("n") == 0, 24.0, max_rows=None)
 

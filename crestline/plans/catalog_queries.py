@@ -253,8 +253,7 @@ def migrate_absent(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
     old = orders.where("o_orderstatus = 'F'").select("id", F.lit("kept").alias("state"))
     new = orders.select("id", F.lit("exported").alias("state"))
-    once = C.insert_absent(old, new, "id")
-    return C.insert_absent(once, new, "id")
+    return C.insert_absent(old, new, "id")
 
 
 _STATE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'discovered' WHEN '2-HIGH' THEN 'ingested' WHEN '3-MEDIUM' THEN 'analyzed' WHEN '4-NOT SPECIFIED' THEN 'generated' ELSE 'kept' END"
@@ -360,9 +359,9 @@ def provenance(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("rights"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
     known = suppliers.join(nations, "s_nationkey", "left").drop("s_nationkey")
-    from ..operators.skew import salted_join
-    used = salted_join(lines, parts, ["l_partkey"])
-    return salted_join(used, known, ["l_suppkey"]).withColumn("artist", F.coalesce("artist", F.lit("")))
+    from ..operators.skew import skew_join
+    used = skew_join(lines, parts, ["l_partkey"])
+    return skew_join(used, known, ["l_suppkey"]).withColumn("artist", F.coalesce("artist", F.lit("")))
 
 
 @query("""SELECT l_partkey, count(*) AS uses, min(l_shipdate) AS first_start, max(l_shipdate) AS last_end FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 10""")
