@@ -115,6 +115,30 @@ def hash_pick(key: Column, n: int | Column) -> Column:
     return F.pmod(seed(key), F.lit(n) if isinstance(n, int) else n)
 
 
+def hash_unit(key: Column) -> Column:
+    """Repeatable number in 0..1 (1 excluded)."""
+    return seed(key) / float(2 ** 32)
+
+
+def hash_sample(key: Column, items: Column, k: int) -> Column:
+    """``k`` different items of an array, picked without replacement by the hash of key and item."""
+    drawn = F.transform(items, lambda x: F.struct(seed(F.concat_ws(":", key, x.cast("string"))).alias("h"), x.alias("x")))
+    return F.transform(F.slice(F.sort_array(drawn), 1, k), lambda d: d["x"])
+
+
+def jitter_ms(key: Column) -> Column:
+    """Repeatable shift of 2 to 8 ms in either direction."""
+    side = F.when(hash_pick(F.concat(key, F.lit(":side")), 2) == 0, -1.0).otherwise(1.0)
+    return round_to((2.0 + 6.0 * hash_unit(F.concat(key, F.lit(":ms")))) * side, 2)
+
+
+def jitter_velocity(key: Column, base: Column) -> Column:
+    """Repeatable change by 5 to 15 in either direction, within 1..127."""
+    side = F.when(hash_pick(F.concat(key, F.lit(":up")), 2) == 0, -1).otherwise(1)
+    moved = base + side * (5 + hash_pick(F.concat(key, F.lit(":velocity")), 11))
+    return F.greatest(F.lit(1), F.least(F.lit(127), moved)).cast("int")
+
+
 # --- levels ------------------------------------------------------------------------------
 
 def decibels(rms: Column) -> Column:

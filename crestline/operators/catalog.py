@@ -30,7 +30,7 @@ DOWNSTREAM = ("fingerprint", "bpm", "bpm_conf", "key_note", "key_conf", "status"
 
 def unseen(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not known yet."""
-    return new.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return new.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*new.columns)
 
 
 def incremental(new: DataFrame, known: DataFrame, key: str, order: list[str], force: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp, round_to
+from ..functions.scalar import clamp, edge_ramp, round_to
 from .grid import WINDOW_MIN, usable_sizes, window_interval
 
 
@@ -64,19 +64,20 @@ def window_features(frames_: DataFrame, key: str, sizes: Column, width: float =
 
     The duration of a series is the end of its last frame. It is found by a window on the series,
     and that partitioning also serves the grouping by window, so frames are shuffled once. Windows
-    without a frame are left out. ``_levels`` holds at most ``size / width`` numbers.
+    without a frame are left out.
     """
     leveled = frames_.select(
         "*", ((F.max("bin").over(Window.partitionBy(key)) + 1) * width).cast("double").alias("duration"),
         (F.col("bin") * width).alias("_at"), rms(F.col("s2"), F.col("n")).alias("_level"))
-    grouped = covering(leveled, "_at", "duration", sizes).groupBy(key, "size", "index").agg(
+    top = F.max("_level").over(Window.partitionBy(key, "size", "index"))
+    placed = covering(leveled, "_at", "duration", sizes).withColumn("_loud", F.when(F.col("_level") > active * top, 1).otherwise(0))
+    grouped = placed.groupBy(key, "size", "index").agg(
         F.first("duration").alias("duration"),
         F.sum("n").alias("points"), F.sum("s1").alias("total"), F.sum("s2").alias("energy"), F.max("peak").alias("peak"),
         F.count(F.lit(1)).alias("frames"), F.sum("_level").alias("_l1"), F.sum(F.col("_level") * F.col("_level")).alias("_l2"),
-        F.max("_level").alias("_top"), F.collect_list("_level").alias("_levels"),
-        *[F.sum(c).alias(c) for c in sums])
+        F.sum("_loud").alias("_loud"), *[F.sum(c).alias(c) for c in sums])
     cells = F.col("size") / width
-    loud = F.size(F.filter("_levels", lambda x: x > active * F.col("_top"))) / cells
+    loud = F.col("_loud") / cells
     level = rms(F.col("energy"), F.col("points"))
     start, end = window_interval(F.col("index"), F.col("size"), F.col("duration"))
     return grouped.select(
@@ -243,3 +244,34 @@ def align_channels(frames_: DataFrame, keys: list[str], channel: str) -> DataFra
     last = frames_.groupBy(*keys, channel).agg(F.max("bin").alias("_last"))
     shortest = last.groupBy(*keys).agg(F.min("_last").alias("_end"))
     return frames_.join(shortest, keys).where(F.col("bin") <= F.col("_end")).select(*frames_.columns)
+
+
+def snap_zero(frames_: DataFrame, points: DataFrame, key: str, t: str, value: str, reach: int, name: str) -> DataFrame:
+    """Move each point to the nearest sign change within ``reach`` bins, else to the smallest value
+    there. Of the two bins around a sign change the smaller value counts (the earlier of equals).
+
+    Bins are the rows of a series (``filled`` frames); a point looks at its ``2 * reach + 1`` bins.
+    """
+    w = Window.partitionBy(key).orderBy("bin")
+    negative = F.col(value) < 0
+    last, ahead = F.lead(F.col(value)).over(w), F.lead("bin").over(w)
+    crossing = F.when(negative != (last < 0), F.when(F.abs(value) <= F.abs(last), F.col("bin")).otherwise(ahead))
+    near = w.rangeBetween(-reach, reach)
+    before = w.rangeBetween(-reach, -1)
+    after = w.rangeBetween(0, reach - 1)
+    marked = frames_.select(key, "bin", F.col(value).alias("_v"), crossing.alias("_c"))
+    sides = marked.select(
+        key, "bin", F.collect_list("_c").over(before).alias("_b"), F.collect_list("_c").over(after).alias("_a"),
+        F.min(F.struct(F.abs("_v").alias("far"), F.col("bin").alias("at"))).over(near).alias("_low"))
+    best = F.array_min(F.transform(F.concat("_b", "_a"), lambda c: F.struct(F.abs(c - F.col("bin")).alias("far"), c.alias("at"))))
+    snapped = sides.select(key, F.col("bin").alias(t), F.coalesce(best["at"], F.col("_low.at")).alias(name))
+    return points.join(snapped, [key, t])
+
+
+def edge_fades(frames_: DataFrame, key: str, ramp: int, name: str) -> DataFrame:
+    """Weight of every bin under a linear fade at both ends of its series."""
+    w = Window.partitionBy(key)
+    position = F.row_number().over(w.orderBy("bin")) - 1
+    length = F.count(F.lit(1)).over(w)
+    return frames_.withColumns({"_at": position, "_len": length}).withColumn(
+        name, edge_ramp(F.col("_at"), F.col("_len"), ramp)).drop("_at", "_len")

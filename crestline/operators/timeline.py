@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import BEATS_PER_BAR, STEPS_PER_BAR, col, pan_gains, round_to, stable_id
 from .ordered import ordinal, prefix_sum
-from .skew import MAX_ROWS, skew_join
+from .skew import MAX_ROWS, hot_keys, skew_join
 
 # The section template (name, bars); intro and outro keep their length.
 TEMPLATE = (("intro", 2), ("verse", 8), ("hook", 8), ("verse_variation", 6), ("outro", 2))
@@ -90,11 +90,12 @@ def events_to_doc(events: DataFrame, keys: list[str], fields: list[str], page_ro
 
     A key with more than ``page_rows`` events gets several pages, so no array grows without bound.
     """
-    sizes = events.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("long").alias("_pages"))
-    many = sizes.where(F.col("_pages") > 1)
-    sized = skew_join(events, many, keys, "left", spread=F.xxhash64(*events.columns))
-    page = F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_pages")), F.lit(0))
-    return sized.withColumn("page", page).groupBy(*keys, "page").agg(
+    page = F.lit(0).cast("long")
+    if hot_keys(events, keys, page_rows) is not None:
+        pages = events.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("long").alias("_pages"))
+        events = skew_join(events, pages.where(F.col("_pages") > 1), keys, "left", spread=F.xxhash64(*fields))
+        page = F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_pages")), F.lit(0))
+    return events.withColumn("page", page).groupBy(*keys, "page").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
 
 
@@ -193,10 +194,11 @@ def kit_for(classes: DataFrame, hits: DataFrame, key: str, order: list[Column],
         "item", F.coalesce("item", fallback))
 
 
-def provenance(uses: DataFrame, recipe_key: str, assets: DataFrame, rights: DataFrame, asset_key: str) -> DataFrame:
-    """Lineage row per use: asset attributes and rights next to the interval used."""
-    known = assets.join(rights, asset_key, "left")
-    return skew_join(uses, known, [asset_key], "left")
+def lineage(runs: DataFrame, run: str, assets: DataFrame, asset: str, rights: DataFrame, pieces: DataFrame,
+            fields: list[str], page_rows: int = 10_000) -> DataFrame:
+    """Lineage rows: a run with its asset's attributes, its rights and its list of pieces (in pages)."""
+    known = skew_join(runs, assets, [asset], "left").join(rights, run, "left")
+    return known.join(events_to_doc(pieces, [run], fields, page_rows).withColumnRenamed("events", "pieces"), run, "left")
 
 
 def usage_summary(uses: DataFrame, key: str, start: str, end: str, n: int = 10) -> DataFrame:

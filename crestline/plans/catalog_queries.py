@@ -164,6 +164,21 @@ def hash_choice(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.hash_pick(key, 5).alias("choice"))
 
 
+_H = lambda key: f"('0x' || left(sha256({key}), 8))::BIGINT"
+_S = lambda i: f"{{'h': {_H(f"'kit:' || p_partkey || ':{i}'")}, 'x': {i}}}"
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_transform(list_sort([{', '.join(_S(i) for i in (2, 5, 7, 10, 14))}])[1:2], lambda d: d.x), ',') AS steps,
+  {r(f"(2.0 + 6.0 * ({_H("'kit:' || p_partkey || ':ms'")} / 4294967296.0::DOUBLE)) * CASE WHEN {_H("'kit:' || p_partkey || ':side'")} % 2 = 0 THEN -1.0 ELSE 1.0 END", 2)} AS offset_ms,
+  greatest(1, least(127, p_size * 3 + CASE WHEN {_H("'kit:' || p_partkey || ':up'")} % 2 = 0 THEN -1 ELSE 1 END * (5 + {_H("'kit:' || p_partkey || ':velocity'")} % 11)))::INT AS velocity FROM part""")
+def hash_sample(spark, sf):
+    key = F.concat(F.lit("kit:"), F.col("p_partkey"))
+    steps = F.array(*[F.lit(i) for i in (2, 5, 7, 10, 14)])
+    return table(spark, sf, "part").select(
+        "p_partkey", F.array_join(S.hash_sample(key, steps, 2).cast("array<string>"), ",").alias("steps"),
+        S.jitter_ms(key).alias("offset_ms"), S.jitter_velocity(key, F.col("p_size") * 3).alias("velocity"))
+
+
 # --- filters -----------------------------------------------------------------------------
 
 @query("SELECT d.doc_id, d.source, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1")
@@ -300,6 +315,20 @@ def run_merge(spark, sf):
     return C.merge_fields(old, new, "id", keep_known=["started_at"])
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'c' || o_custkey WHEN '2-HIGH' THEN 'b' || o_custkey WHEN '3-MEDIUM' THEN 'i' || o_custkey
+  ELSE 'r' || o_custkey END || ',second' AS ids FROM orders""")
+def candidate_ids(spark, sf):
+    """Candidate lists with different keys set; empty candidates leave no id."""
+    given = lambda p, prefix: F.when(F.col("o_orderpriority") == p, F.concat(F.lit(prefix), F.col("o_custkey")))
+    none = F.lit(None).cast("string")
+    first = F.struct(given("1-URGENT", "c").alias("candidate_id"), given("2-HIGH", "b").alias("beat_id"), given("3-MEDIUM", "i").alias("id"),
+                     F.concat(F.lit("r"), F.col("o_custkey")).alias("recipe_id"))
+    blank = F.struct(none.alias("candidate_id"), none.alias("beat_id"), none.alias("id"), none.alias("recipe_id"))
+    second = F.struct(none.alias("candidate_id"), none.alias("beat_id"), F.lit("second").alias("id"), none.alias("recipe_id"))
+    ids = C.candidate_ids(F.array(first, blank, second))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(ids, ",").alias("ids"))
+
+
 _KIND = "CASE l_returnflag WHEN 'A' THEN 'loop' WHEN 'N' THEN 'chop' ELSE 'other' END"
 
 
@@ -364,6 +393,23 @@ def provenance(spark, sf):
     return skew_join(used, known, ["l_suppkey"]).withColumn("artist", F.coalesce("artist", F.lit("")))
 
 
+@query(f"""WITH p AS (SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, c.c_name, l.l_partkey, l.l_quantity FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey)
+SELECT o_orderkey AS run_id, any_value(c_name) AS artist, CASE any_value(o_orderstatus) WHEN 'F' THEN 'allowed' ELSE 'needs_review' END AS rights_state,
+  count(l_partkey) AS pieces, {r("coalesce(sum(l_quantity), 0)", 2)} AS seconds, min(l_partkey) AS first_piece FROM p GROUP BY 1""")
+def lineage_documents(spark, sf):
+    """One lineage row per run and page: asset, rights and the list of pieces; then totals per run."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("asset_id"), "o_orderstatus")
+    rights = orders.select("run_id", F.when(F.col("o_orderstatus") == "F", "allowed").otherwise("needs_review").alias("rights_state"))
+    assets = table(spark, sf, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("artist"))
+    pieces = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("piece"), F.col("l_quantity").alias("seconds"))
+    docs = T.lineage(orders.drop("o_orderstatus"), "run_id", assets, "asset_id", rights, pieces, ["piece", "seconds"])
+    n = F.coalesce(F.size("pieces"), F.lit(0))
+    total = F.aggregate(F.coalesce("pieces", F.array().cast(docs.schema["pieces"].dataType)), F.lit(0.0), lambda a, p: a + p["seconds"])
+    return docs.groupBy("run_id").agg(
+        F.first("artist").alias("artist"), F.first("rights_state").alias("rights_state"), F.sum(n).cast("long").alias("pieces"),
+        S.round_to(F.sum(total), 2).alias("seconds"), F.min(F.array_min(F.transform("pieces", lambda p: p["piece"]))).alias("first_piece"))
+
+
 @query("""SELECT l_partkey, count(*) AS uses, min(l_shipdate) AS first_start, max(l_shipdate) AS last_end FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 10""")
 def usage_summary(spark, sf):
     return T.usage_summary(table(spark, sf, "lineitem"), "l_partkey", "l_shipdate", "l_shipdate")
@@ -376,7 +422,7 @@ def run_summary(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey",
                                                 (F.col("l_quantity") * 240.0 / 92).alias("duration"), (F.col("l_linestatus") == "F").alias("done"))
     runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"))
-    docs = T.events_to_doc(lines.join(runs, "run_id", "left_semi"), ["run_id"], ["l_linenumber", "l_partkey", "duration", "done"])
+    docs = T.events_to_doc(lines, ["run_id"], ["l_linenumber", "l_partkey", "duration", "done"]).join(runs, "run_id", "left_semi")
     seconds = F.aggregate("events", F.lit(0.0), lambda a, e: a + e["duration"])
     done = F.size(F.filter("events", lambda e: e["done"]))
     return docs.groupBy("run_id").agg(F.sum(F.size("events")).alias("candidates"), S.round_to(F.sum(seconds), 2).alias("duration_s"),

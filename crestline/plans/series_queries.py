@@ -242,6 +242,27 @@ def split_snap(spark, sf):
         "series_id", "i", S.round_to(F.when(use, F.col("snap")).otherwise(F.col("point")), 6).alias("point"), "pieces")
 
 
+@query(f"""WITH {EV}, {HOURLY}, {FILLED}, p AS (SELECT series_id, bin, row_number() OVER (PARTITION BY series_id ORDER BY bin) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n FROM filled)
+SELECT series_id, bin, {r("least(1, k / 23.0, (n - 1 - k) / 23.0)", 6)} AS weight FROM p WHERE n >= 48
+UNION ALL SELECT series_id, bin, {r("CASE WHEN n // 2 <= 1 THEN 0 ELSE least(1, k / (n // 2 - 1), (n - 1 - k) / (n // 2 - 1)) END", 6)} FROM p WHERE n < 48""")
+def edge_fades(spark, sf):
+    out = FR.edge_fades(hourly_filled(spark, sf), "series_id", 24, "weight")
+    return out.select("series_id", "bin", S.round_to(F.col("weight"), 6).alias("weight"))
+
+
+@query(f"""WITH {EV}, {HOURLY}, {FILLED}, d AS (SELECT series_id, bin, s1 - 20 AS v FROM filled),
+c AS (SELECT series_id, bin AS own, CASE WHEN abs(v) <= abs(lead(v) OVER w) THEN bin ELSE bin + 1 END AS cross, (v < 0) <> (lead(v) OVER w < 0) AS hit FROM d WINDOW w AS (PARTITION BY series_id ORDER BY bin)),
+q AS (SELECT series_id, bin FROM hourly),
+x AS (SELECT q.series_id, q.bin, min_by(c.cross, (abs(c.cross - q.bin), c.cross)) AS at FROM q JOIN c ON c.series_id = q.series_id AND c.hit AND c.own BETWEEN q.bin - 3 AND q.bin + 2 GROUP BY 1, 2),
+y AS (SELECT q.series_id, q.bin, min_by(d.bin, (abs(d.v), d.bin)) AS at FROM q JOIN d ON d.series_id = q.series_id AND d.bin BETWEEN q.bin - 3 AND q.bin + 3 GROUP BY 1, 2)
+SELECT y.series_id, y.bin, coalesce(x.at, y.at) AS snapped FROM y LEFT JOIN x ON x.series_id = y.series_id AND x.bin = y.bin""")
+def snap_zero(spark, sf):
+    """Hours with events, moved to where the hourly sum crosses 20 within three hours."""
+    frames = hourly_filled(spark, sf).withColumn("v", F.col("s1") - 20)
+    asked = hourly(spark, sf).select("series_id", "bin")
+    return FR.snap_zero(frames, asked, "series_id", "bin", "v", 3, "snapped")
+
+
 # --- vectors -----------------------------------------------------------------------------
 
 def _vectors(spark, sf):

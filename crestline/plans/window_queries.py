@@ -8,6 +8,7 @@ from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import moments as M
 from ..operators import ordered as O
+from ..session import checkpointed
 from .base import (BOUNDS, CHANNELS, CLASSIFIED, DIMENSIONS, EV, FEATURES, HOURLY, MOMENTS, SPANS, TOP2,
                    WINDOWS, classified, features, moments, points, query, r, scored, silence_bounds, spans, windows)
 
@@ -101,7 +102,8 @@ hero AS (SELECT * FROM ranked WHERE rank <= 10 QUALIFY row_number() OVER (PARTIT
 
 
 def _hero_pool(spark, sf):
-    return moments(spark, sf).withColumn("collection", F.col("series_id") % 10).withColumn(
+    """Moments are a catalog table that is read several times; here a checkpoint stands for it."""
+    return checkpointed(moments(spark, sf)).withColumn("collection", F.col("series_id") % 10).withColumn(
         "raw_score", S.round_to(M.raw_total(F.col("scores")), 4))
 
 
@@ -165,6 +167,21 @@ def type_coverage(spark, sf):
     return df.withColumn("missing", F.array_join("missing", ","))
 
 
+@query(f"""WITH {MOMENTS}, {TOP2}, found AS (SELECT series_id, list(DISTINCT type) AS f FROM top2 GROUP BY 1),
+w AS (SELECT series_id, any_value(n_bounds) AS n_bounds, count(*) AS n FROM scored GROUP BY 1),
+x AS (SELECT w.series_id, list_filter([CASE WHEN NOT list_contains(f, 'transition') THEN CASE WHEN coalesce(n_bounds, 0) < 3 THEN 'few_segments' ELSE 'no_window_on_bound' END END,
+  CASE WHEN NOT list_contains(f, 'texture') THEN 'no_bright_sparse_part' END,
+  CASE WHEN NOT list_contains(f, 'melody_no_drums') AND list_contains(f, 'melody') THEN 'drums_throughout' END], lambda y: y IS NOT NULL) AS why FROM w JOIN found ON found.series_id = w.series_id)
+SELECT series_id, CASE WHEN len(why) = 0 THEN 'uniform' ELSE array_to_string(why, ',') END AS reasons FROM x""")
+def missing_type_reasons(spark, sf):
+    rows = scored(spark, sf)
+    best = M.diversity_topk(rows, ["series_id", "type"], "total_score", "start")
+    found = M.type_coverage(best, "series_id", "type").select("series_id", "missing")
+    counts = rows.groupBy("series_id").agg(F.first("n_bounds").alias("bounds"), F.count(F.lit(1)).alias("windows"))
+    why = M.missing_reasons(F.col("missing"), F.coalesce("bounds", F.lit(0)), F.lit(True), F.col("windows"), F.lit(0))
+    return counts.join(found, "series_id").select("series_id", F.array_join(why, ",").alias("reasons"))
+
+
 @query(f"""WITH {EV}, {SPANS}, tempo AS (SELECT *, 60.0 + (series_id % 5) * 40 AS tempo, duration / 20.0 AS seconds FROM spans),
 sized AS (SELECT *, least(greatest(1, least(6, 2 * 240.0 / least(240.0, greatest(40.0, tempo)))), 6) AS size FROM tempo WHERE seconds >= 0.5),
 cells AS (SELECT *, unnest(generate_series(0, greatest(0, floor((seconds - size + 1e-6) / (size / 2.0)))::BIGINT)) AS index FROM sized)
