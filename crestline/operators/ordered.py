@@ -84,24 +84,24 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
     r = right.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_is", F.lit(0))
     both, cut = with_parts(l.unionByName(r, allowMissingColumns=True), keys, "_t", max_rows)
     mark = F.when(F.col("_is") == 0, F.col("_t"))
-    w = Window.partitionBy(*keys, PART).orderBy("_t")
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    # Both directions are running frames from the start of an order; a frame that is open towards
+    # the end would be evaluated anew for every row.
     out = both
     if earlier:
-        frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("_before", F.max(mark).over(frame))
+        ahead = Window.partitionBy(*keys, PART).orderBy(F.col("_t"))
+        out = out.withColumn("_before", F.max(mark).over(ahead.rangeBetween(*frame)))
     if later:
-        frame = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-        out = out.withColumn("_after", F.min(mark).over(frame))
+        back = Window.partitionBy(*keys, PART).orderBy(F.col("_t").desc())
+        out = out.withColumn("_after", F.min(mark).over(back.rangeBetween(*frame)))
     out = out.where("_is = 1")
     prev = after = F.lit(None).cast("double")
     if cut:
         bounds = both.where(CUT).groupBy(*keys, PART).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
-        across = Window.partitionBy(*keys).orderBy(PART)
-        carried = bounds.select(
-            *keys, PART,
-            F.max("_hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-            F.min("_lo").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
-        ).where("_prev is not null or _next is not null")
+        others = (Window.unboundedPreceding, -1)
+        up = Window.partitionBy(*keys).orderBy(F.col(PART)).rowsBetween(*others)
+        down = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(*others)
+        carried = bounds.select(*keys, PART, F.max("_hi").over(up).alias("_prev"), F.min("_lo").over(down).alias("_next"))
         out = out.join(carried, [*keys, PART], "left")
         prev, after = F.col("_prev"), F.col("_next")
     found = []

@@ -5,12 +5,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", replace_touched: bool = False) -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", replace_touched: bool = False,
+                      rows_per_file: int = 5_000_000) -> None:
     """Write by partition. ``replace_touched`` replaces only the partitions present in ``df``; the
-    job commit makes them visible at once and leaves the old ones in place when the job fails."""
+    job commit makes them visible at once and leaves the old ones in place when the job fails.
+
+    The rebalance hint brings the rows of a partition together and lets adaptive execution split a
+    large one over several tasks and files.
+    """
     mode = "dynamic" if replace_touched else "static"
-    (df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite")
-     .option("partitionOverwriteMode", mode).partitionBy(*by).format(fmt).save(path))
+    (df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", mode)
+     .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).format(fmt).save(path))
 
 
 def append_daily(df: DataFrame, path: str, stamp: str) -> None:

@@ -52,26 +52,25 @@ def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataF
 
 
 def latest_state(stream: DataFrame, keys: list[str], version: list[str], purpose: str) -> DataFrame:
-    """Newest row per key, kept as one snapshot folder per batch.
+    """Newest row per key.
 
-    Each batch is merged with the snapshot before it and written to a new folder, so a batch that
-    is retried writes the same result and nothing is overwritten while it is read. Rows that
-    arrive late lose against newer ones.
+    The newest row is the state of a streaming aggregate, so a late row loses against it. Each
+    batch writes only the keys that changed, to a folder of its own number; a retried batch writes
+    the same folder again. The table is the newest change per key.
     """
     spark = stream.sparkSession
     out = workspace(spark, purpose)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_row"))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/snapshot={number - 1}"))
-        newest_per(rows, keys, version).write.mode("overwrite").parquet(f"{out}/snapshot={number}")
+    def save(batch: DataFrame, number: int) -> None:
+        batch.select(*keys, "_row.*").select(*stream.columns).write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
 
-    query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/checkpoint")
+    query = (newest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    progress = [p.batchId for p in query.recentProgress]
-    return spark.read.schema(stream.schema).parquet(f"{out}/snapshot={max(progress)}")
+    changes = spark.read.schema(stream.schema).parquet(f"{out}/changes/batch=*")
+    return newest_per(changes, keys, version)
 
 
 def ingest(stream: DataFrame, known: DataFrame, digest: str, order: list[str], purpose: str) -> DataFrame:
@@ -80,14 +79,16 @@ def ingest(stream: DataFrame, known: DataFrame, digest: str, order: list[str], p
     spark = stream.sparkSession
     out = workspace(spark, purpose)
 
+    digests = stream.select(digest).schema.add("batch", "long")
+
     def admit(batch: DataFrame, number: int) -> None:
         seen = known.select(digest)
         if number > 0:
-            earlier = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{out}/batch={i}" for i in range(number)])
-            seen = seen.unionByName(earlier.select(digest))
-        incremental(batch, seen, digest, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            earlier = batch.sparkSession.read.schema(digests).parquet(f"{out}/admitted")
+            seen = seen.unionByName(earlier.where(F.col("batch") < number).select(digest))
+        incremental(batch, seen, digest, order).write.mode("overwrite").parquet(f"{out}/admitted/batch={number}")
 
     query = (stream.writeStream.foreachBatch(admit).option("checkpointLocation", f"{out}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out + "/batch=*")
+    return spark.read.schema(stream.schema).parquet(f"{out}/admitted/batch=*")
