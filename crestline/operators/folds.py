@@ -114,7 +114,8 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
     """One row in front of every part of a cut key: its entry anchor, and whether its exit anchor
-    is taken over. The table of functions is read twice and therefore checkpointed."""
+    is taken over. The table of functions is read several times and therefore checkpointed. Only
+    entries that the part before can end with are kept; they are far fewer than its points."""
     own = F.struct(F.col(PART).alias("part"), F.lit(1).alias("side"))
     tail = F.when(F.col("_end") - F.col("_t") < gap, F.struct((F.col(PART) + 1).alias("part"), F.lit(0).alias("side")))
     rows = points.where(CUT).select("_key", "_t", "_id", "_s", F.explode(F.array_compact(F.array(own, tail))).alias("_p"))
@@ -122,7 +123,9 @@ def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
         rows.select("_key", F.col("_p.part").alias(PART), F.col("_p.side").alias("_side"), "_t", "_id", "_s")
         .repartition("_key", PART).sortWithinPartitions("_key", PART, "_side", "_t", "_id")
         .mapInPandas(_transfer(gap, stronger), _TABLE_TYPES))
-    grouped = table.withColumn("_group", F.floor(F.col(PART) / FANOUT))
+    reached = table.select("_key", (F.col(PART) + 1).alias(PART), F.col("exit").alias("entry")).distinct()
+    useful = table.where(F.col("entry") == FRESH).unionByName(table.join(reached, ["_key", PART, "entry"], "left_semi"))
+    grouped = useful.withColumn("_group", F.floor(F.col(PART) / FANOUT))
     plain = [F.lit(False).alias("is_seed"), F.lit(False).alias("taken")]
     tops = grouped.groupBy("_key", "_group").applyInPandas(_compose, _TABLE_TYPES)
     entries = tops.select("*", *plain).groupBy("_key").applyInPandas(_walk, _WALK_TYPES)
@@ -158,7 +161,8 @@ def _replay(gap: float, stronger: bool):
                     anchor = (t, ident, s)
                 if opens and not stronger:
                     out.append((key, *anchor))
-            yield pd.DataFrame(out, columns=["_key", "_t", "_id", "_s"])
+            if out:
+                yield pd.DataFrame(out, columns=["_key", "_t", "_id", "_s"])
         if stronger and anchor and not taken:
             yield pd.DataFrame([(current[0], *anchor)], columns=["_key", "_t", "_id", "_s"])
     return run

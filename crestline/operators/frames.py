@@ -193,7 +193,7 @@ def smoothness(frames_: DataFrame, key: str, value: str, reach: int) -> DataFram
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("dev"), F.avg("_soft").alias("soft_mean"),
         F.stddev_pop("_soft").alias("soft_dev"),
         F.avg(F.when(F.col(value) > 0.2 * F.col("_max"), 1.0).otherwise(0.0)).alias("active"))
-    raw, soft = F.col("dev") / F.col("mean"), F.col("soft_dev") / F.col("soft_mean")
+    raw, soft = F.try_divide(F.col("dev"), F.col("mean")), F.try_divide(F.col("soft_dev"), F.col("soft_mean"))
     kept = clamp(F.try_divide(soft, raw), 0.0, 1.0)
     depth = clamp(soft / 0.3, 0.0, 1.0)
     duty = clamp((F.col("active") - 0.25) / 0.55, 0.0, 1.0)

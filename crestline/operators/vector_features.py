@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalar import clamp, round_to
+from ..session import checkpointed
 from .ordered import neighbour, ordinal, top_per
-from .skew import MAX_ROWS, skew_join
+from .skew import MAX_ROWS, hot_keys, skew_join
 
 EPS = 1e-9
 
@@ -30,7 +31,7 @@ def peak_purity(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
     """Distance of the two largest entries of the mean vector, relative to the largest."""
     ordered = mean_vectors(df, key, vec, dims).withColumn("_o", F.sort_array("mean", asc=False))
     top, second = F.col("_o")[0], F.col("_o")[1]
-    return ordered.select(key, clamp((top - second) / (top + EPS), 0.0, 1.0).alias("purity"))
+    return ordered.select(key, clamp(F.try_divide(top - second, top + EPS), 0.0, 1.0).alias("purity"))
 
 
 def stability(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
@@ -122,48 +123,93 @@ def spectrum_class(vec: Column, duration: Column, bin_hz: float, dims: int) -> C
         .otherwise("perc"))
 
 
-def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block: int = 2048) -> DataFrame:
-    """The ``k`` most similar other frames of the same series for every frame, exactly.
+ANGLES = 256
 
-    A series is cut into blocks of about ``block`` frames. A task compares one block with another
-    as a matrix product and returns only the best ``k`` per frame, so no pair is ever a row and a
-    task holds two blocks however long the series is. The best lists are then merged.
-    """
-    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
-    sized = skew_join(df.select(key, ident, vec), counts, [key], "inner", spread=F.xxhash64(ident))
-    sized = sized.withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
-    sides = F.transform(every, lambda b: F.struct(F.col("_own").alias("i"), b.alias("j"), F.lit(0).alias("side")))
-    others = F.transform(every, lambda b: F.struct(b.alias("i"), F.col("_own").alias("j"), F.lit(1).alias("side")))
-    placed = sized.select(key, ident, vec, F.explode(F.concat(sides, others)).alias("_b")).select(key, ident, vec, "_b.*")
 
+def _best(left: pd.DataFrame, right: pd.DataFrame, ident: str, vec: str, k: int) -> pd.DataFrame:
+    """Best ``k`` right frames of every left frame, by cosine (6 digits) and then by number."""
     def unit(pdf):
         m = np.stack(pdf[vec].to_numpy()).astype("float64")
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(length < EPS, 1.0, length)
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({key: [], ident: [], "other": [], "cosine": []})
-        a, b = a.sort_values(ident), b.sort_values(ident)
-        ids, others = a[ident].to_numpy(), b[ident].to_numpy()
-        rows = []
-        columns = unit(b).T
-        vectors = unit(a)
-        for at in range(0, len(ids), 256):
-            scores = np.floor(vectors[at:at + 256] @ columns * 1e6 + 0.5000001) / 1e6
-            scores[ids[at:at + 256, None] == others[None, :]] = -np.inf
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(scores, order, axis=1)
-            row, column = np.nonzero(np.isfinite(found))
-            rows.append(pd.DataFrame({ident: ids[at + row], "other": others[order[row, column]], "cosine": found[row, column]}))
-        out = pd.concat(rows)
-        out.insert(0, key, a[key].iloc[0])
-        return out
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    right = right.sort_values(ident)
+    ids, others, rows = left[ident].to_numpy(), right[ident].to_numpy(), []
+    vectors, columns = unit(left), unit(right).T
+    for at in range(0, len(ids), 256):
+        scores = np.floor(vectors[at:at + 256] @ columns * 1e6 + 0.5000001) / 1e6
+        scores[ids[at:at + 256, None] == others[None, :]] = -np.inf
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(scores, order, axis=1)
+        row, column = np.nonzero(np.isfinite(found))
+        rows.append(pd.DataFrame({ident: ids[at + row], "other": others[order[row, column]], "cosine": found[row, column]}))
+    return pd.concat(rows, ignore_index=True)
+
 
+def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block: int = 2048) -> DataFrame:
+    """The ``k`` most similar other frames of the same series for every frame, exactly.
+
+    A task compares one block of at most about ``block`` frames with another as a matrix product
+    and returns the best ``k`` per frame, so no pair is ever a row. A longer series is ordered by
+    the angle to its first frame and blocks are slices of that angle (split further by hash where
+    many frames share a slice). The best frames of the own block come first. Two frames cannot be
+    closer than their angles to the first frame differ, so a block is then compared only with the
+    slices that the worst of these could still lose to. Frames without energy have no direction
+    and are left out.
+    """
+    width = np.pi / ANGLES
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{key} {types[key]}, {ident} {types[ident]}, other {types[ident]}, cosine double"
-    pairs = placed.groupBy(key, "i", "j").applyInPandas(best, schema)
-    ranked = top_per(pairs, [key, ident], [F.col("cosine").desc(), F.col("other")], k)
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    frames = df.select(key, ident, vec).where(V.norm(F.col(vec)) >= EPS)
+    found_types = f"{ident} {types[ident]}, other {types[ident]}, cosine double, {key} {types[key]}"
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _best(pdf, pdf, ident, vec, k)
+        return pd.DataFrame() if out.empty else out.assign(**{key: pdf[key].iloc[0]})
+
+    if hot_keys(frames, [key], block) is None:
+        return _numbered(frames.groupBy(key).applyInPandas(whole, found_types), key, ident, k)
+    firsts = frames.groupBy(key).agg(F.min_by(vec, ident).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    angle = F.acos(clamp(V.cosine(F.col(vec), F.col("_first")), -1.0, 1.0))
+    slice_ = F.least(F.lit(ANGLES - 1).cast("long"), F.floor(angle / float(width)))
+    sliced = skew_join(frames, firsts, [key], "inner", spread=F.xxhash64(ident)).select(
+        key, ident, vec, F.when(F.col("_n") <= block, F.lit(0).cast("long")).otherwise(slice_).alias("i"))
+    cells = sliced.groupBy(key, "i").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_subs"))
+    placed = checkpointed(skew_join(sliced, cells, [key, "i"], "inner", spread=F.xxhash64(ident)).withColumn(
+        "si", F.pmod(F.xxhash64(ident), F.col("_subs"))).drop("_subs"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The best of the own block and the least k-th cosine in it, noted on one row that pairs
+        the first frame with itself; -2 when a frame has fewer than k others."""
+        found = _best(pdf, pdf, ident, vec, k)
+        last = found.groupby(ident)["cosine"].agg(["size", "min"])
+        sure = last.loc[last["size"] == k, "min"]
+        bound = float(sure.min()) if len(sure) == len(pdf) else -2.0
+        first = pdf[ident].iloc[0]
+        note = pd.DataFrame({ident: [first], "other": [first], "cosine": [0.0]})
+        return pd.concat([note, found]).assign(**{key: pdf[key].iloc[0], "i": pdf["i"].iloc[0], "si": pdf["si"].iloc[0], "bound": bound})
+
+    own = checkpointed(placed.groupBy(key, "i", "si").applyInPandas(inside, found_types + ", i long, si long, bound double"))
+    reach = F.when(F.col("bound") < -1.5, F.lit(float(np.pi))).otherwise(F.acos(clamp(F.col("bound") - 2e-6, -1.0, 1.0)) + 1e-6)
+    low = F.floor(F.col("i") - reach / float(width) - 1e-6)
+    high = F.floor(F.col("i") + 1 + reach / float(width) + 1e-6)
+    slices = F.sequence(F.greatest(F.lit(0).cast("long"), low), F.least(F.lit(ANGLES - 1).cast("long"), high))
+    wanted = own.where(F.col("other") == F.col(ident)).select(key, "i", "si", F.explode(slices).alias("j"))
+    there = cells.withColumnRenamed("i", "j").withColumn("sj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_subs") - 1))).drop("_subs")
+    pairs = wanted.join(there, [key, "j"]).where("i <> j or si <> sj")
+    left = placed.join(pairs, [key, "i", "si"]).withColumn("side", F.lit(0))
+    right = placed.withColumnsRenamed({"i": "j", "si": "sj"}).join(pairs, [key, "j", "sj"]).withColumn("side", F.lit(1))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, offered = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if asked.empty or offered.empty:
+            return pd.DataFrame()
+        out = _best(asked, offered, ident, vec, k)
+        return pd.DataFrame() if out.empty else out.assign(**{key: pdf[key].iloc[0]})
+
+    others = left.unionByName(right).groupBy(key, "i", "si", "j", "sj").applyInPandas(across, found_types)
+    every = own.where(F.col("other") != F.col(ident)).select(*others.columns).unionByName(others)
+    return _numbered(every, key, ident, k)
+
+
+def _numbered(found: DataFrame, key: str, ident: str, k: int) -> DataFrame:
+    ranked = top_per(found, [key, ident], [F.col("cosine").desc(), F.col("other")], k)
+    return ranked.select(key, ident, "other", "cosine", F.col("rank").cast("long").alias("rank"))

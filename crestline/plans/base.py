@@ -110,7 +110,7 @@ sums AS (SELECT i.series_id, i.duration, i.size, i.index, i.start, i."end", sum(
   GROUP BY ALL),
 levels AS (SELECT *, sqrt(energy / points) AS rms, l1 / size AS mean, l2 / size AS square FROM sums),
 features AS (SELECT *, CASE WHEN mean > 0 THEN greatest(0, least(1, 1 - sqrt(greatest(0, square - mean * mean)) / mean / 1.5)) ELSE 0 END AS stability,
-    greatest(0, least(1, log10(greatest(peak / rms, 1.414)) / log10(20.0))) AS crest,
+    greatest(0, least(1, log10(greatest(coalesce(peak / nullif(rms, 0), 0), 1.414)) / log10(20.0))) AS crest,
     1 - loud / size AS headroom
   FROM levels)"""
 
@@ -187,7 +187,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     values = {
         "loopability": round_to(F.col("stability"), 4),
         "memorability": round_to(clamp(F.col("frames") / 32.0, 0.0, 1.0), 4),
-        "key_stability": round_to(F.col("rms") / F.col("peak"), 4),
+        "key_stability": round_to(F.coalesce(F.try_divide(F.col("rms"), F.col("peak")), F.lit(0.0)), 4),
         "drum_state": F.col("drum"),
         "vocal_state": F.col("vocal"),
         "timbre_uniqueness": round_to(F.col("crest"), 4),
@@ -200,7 +200,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SCORED = f"""dims AS (SELECT *, {r("stability", 4)} AS loopability, {r("least(1, frames / 32.0)", 4)} AS memorability,
-    {r("rms / peak", 4)} AS key_stability, drum AS drum_state, vocal AS vocal_state, {r("crest", 4)} AS timbre_uniqueness,
+    {r("coalesce(rms / nullif(peak, 0), 0)", 4)} AS key_stability, drum AS drum_state, vocal AS vocal_state, {r("crest", 4)} AS timbre_uniqueness,
     CASE WHEN coalesce(n_bounds, 0) < 2 THEN 0.5 ELSE {r('''CASE WHEN type = 'transition' THEN greatest(0, least(1, 1 - abs((start + "end") / 2.0 - nearest) / greatest(("end" - start) / 2.0, 1)))
       ELSE 1 - greatest(0, least(1, 1 - abs((start + "end") / 2.0 - nearest) / greatest(("end" - start) / 2.0, 1))) END''', 4)} END AS structure_position,
     {r("greatest(0, least(1, 0.6 * headroom + 0.4 * crest))", 4)} AS space

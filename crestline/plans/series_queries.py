@@ -206,7 +206,7 @@ _RUBRIC = {"drums_presence": ("click_s2", 20), "vocal_free": ("view_s2", 15)}
 @query(f"""WITH {EV}, u AS (SELECT series_id, count(*) AS n, max(value) AS top, avg(value) AS mean, sqrt(avg(value * value)) AS rms,
   count(*) FILTER (channel = 'click' AND value > 200) AS loud, count(*) FILTER (channel = 'view') AS views, min(value) AS low FROM ev GROUP BY 1),
 f AS (SELECT series_id, least(1, loud / 2.0) AS drums_presence, greatest(0, 1 - views / 20.0) AS vocal_free, CASE WHEN top > 3 * mean THEN 1.0 ELSE 0.5 END AS structure_hit, least(1, n / 100.0) AS key_bpm_conf,
-  mean / rms AS loopability, least(1, top / 500) AS timbre_uniqueness, 1 - mean / top AS harmonicity, rms / top AS dynamics_space, least(1, low) AS source_prior FROM u),
+  coalesce(mean / nullif(rms, 0), 0) AS loopability, least(1, top / 500) AS timbre_uniqueness, 1 - coalesce(mean / nullif(top, 0), 0) AS harmonicity, coalesce(rms / nullif(top, 0), 0) AS dynamics_space, least(1, low) AS source_prior FROM u),
 t AS (SELECT series_id, drums_presence > 0 AND vocal_free > 0 AND structure_hit > 0 AS open, drums_presence * 20 + vocal_free * 15 + structure_hit * 15 + key_bpm_conf * 10 + loopability * 10
   + timbre_uniqueness * 15 + harmonicity * 5 + dynamics_space * 5 + source_prior * 5 AS raw FROM f)
 SELECT series_id, {r("CASE WHEN open THEN raw ELSE raw * 0.5 END", 1)} AS total, {r("CASE WHEN open THEN raw ELSE raw * 0.5 END", 1)} >= 60 AS passed FROM t""")
@@ -220,8 +220,8 @@ def gated_rubric(spark, sf):
     features = {
         "drums_presence": F.least(one, F.col("loud") / 2.0), "vocal_free": F.greatest(F.lit(0.0), 1.0 - F.col("views") / 20.0),
         "structure_hit": F.when(F.col("top") > 3 * F.col("mean"), 1.0).otherwise(0.5), "key_bpm_conf": F.least(one, F.col("n") / 100.0),
-        "loopability": F.col("mean") / F.col("rms"), "timbre_uniqueness": F.least(one, F.col("top") / 500),
-        "harmonicity": 1.0 - F.col("mean") / F.col("top"), "dynamics_space": F.col("rms") / F.col("top"), "source_prior": F.least(one, F.col("low"))}
+        "loopability": F.coalesce(F.try_divide(F.col("mean"), F.col("rms")), F.lit(0.0)), "timbre_uniqueness": F.least(one, F.col("top") / 500),
+        "harmonicity": 1.0 - F.coalesce(F.try_divide(F.col("mean"), F.col("top")), F.lit(0.0)), "dynamics_space": F.coalesce(F.try_divide(F.col("rms"), F.col("top")), F.lit(0.0)), "source_prior": F.least(one, F.col("low"))}
     scored = u.withColumn("total", total(features))
     return scored.select("series_id", "total", (F.col("total") >= PASS_MARK).alias("passed"))
 

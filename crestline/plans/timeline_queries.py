@@ -109,7 +109,7 @@ def cyclic_assign(spark, sf):
 
 @query(f"""WITH t AS (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_suppkey) AS top FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 16)
-SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS pad, l_orderkey, l_linenumber, {r("l_extendedprice / top", 3)} AS confidence FROM t""")
+SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS pad, l_orderkey, l_linenumber, {r("coalesce(l_extendedprice / nullif(top, 0), 0)", 3)} AS confidence FROM t""")
 def numbered_topk(spark, sf):
     """Top sixteen by strength per supplier, numbered in time order."""
     from pyspark.sql import Window
@@ -117,7 +117,7 @@ def numbered_topk(spark, sf):
     best = O.top_per(table(spark, sf, "lineitem"), ["l_suppkey"], [F.col("l_extendedprice").desc(), *tie], 16)
     pad = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", *tie)).cast("long")
     top = F.max("l_extendedprice").over(Window.partitionBy("l_suppkey"))
-    return best.select("l_suppkey", pad.alias("pad"), "l_orderkey", "l_linenumber", S.round_to(F.col("l_extendedprice") / top, 3).alias("confidence"))
+    return best.select("l_suppkey", pad.alias("pad"), "l_orderkey", "l_linenumber", S.round_to(F.coalesce(F.try_divide(F.col("l_extendedprice"), top), F.lit(0.0)), 3).alias("confidence"))
 
 
 @query("""SELECT l_orderkey, count(*) AS events, sum(l_linenumber)::BIGINT AS lines, sum(l_partkey)::BIGINT AS parts, max(l_shipdate) AS last FROM lineitem GROUP BY 1""")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check import compare
-from crestline.operators import skew
+from crestline.operators import skew, vector_features
 
 QUERIES = ["segments", "segments_min", "delta_encode", "thin_greedy", "merge_stronger", "state_funnel", "section_timeline",
            "section_grid", "cyclic_assign", "split_snap", "head_tail_continuity", "novelty_bounds", "vector_harmonicity",
@@ -22,5 +22,6 @@ def test_cut_keys_change_nothing(spark, duck, sf, name, monkeypatch):
         return None if found is None else found.withColumn("_n", (F.col("_n") * skew.MAX_ROWS / LIMIT).cast("long"))
 
     monkeypatch.setattr(skew, "hot_keys", eager)
+    monkeypatch.setattr(vector_features, "hot_keys", eager)
     assert compare(spark, duck, sf, name).startswith("ok")
     assert any(seen)

@@ -144,15 +144,17 @@ def test_gate_halves_the_rubric(spark):
     assert (row.open, row.closed) == (100.0, 42.5)
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_recurrence_matches_all_pairs(spark, block):
+@pytest.mark.parametrize("block,spread", [(7, 1.0), (1000, 1.0), (7, 0.02), (5, 0.0)])
+def test_recurrence_matches_all_pairs(spark, block, spread):
+    """Scattered frames, tight clusters (where slices are skipped) and many equal frames."""
     import numpy as np
     rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(60, 5))
-    rows = [("hot" if i < 45 else "cold", i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    centers = rng.normal(size=(4, 5))
+    vectors = centers[rng.integers(0, 4, 90)] + spread * rng.normal(size=(90, 5))
+    rows = [("hot" if i < 70 else "cold", i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [("one", 900, [1.0] * 5)]
     df = spark.createDataFrame(rows, "k string, id long, v array<double>")
     got = sorted((r.id, r["rank"], r.other) for r in VF.recurrence_topk(df, "k", "id", "v", 3, block).collect())
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, v in rows}
     want = []
     for k, i, _ in rows:
         others = sorted((-np.floor(unit[i] @ unit[j] * 1e6 + 0.5000001) / 1e6, j) for kk, j, _ in rows if kk == k and j != i)
