@@ -24,15 +24,19 @@ def get_session(master: str | None = None, app: str = "crestline", **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL: list[str] = []
+
+
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh path for written tables, inside the shared folder named by ``spark.checkpoint.dir``.
 
     Only a session without that setting (a local test) gets a folder of its own, once.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="crestline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="crestline-"))
+        root = _LOCAL[0]
     return f"{root.rstrip('/')}/crestline/{purpose}-{uuid.uuid4().hex}"
 
 
