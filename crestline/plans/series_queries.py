@@ -9,18 +9,24 @@ from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import ordered as O
 from ..operators import vector_features as VF
+from ..operators.skew import skew_join
 from .base import BOUNDS, EV, FILLED, HOURLY, SPANS, hourly, hourly_filled, points, query, r, silence_bounds, spans, table
 
 DIMS = 64
 HOUR = 3_600_000_000
 
 
+def _with_spans(spark, sf):
+    """Points with the duration of their series; the points of one series may be very many."""
+    return skew_join(points(spark, sf), spans(spark, sf), ["series_id"], "inner", spread=F.xxhash64("event_id"))
+
+
 # --- ordered rows ------------------------------------------------------------------------
 
 @query(f"""WITH {EV}, {SPANS}, n AS (SELECT e.*, duration, lead(t) OVER (PARTITION BY e.series_id ORDER BY us, event_id) AS nxt FROM ev e JOIN spans s ON s.series_id = e.series_id)
 SELECT series_id, event_id, {r("greatest(least(coalesce(nxt, t + 24), t + 24, duration), t + 0.5)", 6)} AS "end" FROM n""")
 def segments(spark, sf):
-    both = points(spark, sf).join(spans(spark, sf), "series_id")
+    both = _with_spans(spark, sf)
     cut = O.segments(both, ["series_id"], ["t", "event_id"], 24.0, 0.5, "duration")
     return cut.select("series_id", "event_id", S.round_to(F.col("end"), 6).alias("end"))
 
@@ -180,7 +186,7 @@ def energy_share(spark, sf):
 @query(f"""WITH {EV}, {SPANS}, b AS (SELECT e.series_id, least(15, floor(t / (duration / 16.0)))::BIGINT AS bin, sqrt(avg(value * value)) AS level FROM ev e JOIN spans s ON s.series_id = e.series_id GROUP BY 1, 2)
 SELECT series_id, bin, {r("level", 4)} AS level, {r("level / max(level) OVER (PARTITION BY series_id)", 4)} AS share FROM b""")
 def downsample_bins(spark, sf):
-    both = points(spark, sf).join(spans(spark, sf), "series_id")
+    both = _with_spans(spark, sf)
     out = FR.downsample(both, "series_id", "t", "value", F.col("duration"), 16)
     return out.select("series_id", "bin", *[S.round_to(F.col(c), 4).alias(c) for c in ("level", "share")])
 
@@ -326,7 +332,14 @@ def novelty_bounds(spark, sf):
     return VF.novelty_bounds(_vectors(spark, sf), "label", "vec_id", "embedding")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, {_NOVELTY}, b AS (SELECT label, vec_id::DOUBLE AS bound FROM novel UNION SELECT label, min(vec_id)::DOUBLE FROM embeddings GROUP BY 1
+  UNION SELECT label, (max(vec_id) + 1)::DOUBLE FROM embeddings GROUP BY 1),
+f AS (SELECT label, list(bound ORDER BY bound) AS m FROM b GROUP BY 1
+  UNION ALL SELECT label, list_concat(m[1:cut - 1], m[cut + 1:]) FROM (
+    SELECT label, m, CASE WHEN i = 1 OR (i < len(w) AND w[i - 1] < w[i + 1]) THEN i + 1 ELSE i END AS cut FROM (
+      SELECT label, m, w, list_position(w, list_min(w)) AS i FROM (
+        SELECT label, m, list_transform(range(1, len(m)), lambda k: m[k + 1] - m[k]) AS w FROM f) WHERE len(m) > 3 AND list_min(w) < 40)))
+SELECT label, unnest(arg_min(m, len(m))) AS bound FROM f GROUP BY 1""")
 def absorb_short(spark, sf):
     """Novelty boundaries plus both ends, short segments absorbed."""
     vectors = _vectors(spark, sf)

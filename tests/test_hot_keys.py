@@ -7,7 +7,8 @@ from crestline.operators import skew, vector_features
 
 QUERIES = ["segments", "segments_min", "delta_encode", "thin_greedy", "merge_stronger", "state_funnel", "section_timeline",
            "section_grid", "cyclic_assign", "split_snap", "head_tail_continuity", "novelty_bounds", "vector_harmonicity",
-           "recurrence_topk", "provenance", "largest_remainder", "select_supporting", "second_moment", "lineage_documents"]
+           "recurrence_topk", "provenance", "largest_remainder", "select_supporting", "second_moment", "lineage_documents",
+           "downsample_bins"]
 LIMIT = 3
 
 
