@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, token_files, warc
+from . import decontaminate, pieces, quality, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,49 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through ORC token files."""
     return token_files.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.match(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query("op7_quality", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1)
+      GROUP BY doc_id),
+l AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+             length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+j AS (SELECT *, n > 0 AND (
+        (n > 10 AND NOT regexp_matches(line, '[.!?…。！？]'))
+        OR len(regexp_extract_all(line, '[!?]{2,}')) * 3 > n
+        OR len(regexp_extract_all(line, '[^\x20\x09-\x0D#*$%&<>|][#*$%&<>|]+')) * 3 > n
+        OR (len(regexp_extract_all(line, '[|»›→•·]')) >= 3 AND len(regexp_extract_all(line, '[|»›→•·]')) * 4 >= n)
+        OR (n <= 20 AND regexp_matches(line, '(?i)\b(all rights reserved|licensed under|released under the|copyright|cookie|javascript|privacy policy|terms of (use|service)|sign (in|up)|log in|subscribe|read more|click here|lorem ipsum)\b'))) AS fails
+      FROM l),
+s AS (SELECT doc_id, sum(chars) AS chars, coalesce(sum(chars) FILTER (fails), 0) AS lost,
+             count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup FROM j GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, s.chars::BIGINT AS word_chars, s.lost::BIGINT AS lost_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             s.dup::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+      FROM w JOIN s USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM b""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    q = quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"]
+    return q.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with those that only one owner has."""
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
