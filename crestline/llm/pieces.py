@@ -19,6 +19,8 @@ from sentencepiece import sentencepiece_model_pb2 as spb
 from .arrow import add_lists, data_of, lists_of, slices, strings_of, texts
 
 MARK = "▁".encode()
+#: Distinct parts of text whose ids a worker keeps between batches.
+MEMO = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -66,6 +68,7 @@ class Model:
         spec.precompiled_charsmap, spec.name = b"", "identity"
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         proto.ClearField("denormalizer_spec")
+        self.memo: dict[str, bytes] = {}
         self.segment = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -132,6 +135,17 @@ class Model:
             marked = pc.if_else(pc.equal(marked, ""), "", pc.binary_join_element_wise(MARK.decode(), marked, ""))
         return offsets, data_of(marked)[1], align
 
+    def coded(self, parts: list[str]) -> pa.Array:
+        """Id lists of distinct parts; a bounded memo keeps those of earlier batches."""
+        new = [p for p in parts if p not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = parts
+        for part, ids in zip(new, self.segment.encode(new, num_threads=1)):
+            self.memo[part] = np.array(ids, np.int32).tobytes()
+        found = [self.memo[p] for p in parts]
+        return lists_of(np.frombuffer(b"".join(found), np.int32), np.array([len(f) // 4 for f in found], np.int64))
+
     def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ids per text, and the source span of each piece."""
         offsets, body, align = self.normalised(strings)
@@ -151,8 +165,7 @@ class Model:
             start[full] = True
             cuts = np.append(np.flatnonzero(start), n)
             parts = strings_of(cuts, body).dictionary_encode()
-            coded = self.segment.encode(parts.dictionary.to_pylist(), num_threads=1)
-            lists = pa.array(coded, pa.list_(pa.int32())).take(parts.indices)
+            lists = self.coded(parts.dictionary.to_pylist()).take(parts.indices)
             ids = lists.flatten().to_numpy()
             upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
             count = np.diff(upto[np.searchsorted(cuts, offsets)])

@@ -13,7 +13,7 @@ from .arrow import data_of, lists_of, slices, strings_of, texts
 from .storage import shared_path, written
 
 #: Distinct parts of text whose ids a worker keeps between batches.
-MEMO = 400_000
+MEMO = 300_000
 _STATE: dict = {}
 
 

@@ -177,7 +177,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     yield _index(rows)
 
     _make(folder)
-    spread = archives.select("archive").repartition(F.col("archive"))
+    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")  # a task per archive, not merged
     return written(spread.mapInArrow(run, "archive string, offset long, length long, record_type string, record_id string"), "warc-index")
 
 
@@ -216,7 +216,8 @@ def read(index: DataFrame, key_type: str = "long") -> DataFrame:
         if file is not None:
             file.close()
 
-    found = index.mapInArrow(run, "key string, payload_bytes long, payload_digest string, record_type string, refers string")
+    spread = index.repartition(max(1, index.select("archive").distinct().count()), "archive").sortWithinPartitions("archive", "offset")
+    found = spread.mapInArrow(run, "key string, payload_bytes long, payload_digest string, record_type string, refers string")
     return found.select(F.col("key").cast(key_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers").cast(key_type).alias("refers_to"))
 
