@@ -8,11 +8,13 @@ Jaccard distance d is a metric. Two kinds of pivots cut the space into regions:
    floor((1 - t) n) + 1 of both: that window is where a document is replicated to, and two linked documents meet in the
    region of their first common shingle.
 2. Documents. Each region has a pivot p, and d(x, p) is computed for all its members. Members within the limit of p are
-   linked through it and need no comparison among each other. Other pairs x, y of the region can only be linked if
-   |d(x, p) - d(y, p)| is within the limit; these boundary documents are compared when the region is small.
+   linked through it and need no comparison among each other. Of the others, x and y can only be linked if
+   |d(x, p) - d(y, p)| is within the limit.
 
-Large regions that still hold several components recurse: they are cut again by the next common shingle, with the window
-one place longer, until they are small or of one component. No step needs a bound on the size of a group.
+Regions that still hold several components join again, recursively: each round draws PIVOTS times more of their members
+as pivots and compares these with the members of other components inside the window, until a region is one component or
+all its members have been pivots. A region of near copies ends after one or two rounds, linear in its members; only
+members that stay apart, but within the windows of size, position and distance, are compared pair by pair.
 """
 from __future__ import annotations
 
@@ -34,8 +36,8 @@ BLOCK_SHINGLES, LOCALLY_COMMON = 3_000_000, 4
 COMMON = 100_000
 #: Members of a region of a common shingle that get a pivot of their own.
 SALTED = 8_192
-#: Members up to which the rest of a region is compared pair by pair.
-SMALL = 48
+#: Times more pivots in each further round over the regions that still hold several components.
+PIVOTS = 32
 #: Pivot orders: the regions of a group of near copies get up to so many different pivots.
 ORDERS = 4
 
@@ -134,25 +136,6 @@ def _first_level(docs: DataFrame, key: str, text: str, percent: int, sent) -> Da
     return docs.select(key, text).mapInArrow(run, ROWS)
 
 
-def _next_level(rows: DataFrame, stored: DataFrame, percent: int, depth: int, sent) -> DataFrame:
-    """Cut regions by the next shingle in the window of each member."""
-    keyed = rows.groupBy("x").agg(F.collect_list(F.struct("s", "pos")).alias("at")).join(stored, F.col("x") == F.col("id")).select("x", "at", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for x, at, own in zip(part["x"].to_pylist(), part["at"].to_pylist(), shingle_sets(texts(part, "text"))):
-                    s, times = _ordered(own, sent.value)
-                    end = min(len(own), len(own) - _need(len(own), percent) + depth)
-                    for place in at:
-                        pos = np.arange(place["pos"] + 1, end)
-                        if len(pos):
-                            region = np.full(len(pos), np.array(place["s"], np.int64).view(np.uint64))
-                            yield _rows(mixed(region, s[pos]), times[pos], np.full(len(pos), x), np.full(len(pos), len(own)), pos)
-
-    return keyed.mapInArrow(run, ROWS)
-
-
 def _regions(rows: DataFrame) -> DataFrame:
     """Members of regions with two at least, each with its region's pivot. Streams over sorted rows; a region of a common
     shingle is spread by salt and keeps all its members, with a pivot for each salt."""
@@ -221,72 +204,54 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = own.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
     rows = own.join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = written(rows, "shingle-classes")
-    sent = docs.sparkSession.sparkContext.broadcast(_common(profile))
+    sent = docs.sparkSession.sparkContext.broadcast(_common(profile))  # at most COMMON rows
     limit = 1 - percent / 100 + 1e-9
 
-    level, depth, stored, links, tested, known = _first_level(docs, key, text, percent, sent), 1, None, [], [], None
+    found = written(_regions(_first_level(docs, key, text, percent, sent)), "regions")
+    involved = found.select(F.col("x").alias("id")).distinct()
+    stored = written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi"), "region-texts")
     first_of = members.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
+    reps = written(involved.join(first_of, "id"), "region-reps")
+    found = found.join(reps.select(F.col("id").alias("x"), F.col("rep").alias("rx")), "x")
+    found = written(found.join(reps.select(F.col("id").alias("pivot"), F.col("rep").alias("rp")), "pivot"), "regions")
+    # members with their pivots, and the pivots of one salted region with each other; equal classes need no comparison
+    heads = found.where("salt > 0").select("s", "pivot").distinct()
+    stars = found.where("rx <> rp").select("x", "pivot").unionByName(heads.join(heads.groupBy("s").agg(F.min("pivot").alias("x")), "s").select("x", "pivot"))
+    distances = written(_compared(_pairs(stars, "x", "pivot"), stored), "distances")
+    far = distances.select("a", "b", (1 - F.col("same") / F.col("all")).alias("d"))
+    from_pivot = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d")
+    placed = written(found.join(from_pivot, ["x", "pivot"], "left"), "placed")
+    tested, linked, pivots = distances.select("a", "b"), _linked(distances, percent), 1
+    known = _merged(linked, reps)
     while True:
-        found = written(_regions(level), "regions")
-        if stored is None:
-            involved = found.select(F.col("x").alias("id")).distinct()
-            texts_of = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
-            # rows with the same key: the text that sorts last stands for it in comparisons, see the docstring of links
-            stored = written(texts_of, "region-texts")
-            reps = written(involved.join(first_of, "id"), "region-reps")
-            found = written(found.join(reps, found.x == reps.id).select("s", "salt", "n", "pos", F.col("x"), "pivot", F.col("rep").alias("rx")), "regions")
-            found = found.join(reps, found.pivot == reps.id).select("s", "salt", "n", "pos", "x", "pivot", "rx", F.col("rep").alias("rp"))
-        else:
-            both = found.join(reps, found.x == reps.id).select("s", "salt", "n", "pos", "x", "pivot", F.col("rep").alias("rx"))
-            found = both.join(reps, both.pivot == reps.id).select("s", "salt", "n", "pos", "x", "pivot", "rx", F.col("rep").alias("rp"))
-        found = written(found, "regions")
-        # members with their pivots, and pivots of one salted region with each other; class representatives may differ
-        # from the members that stand for them here, equal classes need no comparison
-        stars = found.where("rx <> rp").select("x", "pivot")
-        heads = found.where("salt > 0").select("s", "pivot").distinct()
-        stars = stars.unionByName(heads.join(heads.groupBy("s").agg(F.min("pivot").alias("x")), "s").select("x", "pivot"))
-        pairs = _pairs(stars, "x", "pivot")
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        distances = written(_compared(pairs, stored), "distances")
-        tested.append(distances.select("a", "b"))
-        links.append(distances.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b"))
-        known = _merged(links, reps)
-        # what is left: regions with several components
-        held = found.join(known, found.rx == known.id, "left").select("s", "x", "n", "pos", "pivot", "rx", F.coalesce("component", "rx").alias("c"))
-        counted = held.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
-        rest = written(held.join(counted.select("s", "size"), "s"), "open-regions")
-        far = distances.select("a", "b", (1 - F.col("same") / F.col("all")).alias("d"))
-        placed = rest.where(F.col("size") <= SMALL).join(
-            far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d"), ["x", "pivot"], "left")
-        one, two = placed.alias("p"), placed.alias("q")
-        meet = one.join(two, "s").where(
-            (F.col("p.x") < F.col("q.x")) & (F.col("p.c") != F.col("q.c"))
+        # what is left: regions with several components, of which fewer than all members have been pivots
+        held = placed.join(known.withColumnRenamed("id", "rx"), "rx", "left").withColumn("c", F.coalesce("component", "rx")).drop("component")
+        open_ = held.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where(F.col("low") < F.col("high"))
+        rest = written(held.join(open_.where(F.col("size") > (pivots if pivots > 1 else 0)).select("s", "size"), "s"), "open-regions")
+        if rest.isEmpty():
+            break
+        pivots *= PIVOTS
+        chosen = F.pmod(F.xxhash64("q.x"), F.lit(1 << 30)) < F.lit(1 << 30) * (F.lit(pivots) / F.col("q.size"))
+        meet = rest.alias("p").join(rest.alias("q").where((F.col("q.size") <= pivots) | chosen), F.col("p.s") == F.col("q.s")).where(
+            (F.col("p.x") != F.col("q.x")) & (F.col("p.c") != F.col("q.c")) & ((F.col("p.size") > pivots) | (F.col("p.x") < F.col("q.x")))
             & (F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)
-            # common shingles from here on, against the least overlap that a link of these sizes needs
-            & (depth + F.least(F.col("p.n") - F.col("p.pos") - 1, F.col("q.n") - F.col("q.pos") - 1) * 1 >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
+            # what they can share from here on, against the least overlap of a link of these sizes
+            & (1 + F.least(F.col("p.n") - F.col("p.pos") - 1, F.col("q.n") - F.col("q.pos") - 1) >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
             & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= limit, F.lit(True))))
-        pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y")
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y").join(tested, ["a", "b"], "left_anti")
         distances = written(_compared(pairs, stored), "distances")
-        tested.append(distances.select("a", "b"))
-        links.append(distances.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b"))
-        large = rest.where(F.col("size") > SMALL).select("s", "x", "pos")
-        known = _merged(links, reps)
-        if large.isEmpty():
-            break
-        depth += 1
-        level = _next_level(large, stored, percent, depth, sent)
+        tested, linked = tested.unionByName(distances.select("a", "b")), linked.unionByName(_linked(distances, percent))
+        known = _merged(linked, reps)
     return members.join(known, members.rep == known.id, "left").select(
         members.id.alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _merged(links: list[DataFrame], reps: DataFrame) -> DataFrame:
+def _linked(distances: DataFrame, percent: int) -> DataFrame:
+    return distances.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b")
+
+
+def _merged(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Components of class representatives from links between members."""
-    pairs = links[0]
-    for more in links[1:]:
-        pairs = pairs.unionByName(more)
     one, two = reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     ends = pairs.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return written(connected_components(ends), "components")

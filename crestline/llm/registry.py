@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pieces, quality, secrets, token_files, warc
+from . import decontaminate, jaccard_join, pieces, quality, secrets, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_ids(hashed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles agree to three quarters."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op8_warc", """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)

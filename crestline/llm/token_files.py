@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .arrow import data_of, lists_of, slices, strings_of, texts
 from .storage import shared_path, written
 
-#: Distinct parts of text whose ids a worker keeps between batches.
-MEMO = 300_000
+#: Distinct parts of text in each half of a worker's memo.
+MEMO = 120_000
 _STATE: dict = {}
 
 
@@ -34,24 +35,51 @@ def _cuts(ends: np.ndarray, body: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(start), len(body))
 
 
-def _encode(tokenizer, memo: dict, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row and ids per text; each distinct part goes through the library once."""
-    ends, body = data_of(strings)
-    cuts = _cuts(ends, body)
-    parts = strings_of(cuts, body).dictionary_encode()
-    known = parts.dictionary.to_pylist()
-    new = [p for p in known if p not in memo]
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = known
-    for at in range(0, len(new), 20_000):
-        some = new[at:at + 20_000]
-        for part, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            memo[part] = np.array(coded.ids, np.int32).tobytes()
-    coded = [memo[p] for p in known]
-    lists = lists_of(np.frombuffer(b"".join(coded), np.int32), np.array([len(c) // 4 for c in coded], np.int64)).take(parts.indices)
-    upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-    return lists.flatten().to_numpy(), np.diff(upto[np.searchsorted(cuts, ends)])
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it is a visible Latin-1 character, else the
+    next letter from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+LETTERS = _byte_letters()
+
+
+class Encoder:
+    """The library's tokenizer with a bounded memo of parts: those met since the memo was last half emptied, and before."""
+
+    def __init__(self, source: str):
+        import os
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(source)
+        self.model = self.tokenizer.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            if part.lstrip(" ").isalpha() and part.rfind(" ") <= 0:  # one pre-token: letters after a blank at most
+                ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(LETTERS))]
+            else:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            found = array("i", ids).tobytes()
+        if len(self.new) >= MEMO:
+            self.new, self.old = {}, self.new
+        self.new[part] = found
+        return found
+
+    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row and ids per text; a distinct part goes through the library once in a while."""
+        ends, body = data_of(strings)
+        cuts = _cuts(ends, body)
+        parts = strings_of(cuts, body).dictionary_encode()
+        coded = [self.new.get(p) or self.of(p) for p in parts.dictionary.to_pylist()]
+        lists = lists_of(np.frombuffer(b"".join(coded), np.int32), np.array([len(c) // 4 for c in coded], np.int64)).take(parts.indices)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        return lists.flatten().to_numpy(), np.diff(upto[np.searchsorted(cuts, ends)])
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", end_id: int = 2) -> DataFrame:
@@ -62,12 +90,11 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", end_id: int =
     schema = T.StructType([df.schema[c] for c in columns] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
         if _STATE.get("source") != source.value:
-            _STATE.update(source=source.value, tokenizer=Tokenizer.from_str(source.value), memo={})
+            _STATE.update(source=source.value, encoder=Encoder(source.value))
         for batch in batches:
             for part in slices(batch, text):
-                ids, count = _encode(_STATE["tokenizer"], _STATE["memo"], texts(part, text))
+                ids, count = _STATE["encoder"].encode(texts(part, text))
                 whole = np.full(len(ids) + len(count), end_id, np.int32)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
                 yield pa.RecordBatch.from_arrays([part[c] for c in columns] + [lists_of(whole, count + 1)], names=columns + ["ids"])
