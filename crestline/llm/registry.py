@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, pieces, quality, secrets, token_files, warc
+from . import decontaminate, jaccard_join, pieces, quality, secrets, sentence_dedup, surrogates, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, "crestline")
+
+
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
@@ -66,6 +73,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.match(docs, table(spark, sf_dir, "benchmark")))
 
 
+@query("op6_sentence_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents without repeated runs of sentences."""
+    return sentence_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_quality", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
