@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .arrow import data_of, lists_of, slices, strings_of, texts
 from .storage import shared_path, written
 
-#: Distinct parts of text in each half of a worker's memo.
-MEMO = 120_000
+#: Distinct parts of text in a worker's memo.
+MEMO = 200_000
 _STATE: dict = {}
 
 
@@ -47,7 +47,8 @@ LETTERS = _byte_letters()
 
 
 class Encoder:
-    """The library's tokenizer with a bounded memo of parts: those met since the memo was last half emptied, and before."""
+    """The library's tokenizer with a memo of the parts met first, of which the frequent ones are nearly all; it starts
+    anew when too many others come."""
 
     def __init__(self, source: str):
         import os
@@ -55,20 +56,22 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(source)
         self.model = self.tokenizer.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
+        self.missed = 0
 
     def of(self, part: str) -> bytes:
-        found = self.old.get(part)
-        if found is None:
-            if part.lstrip(" ").isalpha() and part.rfind(" ") <= 0:  # one pre-token: letters after a blank at most
-                ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(LETTERS))]
-            else:
-                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            found = array("i", ids).tobytes()
-        if len(self.new) >= MEMO:
-            self.new, self.old = {}, self.new
-        self.new[part] = found
+        """Ids of a part that the memo doesn't have."""
+        word = part[1:] if part[0] == " " else part
+        if word.isalpha():  # one pre-token: letters after a blank at most
+            found = array("i", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        else:
+            found = array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if len(self.memo) < MEMO:
+            self.memo[part] = found
+        else:
+            self.missed += 1
+            if self.missed > 20 * MEMO:
+                self.memo, self.missed = {}, 0
         return found
 
     def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,8 @@ class Encoder:
         ends, body = data_of(strings)
         cuts = _cuts(ends, body)
         parts = strings_of(cuts, body).dictionary_encode()
-        coded = [self.new.get(p) or self.of(p) for p in parts.dictionary.to_pylist()]
+        get, of = self.memo.get, self.of
+        coded = [get(p) or of(p) for p in parts.dictionary.to_pylist()]
         lists = lists_of(np.frombuffer(b"".join(coded), np.int32), np.array([len(c) // 4 for c in coded], np.int64)).take(parts.indices)
         upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
         return lists.flatten().to_numpy(), np.diff(upto[np.searchsorted(cuts, ends)])
@@ -109,7 +113,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", stripe_bytes: int = 16
     and a lookup skips them by metadata. Files split by stripes when read.
     """
     (df.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", stride).option("orc.create.index", "true")
-     .option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", 0.01).option("compression", "zstd").orc(path))
+     .option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", 0.01).option("compression", "snappy").orc(path))
 
 
 def lookup(spark: SparkSession, path: str, ids: list, key: str = "doc_id") -> DataFrame:
