@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, pieces, quality, secrets, sentence_dedup, surrogates, token_files, warc
+from . import decontaminate, jaccard_join, language_model, pieces, quality, secrets, sentence_dedup, surrogates, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.match(docs, table(spark, sf_dir, "benchmark")))
 
 
+@query("op5_language_model")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_sentence_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of all documents without repeated runs of sentences."""
