@@ -18,6 +18,7 @@ members that stay apart, but within the windows of size, position and distance,
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ COMMON = 100_000
 SALTED = 8_192
 #: Times more pivots in each further round over the regions that still hold several components.
 PIVOTS = 32
-#: Pivot orders: the regions of a group of near copies get up to so many different pivots.
-ORDERS = 4
+#: Rows of two numbers up to which a table is broadcast; larger ones are joined by a shuffle, with the same result.
+BROADCAST_ROWS = 1_000_000
 
 
 def _need(n: int, percent: int) -> int:
@@ -98,16 +99,14 @@ def _ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return own[order], times[order]
 
 
-ROWS = "s long, salt int, rank long, x long, n int, pos int"
+ROWS = "s long, x long, place long"
 
 
-def _rows(s: np.ndarray, times: np.ndarray, x: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    parts = (times // SALTED).astype(np.uint64)
-    own = x.astype(np.int64).view(np.uint64)
-    salt = np.where(parts > 0, mixed(own, parts) % np.maximum(parts, np.uint64(1)) + np.uint64(1), np.uint64(0)).astype(np.int32)
-    rank = mixed(own, s % np.uint64(ORDERS)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(salt), pa.array(rank), pa.array(x.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))],
-                                      names=["s", "salt", "rank", "x", "n", "pos"])
+def _rows(s: np.ndarray, times: np.ndarray, x: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+    """Window rows; place holds the number of shingles after this one above 16 bits of salt (0: region in one piece)."""
+    parts = np.minimum(times // SALTED, 65_535).astype(np.uint64)
+    salt = np.where(parts > 0, mixed(x.astype(np.int64).view(np.uint64), parts) % np.maximum(parts, np.uint64(1)) + np.uint64(1), np.uint64(0)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(x.astype(np.int64)), pa.array((left.astype(np.int64) << 16) + np.minimum(salt, 65_535))], names=["s", "x", "place"])
 
 
 def _first_level(docs: DataFrame, key: str, text: str, percent: int, sent) -> DataFrame:
@@ -131,42 +130,55 @@ def _first_level(docs: DataFrame, key: str, text: str, percent: int, sent) -> Da
                 if got:
                     sizes = [len(g[0]) for g in got]
                     yield _rows(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), np.repeat([g[2] for g in got], sizes),
-                                np.repeat([g[3] for g in got], sizes), np.concatenate([np.arange(k) for k in sizes]))
+                                np.concatenate([g[3] - 1 - np.arange(k) for g, k in zip(got, sizes)]))
 
     return docs.select(key, text).mapInArrow(run, ROWS)
 
 
 def _regions(rows: DataFrame) -> DataFrame:
-    """Members of regions with two at least, each with its region's pivot. Streams over sorted rows; a region of a common
-    shingle is spread by salt and keeps all its members, with a pivot for each salt."""
+    """Members of regions with two at least, each with its region's pivot, the member with the smallest key. Streams over
+    sorted rows; a region of a common shingle is spread by salt and keeps all its members, with a pivot for each salt."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot, pending = None, None, None  # key and pivot of the open region, and its first row if not given out yet
+        last, pivot, head, pending = None, 0, 0, None  # key, pivot and its place of the open region, and its first row if not given out yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, salt, x, n, pos = (batch[c].to_numpy() for c in ("s", "salt", "x", "n", "pos"))
+            s, salt, x, place = (batch[c].to_numpy() for c in ("s", "salt", "x", "place"))
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
             new[0] = (s[0], salt[0]) != last
             starts = np.flatnonzero(new)
             run_of = np.cumsum(new)  # 0: the region that the batch before left open
-            pivots = np.concatenate([[pivot if pivot is not None else 0], x[starts]])
+            pivots, heads = np.concatenate([[pivot], x[starts]]), np.concatenate([[head], place[starts]])
             sizes = np.bincount(run_of, minlength=len(starts) + 1)
             keep = (salt > 0) | (sizes[run_of] > 1) | (run_of == 0)
-            out = [[a[keep]] for a in (s, salt, x, n, pos, pivots[run_of])]
+            out = [[a[keep]] for a in (s, x, place, pivots[run_of], heads[run_of] >> 16)]
             if pending is not None and sizes[0]:
                 for column, value in zip(out, pending):
                     column.insert(0, np.array([value]))
-            if sizes[0] or len(starts):
-                pending = None
-            last, pivot = (s[-1], salt[-1]), pivots[run_of[-1]]
+            pending = None
+            last, pivot, head = (s[-1], salt[-1]), pivots[run_of[-1]], heads[run_of[-1]]
             if len(starts) and sizes[-1] == 1 and salt[-1] == 0:
-                pending = (s[-1], salt[-1], x[-1], n[-1], pos[-1], x[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int64, np.int32, np.int32, np.int64))],
-                                             names=["s", "salt", "x", "n", "pos", "pivot"])
+                pending = (s[-1], x[-1], place[-1], x[-1], place[-1] >> 16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["s", "x", "place", "pivot", "pivot_left"])
 
-    ordered = rows.repartition("s", "salt").sortWithinPartitions("s", "salt", "rank")
-    return ordered.mapInArrow(run, "s long, salt int, x long, n int, pos int, pivot long")
+    ordered = rows.withColumn("salt", F.col("place").bitwiseAND(65_535)).repartition("s", "salt").sortWithinPartitions("s", "salt", "x")
+    return ordered.mapInArrow(run, "s long, x long, place long, pivot long, pivot_left long")
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """The table, broadcast if it is proven to be small."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(id, text) with compressed texts, which move to their pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress((t or "").encode(), 3) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(packed, pa.binary())], names=["id", "text"])
+
+    return rows.mapInArrow(run, "id long, text binary")
 
 
 def _compared(pairs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -175,14 +187,17 @@ def _compared(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     right = stored.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
+    def sets(packed: list[bytes]) -> Iterator[np.ndarray]:
+        for at in range(0, len(packed), 64):
+            yield from shingle_sets(pa.array([zlib.decompress(p).decode() for p in packed[at:at + 64]], pa.string()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "left"):
-                one = shingle_sets(texts(part, "left"))
-                two = [s for half in slices(part, "right") for s in shingle_sets(texts(half, "right"))]
-                same = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(one, two)]
-                union = [len(p) + len(q) - k for p, q, k in zip(one, two, same)]
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(same, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "same", "all"])
+            same, union = [], []
+            for p, q in zip(sets(batch["left"].to_pylist()), sets(batch["right"].to_pylist())):
+                same.append(len(np.intersect1d(p, q, assume_unique=True)))
+                union.append(len(p) + len(q) - same[-1])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "same", "all"])
 
     return both.mapInArrow(run, "a long, b long, same long, all long")
 
@@ -208,55 +223,60 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     limit = 1 - percent / 100 + 1e-9
 
     found = written(_regions(_first_level(docs, key, text, percent, sent)), "regions")
-    involved = found.select(F.col("x").alias("id")).distinct()
-    stored = written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi"), "region-texts")
-    first_of = members.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
-    reps = written(involved.join(first_of, "id"), "region-reps")
-    found = found.join(reps.select(F.col("id").alias("x"), F.col("rep").alias("rx")), "x")
-    found = written(found.join(reps.select(F.col("id").alias("pivot"), F.col("rep").alias("rp")), "pivot"), "regions")
-    # members with their pivots, and the pivots of one salted region with each other; equal classes need no comparison
-    heads = found.where("salt > 0").select("s", "pivot").distinct()
-    stars = found.where("rx <> rp").select("x", "pivot").unionByName(heads.join(heads.groupBy("s").agg(F.min("pivot").alias("x")), "s").select("x", "pivot"))
-    distances = written(_compared(_pairs(stars, "x", "pivot"), stored), "distances")
+    involved = written(found.select(F.col("x").alias("id")).distinct(), "region-members")
+    stored = written(_packed(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(_sized(involved), "id", "left_semi")), "region-texts")
+    sizes = members.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
+    reps = written(sizes.join(_sized(involved), "id", "left_semi"), "region-classes")
+    # members with their pivots, and the pivots of one salted region with each other; equal classes need no comparison.
+    # A pair that cannot link here by what both have left is not compared: if it links, it meets in an earlier region
+    # again, where the rounds below find it.
+    shared = 1 + F.least(F.shiftright("place", 16), F.col("pivot_left"))
+    stars = found.where("x <> pivot").groupBy("x", "pivot").agg(F.max(shared).alias("shared"))
+    heads = found.where(F.col("place").bitwiseAND(65_535) > 0).select("s", "pivot").distinct()
+    heads = heads.join(heads.groupBy("s").agg(F.min("pivot").alias("x")), "s").where("x <> pivot").select("x", "pivot", F.lit(1 << 40).alias("shared")).distinct()
+    ends = [reps.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in ("x", "pivot")]
+    both = stars.unionByName(heads).join(_sized(ends[0]), "x").join(_sized(ends[1]), "pivot").where("rx <> rpivot")
+    pairs = _pairs(both.where((F.least("nx", "npivot") * 100 >= F.greatest("nx", "npivot") * percent) & (F.col("shared") >= (F.col("nx") + F.col("npivot")) * (percent / (100 + percent)) - 1e-6)), "x", "pivot")
+    distances = written(_compared(pairs, stored), "distances")
     far = distances.select("a", "b", (1 - F.col("same") / F.col("all")).alias("d"))
     from_pivot = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d")
-    placed = written(found.join(from_pivot, ["x", "pivot"], "left"), "placed")
-    tested, linked, pivots = distances.select("a", "b"), _linked(distances, percent), 1
-    known = _merged(linked, reps)
+    copies = reps.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    tested, linked, pivots = distances.select("a", "b"), copies.unionByName(_linked(distances, percent)), 1
+    known, open_rows = written(connected_components(linked), "components"), found
     while True:
         # what is left: regions with several components, of which fewer than all members have been pivots
-        held = placed.join(known.withColumnRenamed("id", "rx"), "rx", "left").withColumn("c", F.coalesce("component", "rx")).drop("component")
-        open_ = held.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where(F.col("low") < F.col("high"))
-        rest = written(held.join(open_.where(F.col("size") > (pivots if pivots > 1 else 0)).select("s", "size"), "s"), "open-regions")
-        if rest.isEmpty():
+        held = open_rows.drop("c", "size").join(_sized(known.select(F.col("id").alias("x"), F.col("component").alias("c"))), "x")
+        left = held.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where(F.col("low") < F.col("high"))
+        left = left.where(F.col("size") > (pivots if pivots > 1 else 0)).select("s", "size")
+        open_rows = held.join(left, "s")
+        if pivots == 1:
+            open_rows = open_rows.join(reps.select(F.col("id").alias("x"), "n"), "x").join(from_pivot, ["x", "pivot"], "left")
+        open_rows = written(open_rows, "open-regions")
+        if open_rows.isEmpty():
             break
         pivots *= PIVOTS
+        rest = open_rows.withColumn("left", F.shiftright("place", 16))
         chosen = F.pmod(F.xxhash64("q.x"), F.lit(1 << 30)) < F.lit(1 << 30) * (F.lit(pivots) / F.col("q.size"))
         meet = rest.alias("p").join(rest.alias("q").where((F.col("q.size") <= pivots) | chosen), F.col("p.s") == F.col("q.s")).where(
             (F.col("p.x") != F.col("q.x")) & (F.col("p.c") != F.col("q.c")) & ((F.col("p.size") > pivots) | (F.col("p.x") < F.col("q.x")))
             & (F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)
             # what they can share from here on, against the least overlap of a link of these sizes
-            & (1 + F.least(F.col("p.n") - F.col("p.pos") - 1, F.col("q.n") - F.col("q.pos") - 1) >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
+            & (1 + F.least("p.left", "q.left") >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
             & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= limit, F.lit(True))))
         pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y").join(tested, ["a", "b"], "left_anti")
         distances = written(_compared(pairs, stored), "distances")
         tested, linked = tested.unionByName(distances.select("a", "b")), linked.unionByName(_linked(distances, percent))
-        known = _merged(linked, reps)
-    return members.join(known, members.rep == known.id, "left").select(
-        members.id.alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        known = written(connected_components(linked), "components")
+    joined = members.join(known, members.id == known.id, "left").select(members.id.alias("id"), "n", "rep", "component")
+    # copies whose class stands in the regions under another member take that one's component
+    of_class = joined.where("component IS NOT NULL").groupBy("rep").agg(F.min("component").alias("own"))
+    return joined.join(of_class, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("own", "rep").alias("component_id"))
 
 
 def _linked(distances: DataFrame, percent: int) -> DataFrame:
     return distances.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b")
 
 
-def _merged(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Components of class representatives from links between members."""
-    one, two = reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-    ends = pairs.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return written(connected_components(ends), "components")
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The document with the smallest key of every component; of repeated rows with that key, one.
 
