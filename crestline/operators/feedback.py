@@ -49,7 +49,7 @@ def rejects(run: Column, candidate: Column, verdict: Column) -> dict[str, Column
     """Rules of a feedback row, for ``catalog.quarantine``."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return {"missing_id": empty(run) | empty(candidate),
-            "bad_verdict": ~F.coalesce(verdict, F.lit("rated")).isin(*VERDICTS)}
+            "bad_verdict": ~F.coalesce(F.nullif(F.trim(verdict), F.lit("")), F.lit("rated")).isin(*VERDICTS)}
 
 
 def source_of(hero: dict[str, Column], manifest: dict[str, Column], samples: Column) -> Column:

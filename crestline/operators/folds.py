@@ -14,7 +14,7 @@ import heapq
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -212,17 +212,16 @@ def with_span_end(kept: DataFrame, spans: DataFrame, key: str, t: str, duration:
 def absorb_short(bounds: DataFrame, key: str, t: str, shortest: float) -> DataFrame:
     """Absorb the shortest segment into its larger neighbour (the left one of equals) while one
     is shorter than ``shortest`` and more than two remain. Input: the few boundaries of ``novelty_bounds``,
-    at most nine per key, so a group is always small."""
-    def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = sorted(pdf[t].tolist())
-        while len(marks) > 3:
-            widths = [b - a for a, b in zip(marks, marks[1:])]
-            i = widths.index(min(widths))
-            if widths[i] >= shortest:
-                break
-            into_next = i == 0 or (i + 1 < len(widths) and widths[i - 1] < widths[i + 1])
-            del marks[i + 1 if into_next else i]
-        return pd.DataFrame({key: pdf[key].iloc[0], t: marks})
-
-    schema = bounds.select(key, F.col(t).cast("double").alias(t)).schema
-    return bounds.select(key, F.col(t).cast("double").alias(t)).groupBy(key).applyInPandas(absorb, schema)
+    at most nine per key, so an array of them is always small."""
+    def without_shortest(marks: Column, _: Column) -> Column:
+        sizes = F.transform(F.slice(marks, 2, F.size(marks) - 1), lambda end, i: end - F.get(marks, i))
+        least = F.array_min(sizes)
+        place = (F.array_position(sizes, least) - 1).cast("int")
+        to_right = (place == 0) | F.coalesce(F.get(sizes, place + 1) > F.get(sizes, place - 1), F.lit(False))
+        gone = F.when((F.size(marks) > 3) & (least < shortest), place + to_right.cast("int")).otherwise(-1)
+        return F.filter(marks, lambda _, i: i != gone)
+
+    marks = F.array_sort(F.collect_list(F.col(t).cast("double")))
+    each = bounds.groupBy(key).agg(marks.alias("_marks"))
+    left = F.aggregate("_marks", F.col("_marks"), without_shortest)
+    return each.select(key, F.explode(left).alias(t))

@@ -26,15 +26,8 @@ DEFAULT_ENERGY = 0.7
 CHOP_STYLES = {"intro": "long_tail", "verse": "phrase_2bar", "hook": "syncopated",
                "verse_variation": "breath", "outro": "long_tail"}
 
-# Sections of each kind that fade out, and their dropout.
-FADING = {"loop": ("outro",), "chop": ("outro",), "stem": ("outro",)}
-DROPOUT = {"loop": ("verse_variation", "odd_bars"), "stem": ("verse_variation", "hero_off")}
-
-# Drum classes, their notes, lengths in beats and pan positions.
+# Drum classes.
 DRUM_CLASSES = ("kick", "snare", "hat", "oh", "perc")
-DRUM_NOTES = {"kick": 36, "snare": 38, "hat": 42, "oh": 46, "perc": 39}
-DRUM_BEATS = {"kick": 0.125, "snare": 0.125, "hat": 0.125, "oh": 0.25, "perc": 0.25}
-PAN = {"hat": 0.25, "oh": 0.15, "perc": -0.25}
 
 
 def literal_map(values: dict) -> Column:
@@ -220,7 +213,3 @@ def reproducible(first: DataFrame, second: DataFrame, volatile: list[str]) -> Da
     """Rows that differ between two results once volatile columns are left out."""
     a, b = first.drop(*volatile), second.drop(*volatile)
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
-
-
-def clip_id(candidate: Column, track: Column, index: Column, beat: Column, media: Column) -> Column:
-    return stable_id("clip", candidate, track, index, beat, media)
