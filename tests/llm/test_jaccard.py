@@ -52,7 +52,7 @@ def _varied(seed):
     return [(i, " ".join(r).title() if i % 3 else "  ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"PIVOTS": 3, "SALTED": 8, "LOCALLY_COMMON": 2, "ORDERS": 1}])
+@pytest.mark.parametrize("limits", [{}, {"PIVOTS": 3, "SALTED": 8, "LOCALLY_COMMON": 2, "BROADCAST_ROWS": 5}])
 def test_components(spark, odd_docs, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(J, name, value)
