@@ -15,10 +15,10 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return workspace(spark, purpose)
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
