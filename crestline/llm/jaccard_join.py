@@ -11,6 +11,10 @@ Jaccard distance d is a metric. Two kinds of pivots cut the space into regions:
    linked through it and need no comparison among each other. Of the others, x and y can only be linked if
    |d(x, p) - d(y, p)| is within the limit.
 
+A third distance needs no text: each document has MARKS bits, those its shingles' hashes fall on. A bit that only x has
+stands for a shingle that only x has, so x and y share at most n(x) less the bits that only x has. Pairs that cannot link
+by this bound are never compared.
+
 Regions that still hold several components join again, recursively: each round draws PIVOTS times more of their members
 as pivots and compares these with the members of other components inside the window, until a region is one component or
 all its members have been pivots. A region of near copies ends after one or two rounds, linear in its members; only
@@ -20,13 +24,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .arrow import slices, texts
+from .arrow import lists_of, slices, texts
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 from .storage import written
@@ -48,9 +53,23 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _mark(own: np.ndarray) -> np.ndarray:
+    """MARKS bits as long numbers: those that the leading bits of the hashes name."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[own >> np.uint64(65 - MARKS.bit_length())] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _may_link(n: list, marks: list, percent: int) -> Column:
+    """Whether two documents of these sizes and marks can share enough; documents without a mark can."""
+    own = [reduce(lambda x, y: x + y, [F.bit_count(marks[i][k].bitwiseAND(F.bitwise_not(marks[1 - i][k]))) for k in range(MARKS // 64)]) for i in (0, 1)]
+    most = F.least(n[0] - own[0], n[1] - own[1])
+    return F.coalesce(most >= (n[0] + n[1]) * (percent / (100 + percent)) - 1e-6, F.lit(True))
+
+
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One pass over all texts, written: a row (0, key, shingles, digest of the set) per document, and rows
-    (1, shingle, documents, null) of the shingles that are common inside a block of a task."""
+    """One pass over all texts, written: a row (0, key, shingles, digest of the set, mark) per document, and rows
+    (1, shingle, documents, null, null) of the shingles that are common inside a block of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
@@ -59,7 +78,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
             often = counts >= LOCALLY_COMMON
             n = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
-                                               pa.nulls(n, pa.binary())], names=["kind", "id", "n", "digest"])
+                                               pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], names=["kind", "id", "n", "digest", "mark"])
 
         for batch in batches:
             for part in slices(batch, text):
@@ -71,14 +90,14 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                         held.append(s)
                         size += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part[key].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array(marks, pa.binary())], names=["kind", "id", "n", "digest"])
+                                                  pa.array(marks, pa.binary()), lists_of(np.concatenate([_mark(s) for s in sets]), np.full(len(sets), MARKS // 64))], names=["kind", "id", "n", "digest", "mark"])
                 if size >= BLOCK_SHINGLES:
                     yield common()
                     held, size, seen = [], 0, set()
         if held:
             yield common()
 
-    return written(docs.select(key, text).mapInArrow(run, "kind int, id long, n long, digest binary"), "shingle-profile")
+    return written(docs.select(key, text).mapInArrow(run, "kind int, id long, n long, digest binary, mark array<long>"), "shingle-profile")
 
 
 def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +118,8 @@ def _ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return own[order], times[order]
 
 
+#: Bits of a document's mark.
+MARKS = 512
 ROWS = "s long, x long, place long"
 
 
@@ -226,7 +247,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     involved = written(found.select(F.col("x").alias("id")).distinct(), "region-members")
     stored = written(_packed(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(_sized(involved), "id", "left_semi")), "region-texts")
     sizes = members.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
-    reps = written(sizes.join(_sized(involved), "id", "left_semi"), "region-classes")
+    # a key with several texts has no mark
+    marks = profile.where("kind = 0").join(_sized(involved), "id", "left_semi").groupBy("id").agg(F.when(F.min("digest") == F.max("digest"), F.min("mark")).alias("mark"))
+    reps = written(sizes.join(marks, "id"), "region-classes")
     # members with their pivots, and the pivots of one salted region with each other; equal classes need no comparison.
     # A pair that cannot link here by what both have left is not compared: if it links, it meets in an earlier region
     # again, where the rounds below find it.
@@ -234,8 +257,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = found.where("x <> pivot").groupBy("x", "pivot").agg(F.max(shared).alias("shared"))
     heads = found.where(F.col("place").bitwiseAND(65_535) > 0).select("s", "pivot").distinct()
     heads = heads.join(heads.groupBy("s").agg(F.min("pivot").alias("x")), "s").where("x <> pivot").select("x", "pivot", F.lit(1 << 40).alias("shared")).distinct()
-    ends = [reps.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in ("x", "pivot")]
-    both = stars.unionByName(heads).join(_sized(ends[0]), "x").join(_sized(ends[1]), "pivot").where("rx <> rpivot")
+    ends = [reps.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("mark").alias(f"m{c}")) for c in ("x", "pivot")]
+    both = stars.unionByName(heads).join(_sized(ends[0]), "x").join(_sized(ends[1]), "pivot").where("rx <> rpivot").where(
+        _may_link([F.col("nx"), F.col("npivot")], [F.col("mx"), F.col("mpivot")], percent))
     pairs = _pairs(both.where((F.least("nx", "npivot") * 100 >= F.greatest("nx", "npivot") * percent) & (F.col("shared") >= (F.col("nx") + F.col("npivot")) * (percent / (100 + percent)) - 1e-6)), "x", "pivot")
     distances = written(_compared(pairs, stored), "distances")
     far = distances.select("a", "b", (1 - F.col("same") / F.col("all")).alias("d"))
@@ -250,7 +274,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         left = left.where(F.col("size") > (pivots if pivots > 1 else 0)).select("s", "size")
         open_rows = held.join(left, "s")
         if pivots == 1:
-            open_rows = open_rows.join(reps.select(F.col("id").alias("x"), "n"), "x").join(from_pivot, ["x", "pivot"], "left")
+            open_rows = open_rows.join(reps.select(F.col("id").alias("x"), "n", "mark"), "x").join(from_pivot, ["x", "pivot"], "left")
         open_rows = written(open_rows, "open-regions")
         if open_rows.isEmpty():
             break
@@ -262,7 +286,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             & (F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)
             # what they can share from here on, against the least overlap of a link of these sizes
             & (1 + F.least("p.left", "q.left") >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
-            & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= limit, F.lit(True))))
+            & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= limit, F.lit(True)))
+            & _may_link([F.col("p.n"), F.col("q.n")], [F.col("p.mark"), F.col("q.mark")], percent))
         pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y").join(tested, ["a", "b"], "left_anti")
         distances = written(_compared(pairs, stored), "distances")
         tested, linked = tested.unionByName(distances.select("a", "b")), linked.unionByName(_linked(distances, percent))
