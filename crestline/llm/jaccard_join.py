@@ -208,17 +208,20 @@ def _compared(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     right = stored.select(F.col("id").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
-    def sets(packed: list[bytes]) -> Iterator[np.ndarray]:
-        for at in range(0, len(packed), 64):
-            yield from shingle_sets(pa.array([zlib.decompress(p).decode() for p in packed[at:at + 64]], pa.string()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}  # sets of the last 128 pairs; the join leaves pairs of one b together
         for batch in batches:
-            same, union = [], []
-            for p, q in zip(sets(batch["left"].to_pylist()), sets(batch["right"].to_pylist())):
-                same.append(len(np.intersect1d(p, q, assume_unique=True)))
-                union.append(len(p) + len(q) - same[-1])
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "same", "all"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                left, right = part["left"].to_pylist(), part["right"].to_pylist()
+                texts = dict.fromkeys([*left, *right])
+                new = [p for p in texts if p not in known]
+                for k in range(0, len(new), 64):
+                    known.update(zip(new[k:k + 64], shingle_sets(pa.array([zlib.decompress(p).decode() for p in new[k:k + 64]], pa.string()))))
+                known = {p: known[p] for p in texts}
+                same = [len(np.intersect1d(known[p], known[q], assume_unique=True)) for p, q in zip(left, right)]
+                union = [len(known[p]) + len(known[q]) - n for p, q, n in zip(left, right, same)]
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(same, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "same", "all"])
 
     return both.mapInArrow(run, "a long, b long, same long, all long")
 
