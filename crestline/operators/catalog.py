@@ -110,7 +110,7 @@ def merge_fields(old: DataFrame, new: DataFrame, key: str, protected: list[str]
 
     Columns of ``new`` replace those of ``old`` where a new row exists. ``protected`` columns of an
     existing row stay when ``protect_when`` (over ``o`` and ``n``) holds; ``keep_known`` columns stay
-    when the new value is NULL.
+    when the new value is NULL. Columns that only ``new`` has are added.
     """
     both = _sides(old, new, key)
     has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
@@ -128,7 +128,7 @@ def merge_fields(old: DataFrame, new: DataFrame, key: str, protected: list[str]
         if name in protected:
             value = F.when(has_old & protect, before).otherwise(value)
         out.append(F.when(has_new, value).otherwise(before).alias(name))
-    return both.select(*out)
+    return both.select(*out, *[F.col(f"n.{c}").alias(c) for c in new.columns if c not in old.columns])
 
 
 def merge_rights(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -138,14 +138,22 @@ def merge_rights(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def merge_jobs(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """A repeated ingest keeps the state reached; attempts grow by the new retries."""
+    """A repeated ingest keeps the state reached; attempts grow by the new retries; all other columns are carried, the
+    new row's replace the old row's."""
     both = _sides(old, new, key)
     has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     again = has_old & (F.col("n.type") == "asset") & (F.col("n.state") == "ingested")
     state = F.when(~has_new | again, F.col("o.state")).otherwise(F.coalesce("n.state", F.lit("discovered")))
     attempts = F.coalesce(F.col("o.attempts"), F.lit(0)) + F.coalesce(F.col("n.retries"), F.lit(0))
+    rest = []
+    for name in dict.fromkeys([*old.columns, *new.columns]):
+        if name in (key, "type", "state", "attempts", "retries"):
+            continue
+        before = F.col(f"o.{name}") if name in old.columns else F.lit(None)
+        after = F.col(f"n.{name}") if name in new.columns else before
+        rest.append(F.when(has_new, after).otherwise(before).alias(name))
     return both.select(key, F.when(has_new, F.col("n.type")).otherwise(F.col("o.type")).alias("type"),
-                       state.alias("state"), attempts.alias("attempts"))
+                       state.alias("state"), attempts.alias("attempts"), *rest)
 
 
 def with_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -172,8 +180,11 @@ def candidate_ids(candidates: Column) -> Column:
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows plus the new rows whose key is absent; running it again changes nothing."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti").select(*old.columns))
+    """Old rows plus one new row for each key that is absent, the least by its JSON text; running it again changes
+    nothing. New rows without a key are not inserted, since nothing tells them from those of the run before."""
+    row = F.struct(*old.columns)
+    single = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return old.unionByName(single.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
 def set_field(old: DataFrame, changes: DataFrame, key: str, name: str, defaults: dict, longest: int = 40) -> DataFrame:

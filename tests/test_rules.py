@@ -211,3 +211,18 @@ def test_same_run_gives_same_ids(spark, sf):
     from crestline.plans.registry import QUERIES
     first, second = (sorted(QUERIES["diversity_topk"](spark, sf).collect()) for _ in range(2))
     assert first == second and len({r.moment_id for r in first}) == len(first)
+
+
+def test_merges_carry_all_columns_and_repeat(spark):
+    from crestline.operators import catalog
+    old = spark.createDataFrame([("a", "asset", "labeled", 1, "p", "e")], "k string, type string, state string, attempts int, payload string, error string")
+    new = spark.createDataFrame([("a", "asset", "ingested", 2, "q"), ("b", "run", None, 0, "r")], "k string, type string, state string, retries int, payload string")
+    got = {r.k: (r.state, r.attempts, r.payload, r.error) for r in catalog.merge_jobs(old, new, "k").collect()}
+    assert got == {"a": ("labeled", 3, "q", "e"), "b": ("discovered", 0, "r", None)}
+    wider = catalog.merge_fields(old.select("k", "state"), new.select("k", "state", "payload"), "k")
+    assert {r.k: (r.state, r.payload) for r in wider.collect()} == {"a": ("ingested", "q"), "b": (None, "r")}
+    rows = spark.createDataFrame([("a", 9), ("c", 3), ("c", 2), (None, 1)], "k string, v int")
+    base = spark.createDataFrame([("a", 1)], "k string, v int")
+    once = catalog.insert_absent(base, rows, "k")
+    assert sorted(map(tuple, once.collect())) == [("a", 1), ("c", 2)]
+    assert sorted(map(tuple, catalog.insert_absent(once, rows, "k").collect())) == [("a", 1), ("c", 2)]
