@@ -13,7 +13,9 @@ Jaccard distance d is a metric. Two kinds of pivots cut the space into regions:
 
 A third distance needs no text: each document has MARKS bits, those its shingles' hashes fall on. A bit that only x has
 stands for a shingle that only x has, so x and y share at most n(x) less the bits that only x has. Pairs that cannot link
-by this bound are never compared.
+by this bound are never compared. Documents of more than LARGE shingles would set nearly all of them; they have at least
+two bits a shingle besides, folded to the shorter one's length when two are held against each other. This sifts pairs
+before any text moves. What it rules out keeps a lower bound of the distance, which the windows use like a distance.
 
 Regions that still hold several components join again, recursively: each round draws PIVOTS times more of their members
 as pivots and compares these with the members of other components inside the window, until a region is one component or
@@ -48,6 +50,11 @@ PIVOTS = 32
 BROADCAST_ROWS = 1_000_000
 
 
+PROFILE = ["kind", "id", "n", "digest", "mark", "bits"]
+#: Shingles from which on a document has bits besides its mark.
+LARGE = 256
+
+
 def _need(n: int, percent: int) -> int:
     """Least overlap of a linked document with one of n shingles."""
     return -(-percent * n // 100)
@@ -60,6 +67,24 @@ def _mark(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _bits(own: np.ndarray) -> bytes | None:
+    """Bits that the leading bits of the hashes name, two to four for each shingle; None if the mark says as much."""
+    if len(own) <= LARGE:
+        return None
+    power = (2 * len(own) - 1).bit_length()
+    bits = np.zeros(max(8, 1 << power), np.uint8)
+    bits[own >> np.uint64(64 - max(3, power))] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _most(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """Most shingles that two documents with these bits can share."""
+    short = min(len(x), len(y))
+    one, other = (np.unpackbits(np.frombuffer(v, np.uint8)).reshape(8 * short, -1).any(1) for v in (x, y))
+    both = int(np.count_nonzero(one & other))
+    return min(nx - int(np.count_nonzero(one)) + both, ny - int(np.count_nonzero(other)) + both)
+
+
 def _may_link(n: list, marks: list, percent: int) -> Column:
     """Whether two documents of these sizes and marks can share enough; documents without a mark can."""
     own = [reduce(lambda x, y: x + y, [F.bit_count(marks[i][k].bitwiseAND(F.bitwise_not(marks[1 - i][k]))) for k in range(MARKS // 64)]) for i in (0, 1)]
@@ -68,8 +93,8 @@ def _may_link(n: list, marks: list, percent: int) -> Column:
 
 
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One pass over all texts, written: a row (0, key, shingles, digest of the set, mark) per document, and rows
-    (1, shingle, documents, null, null) of the shingles that are common inside a block of a task."""
+    """One pass over all texts, written: a row (0, key, shingles, digest of the set, mark, bits) per document, and
+    rows (1, shingle, documents, null, null, null) of the shingles that are common inside a block of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
@@ -78,7 +103,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
             often = counts >= LOCALLY_COMMON
             n = int(often.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
-                                               pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], names=["kind", "id", "n", "digest", "mark"])
+                                               pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], names=PROFILE)
 
         for batch in batches:
             for part in slices(batch, text):
@@ -90,14 +115,15 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                         held.append(s)
                         size += len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part[key].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array(marks, pa.binary()), lists_of(np.concatenate([_mark(s) for s in sets]), np.full(len(sets), MARKS // 64))], names=["kind", "id", "n", "digest", "mark"])
+                                                  pa.array(marks, pa.binary()), lists_of(np.concatenate([_mark(s) for s in sets]), np.full(len(sets), MARKS // 64)),
+                                                  pa.array([_bits(s) for s in sets], pa.binary())], names=PROFILE)
                 if size >= BLOCK_SHINGLES:
                     yield common()
                     held, size, seen = [], 0, set()
         if held:
             yield common()
 
-    return written(docs.select(key, text).mapInArrow(run, "kind int, id long, n long, digest binary, mark array<long>"), "shingle-profile")
+    return written(docs.select(key, text).mapInArrow(run, "kind int, id long, n long, digest binary, mark array<long>, bits binary"), "shingle-profile")
 
 
 def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +228,25 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, text binary")
 
 
+def _sifted(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with stays, false if their bits prove that they cannot link, and then a lower bound of the distance."""
+    left = bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("left"))
+    right = bits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("right"))
+    both = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").select("a", "b", "na", "nb", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays, least = np.ones(batch.num_rows, bool), np.zeros(batch.num_rows)
+            for i in np.flatnonzero((batch["left"].is_valid().to_numpy(zero_copy_only=False)) & (batch["right"].is_valid().to_numpy(zero_copy_only=False))).tolist():
+                x, y, nx, ny = (batch[c][i].as_py() for c in ("left", "right", "na", "nb"))
+                most = _most(x, y, nx, ny)
+                if most * (100 + percent) < percent * (nx + ny):
+                    stays[i], least[i] = False, 1 - most / (nx + ny - most)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(stays), pa.array(least)], names=["a", "b", "stays", "least"])
+
+    return both.mapInArrow(run, "a long, b long, stays boolean, least double")
+
+
 def _compared(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """Sizes and intersections of pairs (a, b)."""
     left = stored.select(F.col("id").alias("a"), F.col("text").alias("left"))
@@ -253,6 +298,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # a key with several texts has no mark
     marks = profile.where("kind = 0").join(_sized(involved), "id", "left_semi").groupBy("id").agg(F.when(F.min("digest") == F.max("digest"), F.min("mark")).alias("mark"))
     reps = written(sizes.join(marks, "id"), "region-classes")
+    whole = reps.where(F.col("mark").isNotNull() & (F.col("n") > LARGE)).select("id", "n")
+    bits = written(profile.where("kind = 0 AND bits IS NOT NULL").select("id", "bits").join(_sized(whole), "id").dropDuplicates(["id"]), "region-bits")
     # members with their pivots, and the pivots of one salted region with each other; equal classes need no comparison.
     # A pair that cannot link here by what both have left is not compared: if it links, it meets in an earlier region
     # again, where the rounds below find it.
@@ -264,11 +311,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     both = stars.unionByName(heads).join(_sized(ends[0]), "x").join(_sized(ends[1]), "pivot").where("rx <> rpivot").where(
         _may_link([F.col("nx"), F.col("npivot")], [F.col("mx"), F.col("mpivot")], percent))
     pairs = _pairs(both.where((F.least("nx", "npivot") * 100 >= F.greatest("nx", "npivot") * percent) & (F.col("shared") >= (F.col("nx") + F.col("npivot")) * (percent / (100 + percent)) - 1e-6)), "x", "pivot")
-    distances = written(_compared(pairs, stored), "distances")
-    far = distances.select("a", "b", (1 - F.col("same") / F.col("all")).alias("d"))
-    from_pivot = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d")
+    sifted = written(_sifted(pairs, bits, percent), "sifted")
+    distances = written(_compared(sifted.where("stays"), stored), "distances")
+    d = 1 - F.col("same") / F.col("all")
+    far = distances.select("a", "b", d.alias("low"), d.alias("high")).unionByName(sifted.where("NOT stays").select("a", "b", F.col("least").alias("low"), F.lit(1.0).alias("high")))
+    from_pivot = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "high")).withColumnsRenamed({"a": "x", "b": "pivot"})
     copies = reps.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    tested, linked, pivots = distances.select("a", "b"), copies.unionByName(_linked(distances, percent)), 1
+    tested, linked, pivots = sifted.select("a", "b"), copies.unionByName(_linked(distances, percent)), 1
     known, open_rows = written(connected_components(linked), "components"), found
     while True:
         # what is left: regions with several components, of which fewer than all members have been pivots
@@ -289,11 +338,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             & (F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent)
             # what they can share from here on, against the least overlap of a link of these sizes
             & (1 + F.least("p.left", "q.left") >= (F.col("p.n") + F.col("q.n")) * (percent / (100 + percent)) - 1e-6)
-            & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.abs(F.col("p.d") - F.col("q.d")) <= limit, F.lit(True)))
+            & ((F.col("p.pivot") != F.col("q.pivot")) | F.coalesce(F.greatest(F.col("p.low") - F.col("q.high"), F.col("q.low") - F.col("p.high")) <= limit, F.lit(True)))
             & _may_link([F.col("p.n"), F.col("q.n")], [F.col("p.mark"), F.col("q.mark")], percent))
         pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y").join(tested, ["a", "b"], "left_anti")
-        distances = written(_compared(pairs, stored), "distances")
-        tested, linked = tested.unionByName(distances.select("a", "b")), linked.unionByName(_linked(distances, percent))
+        sifted = written(_sifted(pairs, bits, percent), "sifted")
+        distances = written(_compared(sifted.where("stays"), stored), "distances")
+        tested, linked = tested.unionByName(sifted.select("a", "b")), linked.unionByName(_linked(distances, percent))
         known = written(connected_components(linked), "components")
     joined = members.join(known, members.id == known.id, "left").select(members.id.alias("id"), "n", "rep", "component")
     # copies whose class stands in the regions under another member take that one's component

@@ -2,6 +2,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from crestline.llm import jaccard_join as J
@@ -52,7 +53,7 @@ def _varied(seed):
     return [(i, " ".join(r).title() if i % 3 else "  ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"PIVOTS": 3, "SALTED": 8, "LOCALLY_COMMON": 2, "BROADCAST_ROWS": 5}])
+@pytest.mark.parametrize("limits", [{}, {"PIVOTS": 3, "SALTED": 8, "LOCALLY_COMMON": 2, "BROADCAST_ROWS": 5}, {"LARGE": 0, "PIVOTS": 2}])
 def test_components(spark, odd_docs, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(J, name, value)
@@ -77,3 +78,16 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100, 300: 100, 500: 500, **{1000 + i: 1000 for i in range(300)}}
     assert got == want
+
+
+def test_bits_never_rule_out_a_link():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(300, 3000)
+        x = {rng.getrandbits(64) for _ in range(n)}
+        y = set(rng.sample(sorted(x), rng.randint(n // 2, n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 3))}
+        a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+        most = J._most(J._bits(a), J._bits(b), len(a), len(b))
+        assert len(x & y) <= most <= min(len(x), len(y))
+        assert len(x & y) > 0.65 * n or most < min(len(x), len(y))
+    assert J._bits(np.zeros(J.LARGE, np.uint64)) is None
