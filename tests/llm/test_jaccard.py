@@ -83,7 +83,7 @@ def test_connected_components(spark):
 def test_bits_never_rule_out_a_link():
     rng = random.Random(5)
     for _ in range(200):
-        n = rng.randint(300, 3000)
+        n = rng.randint(600, 3000)
         x = {rng.getrandbits(64) for _ in range(n)}
         y = set(rng.sample(sorted(x), rng.randint(n // 2, n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 3))}
         a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
