@@ -317,8 +317,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     far = distances.select("a", "b", d.alias("low"), d.alias("high")).unionByName(sifted.where("NOT stays").select("a", "b", F.col("least").alias("low"), F.lit(1.0).alias("high")))
     from_pivot = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "high")).withColumnsRenamed({"a": "x", "b": "pivot"})
     copies = reps.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    tested, linked, pivots = sifted.select("a", "b"), copies.unionByName(_linked(distances, percent)), 1
-    known, open_rows = written(connected_components(linked), "components"), found
+    tested, pivots = sifted.select("a", "b"), 1
+    known, open_rows = written(connected_components(copies.unionByName(_linked(distances, percent))), "components"), found
     while True:
         # what is left: regions with several components, of which fewer than all members have been pivots
         held = open_rows.drop("c", "size").join(_sized(known.select(F.col("id").alias("x"), F.col("component").alias("c"))), "x")
@@ -343,14 +343,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = _pairs(meet.select(F.col("p.x").alias("x"), F.col("q.x").alias("y")), "x", "y").join(tested, ["a", "b"], "left_anti")
         sifted = written(_sifted(pairs, bits, percent), "sifted")
         distances = written(_compared(sifted.where("stays"), stored), "distances")
-        tested, linked = tested.unionByName(sifted.select("a", "b")), linked.unionByName(_linked(distances, percent))
-        known = written(connected_components(linked), "components")
+        tested, more = tested.unionByName(sifted.select("a", "b")), _linked(distances, percent)
+        if not more.isEmpty():
+            known = written(_united(known, more), "components")
     joined = members.join(known, members.id == known.id, "left").select(members.id.alias("id"), "n", "rep", "component")
     # copies whose class stands in the regions under another member take that one's component
     of_class = joined.where("component IS NOT NULL").groupBy("rep").agg(F.min("component").alias("own"))
     return joined.join(of_class, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("own", "rep").alias("component_id"))
 
 
+def _united(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links: only the components that these touch are looked at, as single nodes."""
+    between = links.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    lower = connected_components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    return known.join(lower, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
+
+
 def _linked(distances: DataFrame, percent: int) -> DataFrame:
     return distances.where(F.col("same") * 100 >= F.col("all") * percent).select("a", "b")
 
