@@ -22,18 +22,23 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first, end, hash) of the shortest run from each sentence on with ``least`` sentences and ``words`` words.
+    """(first, end, hash) of the shortest runs with ``least`` sentences and ``words`` words from each sentence on and up to
+    each sentence, in order of their starts.
 
-    Runs compare by their words after lower-casing; pieces without words do not count as sentences.
+    Together they cover each sentence of any longer run from inside: by the run from the sentence on or, near the end, by
+    the run up to the end. Which runs are taken follows from their words alone. Runs compare by their words after lower-casing; pieces without words do not count as sentences.
     """
     split = [p.lower().split() for p in parts]
     full = [i for i, w in enumerate(split) if w]
     marks = [xxhash.xxh3_128_digest(" ".join(split[i])) for i in full]
     size = np.concatenate([[0], np.cumsum([len(split[i]) for i in full])]).astype(np.int64)
-    ends = np.maximum(np.searchsorted(size, size[:-1] + words), np.arange(len(full)) + least)
-    for k, end in enumerate(ends.tolist()):
-        if end <= len(full):
-            yield full[k], full[end - 1] + 1, xxhash.xxh3_128_digest(b"".join(marks[k:end]))
+    place = np.arange(len(full) + 1)
+    ends = np.maximum(np.searchsorted(size, size[:-1] + words), place[:-1] + least)
+    starts = np.minimum(np.searchsorted(size, size[1:] - words, side="right") - 1, place[1:] - least)
+    on = [(k, end) for k, end in enumerate(ends.tolist()) if end <= len(full)]
+    upto = [(k, end) for end, k in enumerate(starts.tolist(), 1) if k >= 0]
+    for k, end in sorted({*on, *upto}):
+        yield full[k], full[end - 1] + 1, xxhash.xxh3_128_digest(b"".join(marks[k:end]))
 
 
 def spans(docs: DataFrame, key: str, text: str, least: int, words: int) -> DataFrame:
@@ -72,7 +77,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """
     every = spans(docs, key, text, least, words)
     place = F.struct(F.col("key").isNotNull().alias("has"), "key", "own", "first")
-    repeated = every.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
+    repeated = every.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.count("*").alias("n")).where("n > 1")
     again = every.join(repeated.select("h1", "h2", "low"), ["h1", "h2"]).where(place != F.col("low"))
     covered = again.groupBy("key", "own").agg(F.collect_set(F.struct("first", "end")).alias("covered")) \
         .select(F.col("key").alias("_key"), F.col("own").alias("_own"), "covered")

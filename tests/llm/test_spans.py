@@ -41,6 +41,36 @@ def test_sentence_dedup(spark, odd_docs, no_docs):
     assert S.deduplicate(odd_docs).count() == odd_docs.count()
 
 
+def _all_runs(parts):
+    """All runs of two sentences and 20 words at least, as (first, end, words)."""
+    full = [i for i, p in enumerate(parts) if p.split()]
+    for a in range(len(full)):
+        for b in range(a + 2, len(full) + 1):
+            words = " | ".join(" ".join(parts[i].lower().split()) for i in full[a:b])
+            if len(words.replace(" | ", " ").split()) >= 20:
+                yield full[a], full[b - 1] + 1, words
+
+
+def test_every_sentence_of_a_repeated_run_goes(spark):
+    rng, number = random.Random(8), iter(range(10**6))
+    sentence = lambda n: " ".join(f"w{next(number)}" for _ in range(n)).capitalize() + ". "
+    passages = [[sentence(n) for n in sizes] for sizes in ([15, 10, 4], [4, 10, 15], [3, 30, 2, 2, 1], [1, 1, 18, 1], [9, 9, 9, 9, 1, 1])]
+    rows = []
+    for i in range(40):
+        body = [sentence(rng.randint(1, 15)) for _ in range(rng.randint(0, 4))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            body += p + [sentence(rng.randint(1, 15))]
+        rows.append((i, "".join(body)))
+    first, drop = {}, {}
+    for key, text in rows:
+        for a, b, words in _all_runs(S.sentences(text)):
+            if first.setdefault(words, (key, a)) != (key, a):
+                drop.setdefault(key, set()).update(range(a, b))
+    want = {k: "".join(p for i, p in enumerate(S.sentences(t)) if i not in drop.get(k, ())) for k, t in rows}
+    assert len(drop) > 15
+    assert {r.doc_id: r.text for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+
+
 PEOPLE = ["Mail anna.b7@mail.example.com or ANNA.B7@mail.example.com now.", "Call +1 (342) 555-8390. Call +1 (342) 555-8390!", "ip 57.14.248.132, card 4315726095712222.",
           "Frau Weber met Herr Weber and Mrs. Jane Smith; Господин Иванов не пришёл.", "ssn 123-45-6789 iban DE89 3704 0044 0532 0130 00", "again anna.b7@mail.example.com",
           "nothing here: 1.2.3 or 2024-01-02 or 12345", "x" * 20000 + "@" + "y" * 20000]
