@@ -111,3 +111,21 @@ def test_collisions_draw_again(spark):
     got = P.surrogates(spark.createDataFrame(cards + names, "entity string"), "k").collect()
     assert len({r.surrogate for r in got}) == len(got) == 600
     assert not {r.surrogate for r in got} & {r.entity for r in got}
+
+
+def test_mentions_of_one_identity(spark):
+    rows = ["Mr. John Smith|Mr. Smith|Mr Smith|Mr. Paul Smith|MR|Mr. SMITH", "Mrs Smith|Mrs. Smith|Mrs. Jane Smith's", "Ann.B@X.com|ann.b@x.com", "+1 (342) 555-8390|+1-342-555-8390|+13425558390",
+            "4315726095712222|4315 7260 9571 2222|4315-7260-9571-2222", "DE89 3704 0044 0532 0130 00|DE89370400440532013000", "Господин Пётр Иванов|Господин Иванов"]
+    df = spark.createDataFrame([(i, " ; ".join(r.split("|"))) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text.split(" ; ") for r in P.replace(df, "key").collect()}
+    m, w, mail, phone, card, iban, cyrillic = (got[i] for i in range(len(rows)))
+    family = m[1].split()[-1]
+    assert family != "Smith" and m[0].split()[-1] == m[3].split()[-1] == family and m[2] == f"Mr {family}" and m[5] == f"Mr. {family.upper()}"
+    assert m[0].split()[1] != m[3].split()[1] and not {"John", "Paul"} & {m[0].split()[1], m[3].split()[1]} - set(P.GIVEN["m", "latin"])
+    assert w[0] == "Mrs " + w[1].split()[-1] and w[2].split()[-1] == w[1].split()[-1] + "'s"
+    assert mail[0].lower() == mail[1] != "ann.b@x.com" and mail[0][0].isupper() and "@" in mail[0]
+    for forms, before in ((phone, rows[3]), (card, rows[4]), (iban, rows[5])):
+        assert len({re.sub(r"\W", "", f) for f in forms}) == 1 and not set(forms) & set(before.split("|"))
+        assert [re.sub(r"\w", "", f) for f in forms] == [re.sub(r"\w", "", f) for f in before.split("|")]
+    assert phone[2].startswith("+1") and _luhn(card[0]) and iban[0].startswith("DE")
+    assert cyrillic[0].split()[-1] == cyrillic[1].split()[-1] != "Иванов"
