@@ -129,3 +129,20 @@ def test_mentions_of_one_identity(spark):
         assert [re.sub(r"\w", "", f) for f in forms] == [re.sub(r"\w", "", f) for f in before.split("|")]
     assert phone[2].startswith("+1") and _luhn(card[0]) and iban[0].startswith("DE")
     assert cyrillic[0].split()[-1] == cyrillic[1].split()[-1] != "Иванов"
+
+
+def test_whole_names_and_untitled_mentions(spark):
+    rows = ["Mr. John Paul Smith left. Later Smith's friend met John, and Smith-led talks began.", "Mr. J. Smith and Mr. J. K. O'Neil; O'Neil said so.", "Prof. Dr. Anna von Weber-Stein; Dr. Kowalski",
+            "Smith has no title here.", "Mr. " + " ".join(f"N{chr(97 + i)}xq" for i in range(12)) + " went", "Mr. Smith I think is SMITH, not a smith. Smithson stays.", "Frau Ö. Weber, Herr Weber's"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in P.replace(df, "key").collect()}
+    texts = [got[i].text for i in range(len(rows))]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) left\. Later (\w+)'s friend met (\w+), and (\w+)-led talks began\.", texts[0])
+    assert m and m[3] == m[4] == m[6] != "Smith" and m[1] == m[5] != "John" and m[2] != "Paul" and got[0].n_entities == 4
+    m2 = re.fullmatch(r"Mr\. ([A-Z])\. (\w+) and Mr\. ([A-Z])\. ([A-Z])\. (\w+); (\w+) said so\.", texts[1])
+    assert m2 and m2[2] == m[3] and m2[1] == m2[3] != "J" and m2[4] not in ("K", m2[3]) and m2[5] == m2[6]
+    m3 = re.fullmatch(r"Prof\. Dr\. (\w+) von (\w+); Dr\. (\w+)", texts[2])
+    assert m3 and m3[1] != "Anna" and m3[2] != "Weber" and m3[3] != "Kowalski"
+    assert texts[3] == rows[3] and not re.search("N[a-z]xq", texts[4]) and len(texts[4].split()) == 14
+    assert texts[5] == f"Mr. {m[3]} I think is {m[3].upper()}, not a smith. Smithson stays."
+    assert re.fullmatch(r"Frau [^Ö]\. (\w+), Herr \1's", texts[6])
