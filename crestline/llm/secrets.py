@@ -44,13 +44,14 @@ def live_looking(value: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row per document: base spans, and opaque tokens that look live and lie in none of them."""
+    """One row per document: base spans, and opaque tokens that look live and lie in none of them. Where the owner is null,
+    the repository stands for it."""
     source = F.coalesce(F.col(text), F.lit(""))
     each = [_spans(F.col("t"), i, *k) for i, k in enumerate(KINDS)]
     base = F.array_sort(F.concat(*each[:3]))
     loose = let(base, lambda b: F.struct(b.alias("base"), F.filter(each[3], lambda x: live_looking(x["value"]) & ~F.exists(
         b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))).alias("loose")))
-    rows = docs.select(F.col(repository).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), source.alias("t"))
+    rows = docs.select(F.col(repository).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("\u0001"), F.col(repository).cast("string")), F.lit("")).alias("owner"), source.alias("t"))
     return rows.select("repository", "owner", loose.alias("s")).select("repository", "owner", "s.base", "s.loose", F.monotonically_increasing_id().alias("row"))
 
 
@@ -69,22 +70,25 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     """Secrets of every document, and which of them belong to one owner.
 
     Candidates are the base kinds and opaque tokens. A value with ``widely`` or more owners is a copied example; one with
-    fewer that looks live is owner-specific. Returns repository, owner, base (spans of the base kinds, all of them), live
+    fewer that looks live is owner-specific. Returns repository, owner (for a null one \\u0001 and the repository), base (spans of the base kinds, all of them), live
     (opaque tokens that are owner-specific, added), n_copied and n_owned (base spans of either sort), in one row per row
-    of the input. Null texts are empty; a null owner is an owner of its own; a repeated row counts as one repository.
+    of the input, and repositories, the number of those with the value of each of the base and live spans, in the order of
+    the spans: a sample that one owner has everywhere shows there. Null texts are empty; a repeated row counts as one repository.
     """
     found = written(candidates(docs, text, repository, owner), "secrets")
     each = found.select("row", F.explode(F.concat("base", "loose")).alias("x")).withColumn("hash", F.sha2(F.col("x.value").cast("binary"), 256))
-    judged = each.join(ownership(found), "hash").select("row", "x", (F.col("owners") >= widely).alias("copied"), live_looking(F.col("x.value")).alias("looks"))
+    judged = each.join(ownership(found), "hash").select("row", "x", "repositories", (F.col("owners") >= widely).alias("copied"), live_looking(F.col("x.value")).alias("looks"))
     is_base = F.col("x.rank") < 3
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(~is_base & ~F.col("copied"), F.col("x"))).alias("live"),
+        F.collect_list(F.when(is_base | ~F.col("copied"), F.struct("x", "repositories"))).alias("spread"),
         F.sum((is_base & F.col("copied")).cast("bigint")).alias("n_copied"),
         F.sum((is_base & ~F.col("copied") & F.col("looks")).cast("bigint")).alias("n_owned"))
     zero = F.lit(0).cast("bigint")
     return found.join(per_row, "row", "left").select(
         "repository", "owner", "base", F.coalesce("live", F.array().cast(none_type())).alias("live"),
-        F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_owned", zero).alias("n_owned"))
+        F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_owned", zero).alias("n_owned"),
+        F.coalesce(F.transform(F.array_sort("spread"), lambda s: s["repositories"]), F.array().cast("array<bigint>")).alias("repositories"))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -97,4 +101,4 @@ def report(scanned: DataFrame) -> DataFrame:
 
     return scanned.select(F.col("repository").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                           F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                          joined(F.array_sort(F.concat("base", "live"))).alias("spans"), "n_copied", "n_owned")
+                          joined(F.array_sort(F.concat("base", "live"))).alias("spans"), "n_copied", "n_owned", F.array_join("repositories", ",").alias("repositories"))

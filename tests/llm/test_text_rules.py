@@ -144,3 +144,13 @@ def test_secrets(spark, odd_docs, docs, no_docs):
         spans[r.doc_id] = r.spans
     assert "live" in spans[1003] and "live" not in spans[1004]
     assert secrets.report(secrets.scan(no_docs)).count() == 0
+
+
+def test_secrets_of_one_owner_in_many_documents(spark):
+    """A null owner is no owner that documents share, and the spread of a value stands beside its spans."""
+    token, other, own = ("ghp_a1B2c3D4e5F6g7H8i9J0k1L2m3N4", "ghp_q9W8e7R6t5Y4u3I2o1P0a9S8d7F6", "ghp_m5N6b7V8c9X1z2L3k4J5h6G7f8D9")
+    rows = [(i, f"x {token} y", None) for i in range(4)] + [(10 + i, f"x {other} token=abcdef{i}", "hot") for i in range(5)] + [(20, f"x {own}", None), (10, f"x {other} token=abcdef0", "hot")]
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert all(got[i].spans == got[i].repositories == "" for i in range(4))
+    assert all((got[10 + i].spans.split(":")[0], got[10 + i].repositories) == ("live", "5,1") for i in range(5))
+    assert got[20].spans.startswith("live") and got[20].repositories == "1"
