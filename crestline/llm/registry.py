@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_model, pieces, quality, secrets, sentence_dedup, surrogates, token_files, warc
+from . import decontaminate, jaccard_join, language_model, pieces, prefix_trie, quality, secrets, sentence_dedup, surrogates, token_files, warc
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +123,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with those that only one owner has."""
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op12_prefix_trie", r"""
+WITH bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+              FROM (SELECT unnest(range(256))::BIGINT AS i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+marked AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, octet_length(encode(text)) AS bytes, md5(octet_length(encode(role)) || ':' || role || text) AS mark, turn,
+                 row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text)) AS pos FROM marked),
+convs AS (SELECT c, c - c % 5 AS s, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                 lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM marked), crc),
+built AS (SELECT v.c, 0 AS half, t.pos, t.mark, t.bytes FROM convs v JOIN turns t ON t.c = v.s AND t.pos <= v.h
+          UNION ALL SELECT v.c, 1, t.pos, t.mark, t.bytes FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+paths AS (SELECT c, bytes, row_number() OVER w AS depth, string_agg(mark, '') OVER w AS path FROM built
+          WINDOW w AS (PARTITION BY c ORDER BY half, pos ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT c, 0 AS depth, '' AS path, 0 AS bytes FROM convs UNION ALL SELECT c, depth, path, bytes FROM paths),
+last AS (SELECT c, max_by(path, depth) AS path FROM members GROUP BY c),
+ends AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM last GROUP BY path),
+nodes AS (SELECT path, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM members GROUP BY path),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (SELECT n.path, (n.n_convs - 1) * n.bytes AS gain, (k.n_children IS NULL)::BIGINT AS leaf, unnest(range(n.depth + 1)) AS d
+       FROM nodes n LEFT JOIN kids k USING (path)),
+below AS (SELECT left(path, 32 * d) AS path, sum(gain)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM up GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN kids k USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1))""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each behind the head of the first one of its group."""
+    turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "trie-ordered", "lz4")
+    return prefix_trie.trie(*prefix_trie.grafted(turns))
