@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_model, pieces, prefix_trie, quality, secrets, sentence_dedup, surrogates, token_files, warc
+from . import alignment, decontaminate, jaccard_join, language_id, language_model, pieces, prefix_trie, quality, secrets, sentence_dedup, surrogates, token_files, warc
 from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level and the piece tokens of every document."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op12_prefix_trie", r"""
 WITH bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
               FROM (SELECT unnest(range(256))::BIGINT AS i)),
@@ -154,3 +160,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, each behind the head of the first one of its group."""
     turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "trie-ordered", "lz4")
     return prefix_trie.trie(*prefix_trie.grafted(turns))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
