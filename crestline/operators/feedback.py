@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, round_to
-from .skew import skew_join
 
 # Dimensions, reason codes and verdicts.
 DIMENSIONS = ("sample", "chop", "drums", "bass", "structure", "overall")
@@ -62,7 +61,7 @@ def source_of(hero: dict[str, Column], manifest: dict[str, Column], samples: Col
 
 def attribute(rows: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Feedback rows with the source of their candidate (NULL when the candidate is gone)."""
-    return skew_join(rows, candidates, keys, "left")
+    return rows.join(candidates, keys, "left")
 
 
 def source_penalties(attributed: DataFrame, source: str, verdict: str) -> DataFrame:

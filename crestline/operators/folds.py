@@ -2,8 +2,8 @@
 
 Both folds keep one anchor point per key. Given the anchor on entry, the points of one part decide
 the anchor on exit, so a part is a function from entry to exit anchor. Keys small enough for one
-task are replayed directly. A key that is cut into parts (see ``skew``) is folded in three steps,
-each spread over tasks: the functions of its parts, their composition in groups of ``FANOUT``
+task are replayed directly. A key of more rows is cut into parts of equal width and folded in three
+steps, each spread over tasks: the functions of its parts, their composition in groups of ``FANOUT``
 parts, and a replay of each part from its entry anchor. A part can only be entered with an anchor
 that lies less than ``gap`` before it; every other entry acts like a fresh start. Parts are at
 least ``gap`` wide, so such an anchor is in the part before.
@@ -17,9 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .skew import CUT, MAX_ROWS, PART, with_parts
+from .ranged import PART, persisted
 
+#: Rows of a key up to which it is one part.
+MAX_ROWS = 1_000_000
+AUTO = 0
+CUT = "_cut"
 FRESH = -1
 FANOUT = 64
 _TABLE = ["_key", "_part", "first", "last", "entry", "t", "s", "exit"]
@@ -112,14 +115,25 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_WALK)
 
 
+def _parts(points: DataFrame, gap: float, max_rows: int) -> DataFrame:
+    """Part number and end of every point, and whether its key has several parts. Nothing is counted while the plan is
+    built: sizes and ranges of the keys are an aggregate that is joined, and split by the engine where a key is hot."""
+    sizes = points.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    width = F.greatest((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / max_rows), F.lit(float(gap)), F.lit(1e-9))
+    sized = sizes.select(F.col("_key").alias("_k"), "_low", width.alias("_width"), (F.col("_n") > max_rows).alias(CUT))
+    part = F.when(F.col(CUT), F.floor((F.col("_t") - F.col("_low")) / F.col("_width"))).otherwise(0).cast("long")
+    out = points.join(sized, F.col("_key").eqNullSafe(F.col("_k"))).withColumn(PART, part)
+    return out.withColumn("_end", F.col("_low") + (F.col(PART) + 1) * F.col("_width")).drop("_k", "_low", "_width")
+
+
 def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
     """One row in front of every part of a cut key: its entry anchor, and whether its exit anchor
-    is taken over. The table of functions is read several times and therefore checkpointed. Only
+    is taken over. The table of functions is read several times and therefore persisted. Only
     entries that the part before can end with are kept; they are far fewer than its points."""
     own = F.struct(F.col(PART).alias("part"), F.lit(1).alias("side"))
     tail = F.when(F.col("_end") - F.col("_t") < gap, F.struct((F.col(PART) + 1).alias("part"), F.lit(0).alias("side")))
     rows = points.where(CUT).select("_key", "_t", "_id", "_s", F.explode(F.array_compact(F.array(own, tail))).alias("_p"))
-    table = checkpointed(
+    table = persisted(
         rows.select("_key", F.col("_p.part").alias(PART), F.col("_p.side").alias("_side"), "_t", "_id", "_s")
         .repartition("_key", PART).sortWithinPartitions("_key", PART, "_side", "_t", "_id")
         .mapInPandas(_transfer(gap, stronger), _TABLE_TYPES))
@@ -174,16 +188,16 @@ def _fold(df: DataFrame, key: str, t: str, ident: str, strength: str | None, gap
     points = df.select(
         F.col(key).cast("string").alias("_key"), F.col(t).cast("double").alias("_t"), F.col(ident).cast("long").alias("_id"),
         (F.col(strength).cast("double") if stronger else F.lit(0.0)).alias("_s"))
-    points, cut = with_parts(points, ["_key"], "_t", max_rows, min_width=gap, ends=True)
+    points = points.withColumn(PART, F.lit(0).cast("long")) if max_rows is None else _parts(points, gap, max_rows or MAX_ROWS)
     rows = points.select("_key", PART, F.lit(1).alias("_side"), "_t", "_id", "_s", F.lit(False).alias("taken"))
-    if cut:
+    if max_rows is not None:
         rows = rows.unionByName(_seeds(points, gap, stronger))
     return (
         rows.repartition("_key", PART).sortWithinPartitions("_key", PART, "_side", "_t", "_id")
         .mapInPandas(_replay(gap, stronger), "_key string, _t double, _id long, _s double"))
 
 
-def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int | None = MAX_ROWS) -> DataFrame:
+def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int | None = AUTO) -> DataFrame:
     """Keep a point when it lies at least ``gap`` after the last kept one; the first is kept.
 
     ``ident`` is a unique non-negative number that also breaks ties of ``t``.
@@ -194,7 +208,7 @@ def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int
 
 
 def merge_stronger(df: DataFrame, key: str, t: str, ident: str, strength: str, gap: float,
-                   max_rows: int | None = MAX_ROWS) -> DataFrame:
+                   max_rows: int | None = AUTO) -> DataFrame:
     """Merge points closer than ``gap`` to the current one; a stronger point takes its place."""
     kept = _fold(df, key, t, ident, strength, gap, max_rows)
     return kept.select(F.col("_key").cast(df.schema[key].dataType).alias(key), F.col("_t").alias(t),

@@ -142,8 +142,7 @@ def select_supporting(df: DataFrame, hero: DataFrame, keys: list[str], total: st
     """Up to ``n`` rows per key next to the hero: supporting types, other assets and other types
     first, then total and explanation."""
     known = hero.select(*keys, F.col(ident).alias("_hero"), F.col(asset).alias("_asset"), F.col("type").alias("_type"))
-    from .skew import skew_join
-    rest = skew_join(_ranked(df), known, keys, "inner", spread=F.xxhash64(ident)).where(F.col(ident) != F.col("_hero"))
+    rest = _ranked(df).join(known, keys).where(F.col(ident) != F.col("_hero"))
     order = [type_matches(F.col("type"), SUPPORTING_WORDS).desc(), (F.col(asset) != F.col("_asset")).desc(),
              (F.col("type") != F.col("_type")).desc(), F.col(total).desc(), F.col("_quality").desc(), F.col(ident)]
     return top_per(rest, keys, order, n).select(*df.columns, "rank")
@@ -151,9 +150,8 @@ def select_supporting(df: DataFrame, hero: DataFrame, keys: list[str], total: st
 
 def second_of_asset(df: DataFrame, chosen: DataFrame, asset: str, ident: str, total: str) -> DataFrame:
     """For each chosen row the best other row of the same asset."""
-    from .skew import skew_join
     known = chosen.select(asset, F.col(ident).alias("chosen"))
-    others = skew_join(df, known, [asset], "inner", spread=F.xxhash64(ident)).where(F.col(ident) != F.col("chosen"))
+    others = df.join(known, asset).where(F.col(ident) != F.col("chosen"))
     return top_per(others, [asset], [F.col(total).desc(), F.col(ident)], 1).drop("rank")
 
 

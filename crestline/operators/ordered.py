@@ -6,103 +6,90 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import CUT, MAX_ROWS, PART, with_parts
+from .ranged import Ranged, running
 
+#: Two-level scan over as many range partitions as the session's shuffles have; ``parts=None`` is a plain window, for input
+#: whose rows per key are bounded by its making (windows, bins and boundaries of a series).
+AUTO = 0
 
-def _over(keys: list[str], order: list[Column]) -> Window:
-    return Window.partitionBy(*keys, PART).orderBy(*order)
+
+def _plain(keys: list[str], order: list[Column]) -> Window:
+    return Window.partitionBy(*keys).orderBy(*order)
 
 
 def neighbours(df: DataFrame, keys: list[str], order: list[str], back: dict[str, str] = {},
-               ahead: dict[str, str] = {}, max_rows: int | None = MAX_ROWS) -> DataFrame:
+               ahead: dict[str, str] = {}, parts: int | None = AUTO) -> DataFrame:
     """Values of the previous and the next row of the key; both maps give new names to columns.
 
-    ``order`` starts with a numeric column and must be unique inside a key.
+    ``order`` must be unique inside a key.
     """
-    parted, cut = with_parts(df, keys, order[0], max_rows)
-    w = _over(keys, [F.col(c) for c in order])
-    across = Window.partitionBy(*keys).orderBy(PART)
     sides = []
     for values, near, pick, name in ((back, F.lag, F.max_by, "_back"), (ahead, F.lead, F.min_by, "_ahead")):
         if values:
             packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
             sides.append((values, packed, near, pick, name))
-    out = parted.select("*", *[near(packed).over(w).alias(name) for _, packed, near, _, name in sides])
-    if cut:
-        edges = parted.where(CUT).groupBy(*keys, PART).agg(
-            *[pick(packed, F.struct(*order)).alias(name) for _, packed, _, pick, name in sides])
-        carried = edges.select(*keys, PART, *[near(name).over(across).alias(f"{name}_far") for _, _, near, _, name in sides])
-        out = out.join(carried, [*keys, PART], "left")
-    found = []
-    for values, _, _, _, name in sides:
-        for n in values:
-            near = F.col(f"{name}.{n}")
-            found.append((F.when(F.col(name).isNotNull(), near).otherwise(F.col(f"{name}_far.{n}")) if cut else near).alias(n))
+    if parts is None:
+        w = _plain(keys, [F.col(c) for c in order])
+        out = df.select("*", *[near(packed).over(w).alias(name) for _, packed, near, _, name in sides])
+        return out.select(*df.columns, *[F.col(f"{name}.{n}").alias(n) for values, _, _, _, name in sides for n in values])
+    dealt = Ranged(df, keys, order, parts or None)
+    out = dealt.rows.select("*", *[near(packed).over(dealt.window()).alias(name) for _, packed, near, _, name in sides])
+    out = dealt.carry([pick(packed, F.struct(*order)).alias(f"{name}_of") for _, packed, _, pick, name in sides],
+                      [near(f"{name}_of").over(dealt.across()).alias(f"{name}_far") for _, _, near, _, name in sides], out)
+    found = [F.when(F.col(name).isNotNull(), F.col(f"{name}.{n}")).otherwise(F.col(f"{name}_far.{n}")).alias(n)
+             for values, _, _, _, name in sides for n in values]
     return out.select(*df.columns, *found)
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-              ahead: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
+              ahead: bool = False, parts: int | None = AUTO) -> DataFrame:
     """Values of the previous row, or of the next one."""
-    return neighbours(df, keys, order, {} if ahead else values, values if ahead else {}, max_rows)
+    return neighbours(df, keys, order, {} if ahead else values, values if ahead else {}, parts)
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-               inclusive: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
+               inclusive: bool = False, parts: int | None = AUTO) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the key (0 for the first row)."""
-    parted, cut = with_parts(df, keys, order[0], max_rows)
-    parted = parted.withColumn("_v", value)
-    w = _over(keys, [F.col(c) for c in order])
-    frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = parted.withColumn("_local", F.sum("_v").over(frame))
-    total = F.coalesce(F.col("_local"), F.lit(0))
-    if cut:
-        sums = parted.where(CUT).groupBy(*keys, PART).agg(F.sum("_v").alias("_sum"))
-        across = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        carried = sums.select(*keys, PART, F.sum("_sum").over(across).alias("_before"))
-        out = out.join(carried, [*keys, PART], "left")
-        total = total + F.coalesce("_before", F.lit(0))
-    return out.select(*df.columns, total.alias(name))
-
-
-def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str,
-            max_rows: int | None = MAX_ROWS) -> DataFrame:
+    if parts is None:
+        frame = _plain(keys, [F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select("*", F.coalesce(F.sum(value).over(frame), F.lit(0)).alias(name))
+    out = running(df, keys, order, {name: (F.sum, value)}, inclusive, parts or None)
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = AUTO) -> DataFrame:
     """1-based position of every row inside its key."""
-    return prefix_sum(df, keys, order, F.lit(1).cast("long"), name, inclusive=True, max_rows=max_rows)
+    return prefix_sum(df, keys, order, F.lit(1).cast("long"), name, inclusive=True, parts=parts)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
-          earlier: str | None = None, later: str | None = None,
-          max_rows: int | None = MAX_ROWS) -> DataFrame:
+          earlier: str | None = None, later: str | None = None, parts: int | None = AUTO) -> DataFrame:
     """Nearest right time at or before (``earlier``) and at or after (``later``) each left row.
 
-    Both sides go through one shuffle; the last and first right time of each part are carried
-    between parts.
+    Both sides are merged in one order; the last right time before and the first one after each range partition are
+    carried over its edges, so no array of times and no range join is needed.
     """
     columns = left.columns
     l = left.withColumn("_t", F.col(t).cast("double")).withColumn("_is", F.lit(1))
     r = right.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_is", F.lit(0))
-    both, cut = with_parts(l.unionByName(r, allowMissingColumns=True), keys, "_t", max_rows)
+    both = l.unionByName(r, allowMissingColumns=True)
     mark = F.when(F.col("_is") == 0, F.col("_t"))
     frame = (Window.unboundedPreceding, Window.currentRow)
+    dealt = None if parts is None else Ranged(both, keys, ["_t"], parts or None)
     # Both directions are running frames from the start of an order; a frame that is open towards
     # the end would be evaluated anew for every row.
-    out = both
+    out = both if dealt is None else dealt.rows
     if earlier:
-        ahead = Window.partitionBy(*keys, PART).orderBy(F.col("_t"))
+        ahead = _plain(keys, [F.col("_t")]) if dealt is None else dealt.window()
         out = out.withColumn("_before", F.max(mark).over(ahead.rangeBetween(*frame)))
     if later:
-        back = Window.partitionBy(*keys, PART).orderBy(F.col("_t").desc())
+        back = _plain(keys, [F.col("_t").desc()]) if dealt is None else dealt.window(descending=True)
         out = out.withColumn("_after", F.min(mark).over(back.rangeBetween(*frame)))
     out = out.where("_is = 1")
     prev = after = F.lit(None).cast("double")
-    if cut:
-        bounds = both.where(CUT).groupBy(*keys, PART).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
-        others = (Window.unboundedPreceding, -1)
-        up = Window.partitionBy(*keys).orderBy(F.col(PART)).rowsBetween(*others)
-        down = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(*others)
-        carried = bounds.select(*keys, PART, F.max("_hi").over(up).alias("_prev"), F.min("_lo").over(down).alias("_next"))
-        out = out.join(carried, [*keys, PART], "left")
+    if dealt is not None:
+        out = dealt.carry([F.min(mark).alias("_lo"), F.max(mark).alias("_hi")],
+                          [F.max("_hi").over(dealt.before()).alias("_prev"), F.min("_lo").over(dealt.after()).alias("_next")], out)
         prev, after = F.col("_prev"), F.col("_next")
     found = []
     if earlier:
@@ -113,20 +100,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, at: str, name: str,
-            max_rows: int | None = MAX_ROWS) -> DataFrame:
+            parts: int | None = AUTO) -> DataFrame:
     """Closest right time of the key; of two equally close ones the earlier. NULL without any."""
-    both = as_of(left, right, keys, t, at, "_early", "_late", max_rows=max_rows)
+    both = as_of(left, right, keys, t, at, "_early", "_late", parts=parts)
     closer_late = F.col("_early").isNull() | (F.col("_late") - F.col(t) < F.col(t) - F.col("_early"))
     pick = F.when(F.col("_late").isNotNull() & closer_late, F.col("_late")).otherwise(F.col("_early"))
     return both.select(*left.columns, pick.alias(name))
 
 
 def first_inside(windows: DataFrame, bounds: DataFrame, keys: list[str], at: str, name: str,
-                 eps: float = 1e-6, max_rows: int | None = MAX_ROWS) -> DataFrame:
+                 eps: float = 1e-6, parts: int | None = AUTO) -> DataFrame:
     """First boundary strictly inside ``(start+eps, end-eps)``: the first one after the start,
     if it comes before the end. No range join is needed."""
     shifted = windows.withColumn("_from", F.col("start").cast("double") + eps)
-    found = as_of(shifted, bounds, keys, "_from", at, later="_hit", max_rows=max_rows)
+    found = as_of(shifted, bounds, keys, "_from", at, later="_hit", parts=parts)
     inside = F.when(F.col("_hit") < F.col("end") - eps, F.col("_hit"))
     return found.select(*windows.columns, inside.alias(name))
 
@@ -149,39 +136,39 @@ def closest_of(bounds: Column, t: Column) -> Column:
 
 
 def state_changes(df: DataFrame, keys: list[str], order: list[str], state: Column, width: float,
-                  name: str = "bound", max_rows: int | None = MAX_ROWS) -> DataFrame:
+                  name: str = "bound", parts: int | None = AUTO) -> DataFrame:
     """Times where a boolean state flips (it starts as false), plus a closing time ``width``
     after the last row of a key that ends in the true state."""
     t = order[0]
     marked = df.withColumn("_state", state).withColumn("_one", F.lit(True))
-    near = neighbours(marked, keys, order, {"_was": "_state"}, {"_more": "_one"}, max_rows)
+    near = neighbours(marked, keys, order, {"_was": "_state"}, {"_more": "_one"}, parts)
     flip = F.when(F.col("_state") != F.coalesce(F.col("_was"), F.lit(False)), F.col(t))
     close = F.when(F.col("_more").isNull() & F.col("_state"), F.col(t) + width)
     return near.select(*keys, F.explode(F.array_compact(F.array(flip, close))).alias(name))
 
 
 def segments(df: DataFrame, keys: list[str], order: list[str], longest: float, shortest: float,
-             duration: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
+             duration: str, parts: int | None = AUTO) -> DataFrame:
     """From each point to the next one, at most ``longest`` and at least ``shortest`` long."""
     t = order[0]
-    ahead = neighbour(df, keys, order, {"_next": t}, ahead=True, max_rows=max_rows)
+    ahead = neighbour(df, keys, order, {"_next": t}, ahead=True, parts=parts)
     limit = F.col(t) + longest
     end = F.least(F.coalesce(F.col("_next"), limit), limit, F.col(duration))
     return ahead.select(*df.columns, F.greatest(end, F.col(t) + shortest).alias("end"))
 
 
 def pieces(points: DataFrame, spans: DataFrame, keys: list[str], t: str, duration: str,
-           shortest: float, max_rows: int | None = MAX_ROWS) -> DataFrame:
+           shortest: float, parts: int | None = AUTO) -> DataFrame:
     """Pieces between consecutive points, both ends of the span included; short ones dropped."""
     ends = [spans.select(*keys, F.lit(0.0).alias("start")),
             spans.select(*keys, F.col(duration).cast("double").alias("start"))]
     marks = reduce(DataFrame.unionByName, [points.select(*keys, F.col(t).cast("double").alias("start")), *ends]).distinct()
-    cut = neighbour(marks, keys, ["start"], {"end": "start"}, ahead=True, max_rows=max_rows)
+    cut = neighbour(marks, keys, ["start"], {"end": "start"}, ahead=True, parts=parts)
     return cut.where(F.col("end") - F.col("start") >= shortest)
 
 
 def delta_encode(notes: DataFrame, keys: list[str], start: str, length: str, ident: str,
-                 max_rows: int | None = MAX_ROWS) -> DataFrame:
+                 parts: int | None = AUTO) -> DataFrame:
     """Intervals to on/off rows with the distance to the previous row; off sorts before on."""
     sides = F.array(
         F.struct(F.greatest(F.lit(0).cast("long"), F.col(start)).alias("tick"), F.lit(1).alias("kind")),
@@ -190,7 +177,7 @@ def delta_encode(notes: DataFrame, keys: list[str], start: str, length: str, ide
     )
     rows = notes.select(*keys, F.col(ident), F.explode(sides).alias("_side")).select(
         *keys, ident, F.col("_side.tick").alias("tick"), F.col("_side.kind").alias("kind"))
-    back = neighbour(rows, keys, ["tick", "kind", ident], {"_was": "tick"}, max_rows=max_rows)
+    back = neighbour(rows, keys, ["tick", "kind", ident], {"_was": "tick"}, parts=parts)
     return back.select(*keys, ident, "tick", "kind",
                        (F.col("tick") - F.coalesce(F.col("_was"), F.lit(0))).alias("delta"))
 

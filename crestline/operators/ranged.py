@@ -80,7 +80,7 @@ class Ranged:
     def carry(self, aggregates: list[Column], carried: list[Column], rows: DataFrame | None = None) -> DataFrame:
         """``rows`` (those dealt, by default) with ``carried`` columns over the summaries; null where nothing crosses.
 
-        ``carried`` are window expressions made by :meth:`before` and :meth:`after`. The joined table has at most two
+        ``carried`` are window expressions over :meth:`before`, :meth:`after` and :meth:`across`. The joined table has at most two
         rows per partition, so it may be broadcast.
         """
         names = [f"_k{i}" for i in range(len(self.keys))]
@@ -90,10 +90,13 @@ class Ranged:
             on = on & _same(k, f"_k{i}")
         return (self.rows if rows is None else rows).join(few, on, "left").drop(*names, "_p")
 
+    def across(self) -> Window:
+        """Partitions of the same key in order, for lag and lead: each of them has rows of it."""
+        return Window.partitionBy(*[f"_k{i}" for i in range(len(self.keys))]).orderBy("_p")
+
     def before(self) -> Window:
         """Earlier partitions of the same key."""
-        keys = [f"_k{i}" for i in range(len(self.keys))]
-        return Window.partitionBy(*keys).orderBy(F.col("_p")).rowsBetween(Window.unboundedPreceding, -1)
+        return self.across().rowsBetween(Window.unboundedPreceding, -1)
 
     def after(self) -> Window:
         """Later partitions of the same key, nearest first."""

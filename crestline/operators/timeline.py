@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import BEATS_PER_BAR, STEPS_PER_BAR, col, pan_gains, round_to, stable_id
-from .ordered import ordinal, prefix_sum
-from .skew import MAX_ROWS, hot_keys, skew_join
+from .ordered import AUTO, ordinal, prefix_sum
 
 # The section template (name, bars); intro and outro keep their length.
 TEMPLATE = (("intro", 2), ("verse", 8), ("hook", 8), ("verse_variation", 6), ("outro", 2))
@@ -46,9 +45,9 @@ def section_dropout(kind: Column, section: Column, k: Column) -> Column:
     return odd | ((kind == "stem") & (section == "verse_variation"))
 
 
-def with_offsets(sections: DataFrame, keys: list[str], order: str, bars: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def with_offsets(sections: DataFrame, keys: list[str], order: str, bars: str, parts: int | None = AUTO) -> DataFrame:
     """Start beat of every section: the beats of all earlier ones."""
-    return prefix_sum(sections, keys, [order], F.col(bars) * float(BEATS_PER_BAR), "start_beat", max_rows=max_rows)
+    return prefix_sum(sections, keys, [order], F.col(bars) * float(BEATS_PER_BAR), "start_beat", parts=parts)
 
 
 def avoid_steps(steps: DataFrame, taken: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
@@ -67,28 +66,27 @@ def avoid_steps(steps: DataFrame, taken: DataFrame, keys: list[str], step: str =
     return kept.where(F.col("_free") | ~F.col("_any")).select(*steps.columns)
 
 
-def cyclic_assign(rows: DataFrame, pool: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
+def cyclic_assign(rows: DataFrame, pool: DataFrame, keys: list[str], order: list[str], parts: int | None = AUTO) -> DataFrame:
     """Give the rows of every key the pool's items in turn. ``pool`` has columns ``slot`` (from 0)
     and ``slots`` (its size) besides the item."""
-    counted = ordinal(rows, keys, order, "_n", max_rows)
+    counted = ordinal(rows, keys, order, "_n", parts)
     size = pool.select(F.max("slots")).scalar()
     placed = counted.withColumn("slot", F.pmod(F.col("_n") - 1, size)).drop("_n")
-    return skew_join(placed, pool.drop("slots"), ["slot"], "left", spread=F.xxhash64(*order))
+    return placed.join(pool.drop("slots"), "slot", "left")
 
 
 # --- documents ---------------------------------------------------------------------------
 
-def events_to_doc(events: DataFrame, keys: list[str], fields: list[str], page_rows: int = 10_000) -> DataFrame:
+def events_to_doc(events: DataFrame, keys: list[str], fields: list[str], page_rows: int = 10_000,
+                  parts: int | None = AUTO) -> DataFrame:
     """Events as nested documents: one row per key and page with a sorted array of events.
 
-    A key with more than ``page_rows`` events gets several pages, so no array grows without bound.
+    Events are numbered in the order of ``fields`` by a two-level scan, and pages take ``page_rows`` of them in turn: pages
+    put behind each other are the sorted events, at every size, and no array grows without bound.
     """
-    page = F.lit(0).cast("long")
-    if hot_keys(events, keys, page_rows) is not None:
-        pages = events.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("long").alias("_pages"))
-        events = skew_join(events, pages.where(F.col("_pages") > 1), keys, "left", spread=F.xxhash64(*fields))
-        page = F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_pages")), F.lit(0))
-    return events.withColumn("page", page).groupBy(*keys, "page").agg(
+    placed = ordinal(events.select(*keys, *[c for c in fields if c not in keys]), keys, fields, "_n", parts)
+    page = F.floor((F.col("_n") - 1) / page_rows)
+    return placed.withColumn("page", page).groupBy(*keys, "page").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
 
 
@@ -190,7 +188,7 @@ def kit_for(classes: DataFrame, hits: DataFrame, key: str, order: list[Column],
 def lineage(runs: DataFrame, run: str, assets: DataFrame, asset: str, rights: DataFrame, pieces: DataFrame,
             fields: list[str], page_rows: int = 10_000) -> DataFrame:
     """Lineage rows: a run with its asset's attributes, its rights and its list of pieces (in pages)."""
-    known = skew_join(runs, assets, [asset], "left").join(rights, run, "left")
+    known = runs.join(assets, asset, "left").join(rights, run, "left")
     return known.join(events_to_doc(pieces, [run], fields, page_rows).withColumnRenamed("events", "pieces"), run, "left")
 
 

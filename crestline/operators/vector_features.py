@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.scalar import clamp, round_to
 from ..session import checkpointed
-from .ordered import neighbour, ordinal, top_per
-from .skew import MAX_ROWS, hot_keys, skew_join
+from .ordered import AUTO, neighbour, ordinal, top_per
 
 EPS = 1e-9
 
@@ -66,7 +65,7 @@ def harmonicity(df: DataFrame, key: str, vec: str, active: float = 0.1) -> DataF
     """1 minus the mean spectral flatness of the frames above a share of the loudest."""
     leveled = df.select(key, V.norm(F.col(vec)).alias("_len"), V.flatness(V.power(F.col(vec))).alias("_flat"))
     tops = leveled.groupBy(key).agg(F.max("_len").alias("_top"))
-    joined = skew_join(leveled, tops, [key], "inner")
+    joined = leveled.join(tops, key)
     loud = F.col("_len") > active * F.col("_top")
     return joined.groupBy(key).agg(
         F.count(F.when(loud, 1)).alias("active"),
@@ -74,11 +73,11 @@ def harmonicity(df: DataFrame, key: str, vec: str, active: float = 0.1) -> DataF
 
 
 def continuity(df: DataFrame, key: str, order: str, vec: str, dims: int, divisor: int = 4,
-               max_rows: int = MAX_ROWS) -> DataFrame:
+               parts: int | None = AUTO) -> DataFrame:
     """Correlation of the mean vectors of the first and the last n frames, mapped to 0..1."""
-    placed = ordinal(df.select(key, order, vec), [key], [order], "_pos", max_rows)
+    placed = ordinal(df.select(key, order, vec), [key], [order], "_pos", parts)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    sized = skew_join(placed, counts, [key], "inner", spread=F.xxhash64(order))
+    sized = placed.join(counts, key)
     n = F.floor(F.col("_n") / divisor)
     head, tail = F.col("_pos") <= n, F.col("_pos") > F.col("_n") - n
     def part(where):
@@ -94,10 +93,10 @@ def continuity(df: DataFrame, key: str, order: str, vec: str, dims: int, divisor
 
 
 def novelty_bounds(df: DataFrame, key: str, order: str, vec: str, per_segment: float = 2.0,
-                   fewest: int = 2, most: int = 8, max_rows: int = MAX_ROWS) -> DataFrame:
+                   fewest: int = 2, most: int = 8, parts: int | None = AUTO) -> DataFrame:
     """Places where neighbouring frames differ most: one less than the number of segments,
     which grows with the length and stays within 2..8."""
-    steps = neighbour(df.select(key, order, vec), [key], [order], {"_was": vec}, max_rows=max_rows)
+    steps = neighbour(df.select(key, order, vec), [key], [order], {"_was": vec}, parts=parts)
     novelty = steps.where(F.col("_was").isNotNull()).select(
         key, F.col(order), round_to(1.0 - V.cosine(F.col(vec), F.col("_was")), 6).alias("novelty"))
     ranked = top_per(novelty, [key], [F.col("novelty").desc(), F.col(order)], most - 1)
@@ -165,15 +164,15 @@ def recurrence_topk(df: DataFrame, key: str, ident: str, vec: str, k: int, block
         out = _best(pdf, pdf, ident, vec, k)
         return pd.DataFrame() if out.empty else out.assign(**{key: pdf[key].iloc[0]})
 
-    if hot_keys(frames, [key], block) is None:
+    if frames.groupBy(key).count().where(F.col("count") > block).isEmpty():
         return _numbered(frames.groupBy(key).applyInPandas(whole, found_types), key, ident, k)
     firsts = frames.groupBy(key).agg(F.min_by(vec, ident).alias("_first"), F.count(F.lit(1)).alias("_n"))
     angle = F.acos(clamp(V.cosine(F.col(vec), F.col("_first")), -1.0, 1.0))
     slice_ = F.least(F.lit(ANGLES - 1).cast("long"), F.floor(angle / float(width)))
-    sliced = skew_join(frames, firsts, [key], "inner", spread=F.xxhash64(ident)).select(
+    sliced = frames.join(firsts, key).select(
         key, ident, vec, F.when(F.col("_n") <= block, F.lit(0).cast("long")).otherwise(slice_).alias("i"))
     cells = sliced.groupBy(key, "i").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_subs"))
-    placed = checkpointed(skew_join(sliced, cells, [key, "i"], "inner", spread=F.xxhash64(ident)).withColumn(
+    placed = checkpointed(sliced.join(cells, [key, "i"]).withColumn(
         "si", F.pmod(F.xxhash64(ident), F.col("_subs"))).drop("_subs"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -120,7 +120,7 @@ def silence_bounds(spark: SparkSession, sf: str) -> DataFrame:
     daily = FR.frames(points(spark, sf), ["series_id"], "t", "value", 24.0)
     grid = FR.filled(daily, "series_id", ["n"])
     at = grid.withColumn("at", F.col("bin") * 24.0)
-    return O.state_changes(at, ["series_id"], ["at"], F.col("n") == 0, 24.0, max_rows=None)
+    return O.state_changes(at, ["series_id"], ["at"], F.col("n") == 0, 24.0, parts=None)
 
 
 BOUNDS = """daily AS (SELECT series_id, floor(t / 24)::BIGINT AS day, count(*) AS n FROM ev GROUP BY 1, 2),

@@ -388,9 +388,8 @@ def provenance(spark, sf):
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("rights"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
     known = suppliers.join(nations, "s_nationkey", "left").drop("s_nationkey")
-    from ..operators.skew import skew_join
-    used = skew_join(lines, parts, ["l_partkey"])
-    return skew_join(used, known, ["l_suppkey"]).withColumn("artist", F.coalesce("artist", F.lit("")))
+    used = lines.join(parts, "l_partkey", "left")
+    return used.join(known, "l_suppkey", "left").withColumn("artist", F.coalesce("artist", F.lit("")))
 
 
 @query(f"""WITH p AS (SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, c.c_name, l.l_partkey, l.l_quantity FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey)

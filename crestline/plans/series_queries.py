@@ -9,7 +9,6 @@ from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import ordered as O
 from ..operators import vector_features as VF
-from ..operators.skew import skew_join
 from .base import BOUNDS, EV, FILLED, HOURLY, SPANS, hourly, hourly_filled, points, query, r, silence_bounds, spans, table
 
 DIMS = 64
@@ -18,7 +17,7 @@ HOUR = 3_600_000_000
 
 def _with_spans(spark, sf):
     """Points with the duration of their series; the points of one series may be very many."""
-    return skew_join(points(spark, sf), spans(spark, sf), ["series_id"], "inner", spread=F.xxhash64("event_id"))
+    return points(spark, sf).join(spans(spark, sf), "series_id")
 
 
 # --- ordered rows ------------------------------------------------------------------------

@@ -70,14 +70,13 @@ SELECT o_orderkey, name AS section, CASE WHEN rest >= 0 THEN whole + (up <= rest
 UNION ALL SELECT o_orderkey, s, 2::BIGINT FROM o, (VALUES ('intro'), ('outro')) v(s)""")
 def largest_remainder(spark, sf):
     """Totals repeat, so each distinct total is allocated once and joined back."""
-    from ..operators.skew import skew_join
     total = F.greatest(F.lit(8), F.floor(75.0 * (40 + F.col("o_orderkey") % 160) / 240 + 0.5)).cast("long")
     runs = table(spark, sf, "orders").select("o_orderkey", total.alias("total"))
     template = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("section"), F.lit(b).cast("long").alias("base")) for i, (n, b) in enumerate(T.TEMPLATE)])
     rows = runs.select("total").distinct().withColumn("_s", F.explode(template)).select("total", "_s.*")
     shared = G.allocate(rows, ["total"], "section", "base", "total", list(T.FIXED_SECTIONS))
     lists = shared.groupBy("total").agg(F.collect_list(F.struct("section", "bars")).alias("_rows"))
-    return skew_join(runs, lists, ["total"], "inner").select("o_orderkey", F.explode("_rows").alias("_r")).select("o_orderkey", "_r.section", "_r.bars")
+    return runs.join(lists, "total").select("o_orderkey", F.explode("_rows").alias("_r")).select("o_orderkey", "_r.section", "_r.bars")
 
 
 _DAY = "floor(t / 24)::BIGINT AS day"

@@ -8,7 +8,7 @@ from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import moments as M
 from ..operators import ordered as O
-from ..session import checkpointed
+from ..operators.ranged import persisted
 from .base import (BOUNDS, CHANNELS, CLASSIFIED, DIMENSIONS, EV, FEATURES, HOURLY, MOMENTS, SPANS, TOP2,
                    WINDOWS, classified, features, moments, points, query, r, scored, silence_bounds, spans, windows)
 
@@ -40,8 +40,8 @@ def nearest_boundary(spark, sf):
     bounds = silence_bounds(spark, sf)
     rows = features(spark, sf).select("series_id", "size", "index", "start", "end",
                                       ((F.col("start") + F.col("end")) / 2.0).alias("center"))
-    found = O.first_inside(rows, bounds, ["series_id"], "bound", "first_inside", max_rows=None)
-    near = O.nearest(found, bounds, ["series_id"], "center", "bound", "nearest", max_rows=None)
+    found = O.first_inside(rows, bounds, ["series_id"], "bound", "first_inside", parts=None)
+    near = O.nearest(found, bounds, ["series_id"], "center", "bound", "nearest", parts=None)
     return near.select("series_id", "size", "index", "nearest", "first_inside")
 
 
@@ -103,7 +103,7 @@ hero AS (SELECT * FROM ranked WHERE rank <= 10 QUALIFY row_number() OVER (PARTIT
 
 def _hero_pool(spark, sf):
     """Moments are a catalog table that is read several times; here a checkpoint stands for it."""
-    return checkpointed(moments(spark, sf)).withColumn("collection", F.col("series_id") % 10).withColumn(
+    return persisted(moments(spark, sf)).withColumn("collection", F.col("series_id") % 10).withColumn(
         "raw_score", S.round_to(M.raw_total(F.col("scores")), 4))
 
 

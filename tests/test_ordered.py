@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.operators import ordered as O
-from crestline.operators.skew import hot_keys, skew_join
+from crestline.operators.ranged import PART, Ranged, release, running
 
 
 def rows_of(seed, n=400, hot=250):
@@ -21,7 +21,8 @@ def points(spark):
     return rows, spark.createDataFrame(rows, "k string, t double, id long, v long").cache()
 
 
-LIMITS = [None, 10, 1_000_000]
+#: Plain windows, and two-level scans over few and over very many range partitions.
+LIMITS = [None, 0, 37]
 
 
 @pytest.mark.parametrize("limit", LIMITS)
@@ -39,8 +40,8 @@ def test_neighbours(points, limit):
 @pytest.mark.parametrize("limit", LIMITS)
 def test_prefix_and_ordinal(points, limit):
     rows, df = points
-    sums = {r.id: r.before for r in O.prefix_sum(df, ["k"], ["t", "id"], F.col("v"), "before", max_rows=limit).collect()}
-    places = {r.id: r.at for r in O.ordinal(df, ["k"], ["t", "id"], "at", max_rows=limit).collect()}
+    sums = {r.id: r.before for r in O.prefix_sum(df, ["k"], ["t", "id"], F.col("v"), "before", parts=limit).collect()}
+    places = {r.id: r.at for r in O.ordinal(df, ["k"], ["t", "id"], "at", parts=limit).collect()}
     for key in {r[0] for r in rows}:
         total = 0
         for i, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))):
@@ -54,8 +55,8 @@ def test_as_of_and_nearest(spark, points, limit):
     rng = random.Random(9)
     marks = [("hot", rng.randrange(5000) / 10) for _ in range(15)] + [("k1", 17.0), ("k2", 480.0)]
     right = spark.createDataFrame(marks, "k string, at double")
-    both = {r.id: (r.b, r.a) for r in O.as_of(df, right, ["k"], "t", "at", "b", "a", max_rows=limit).collect()}
-    near = {r.id: r.near for r in O.nearest(df, right, ["k"], "t", "at", "near", max_rows=limit).collect()}
+    both = {r.id: (r.b, r.a) for r in O.as_of(df, right, ["k"], "t", "at", "b", "a", parts=limit).collect()}
+    near = {r.id: r.near for r in O.nearest(df, right, ["k"], "t", "at", "near", parts=limit).collect()}
     for k, t, i, _ in rows:
         mine = [at for key, at in marks if key == k]
         before, after = [x for x in mine if x <= t], [x for x in mine if x >= t]
@@ -67,19 +68,35 @@ def test_as_of_and_nearest(spark, points, limit):
 def test_state_changes_close_an_open_state(spark, limit):
     rows = [("a", float(i), i in (2, 3, 7, 8, 9)) for i in range(10)] + [("b", 0.0, True), ("b", 1.0, False)]
     df = spark.createDataFrame(rows, "k string, t double, on boolean")
-    got = sorted((r.k, r.bound) for r in O.state_changes(df, ["k"], ["t"], F.col("on"), 1.0, max_rows=limit).collect())
+    got = sorted((r.k, r.bound) for r in O.state_changes(df, ["k"], ["t"], F.col("on"), 1.0, parts=limit).collect())
     assert got == [("a", 2.0), ("a", 4.0), ("a", 7.0), ("a", 10.0), ("b", 0.0), ("b", 1.0)]
 
 
-def test_hot_keys_are_found_and_joined_in_pieces(spark, points):
-    rows, df = points
-    assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == ["hot"]
-    assert hot_keys(df, ["k"], 1000) is None
-    small = spark.createDataFrame([("hot", "x"), ("k1", "y")], "k string, name string")
-    with_null = df.unionByName(spark.createDataFrame([(None, 1.0, 900 + i, 1) for i in range(30)], df.schema))
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        plain = sorted(map(str, with_null.join(small, "k", how).collect()))
-        assert sorted(map(str, skew_join(with_null, small, ["k"], how, max_rows=20).collect())) == plain
+def test_a_bursty_key_is_cut_by_rows(spark):
+    """Half of all rows of one key lie in a millionth of its time: no partition holds more than twice its share."""
+    rng = random.Random(5)
+    rows = [("burst", 100 + rng.random() * 1e-4 if i % 2 else rng.random() * 1000, i) for i in range(20000)] + [(None, float(i), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t double, id long").repartition(6)
+    sizes = [r["count"] for r in Ranged(df, ["k"], ["t", "id"], 20).rows.groupBy(PART).count().collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 2 * len(rows) / 20
+    assert release() > 0
+
+
+def test_running_folds_with_null_keys_and_values(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), rng.randrange(50), i, rng.choice([None, 3, 5, 9])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long").repartition(4)
+    folds = {"total": (F.sum, F.col("v")), "low": (F.min, F.col("v")), "high": (F.max, F.col("v")), "mix": (F.bit_xor, F.col("v"))}
+    for inclusive in (False, True):
+        got = {r.id: (r.total, r.low, r.high, r.mix) for r in running(df, ["k"], ["t", "id"], folds, inclusive, 9).collect()}
+        for key in {r[0] for r in rows}:
+            line = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+            for i, r in enumerate(line):
+                seen = [x[3] for x in line[:i + inclusive] if x[3] is not None]
+                mix = 0
+                for x in seen:
+                    mix ^= x
+                assert got[r[2]] == ((sum(seen), min(seen), max(seen), mix) if seen else (None,) * 4)
 
 
 def test_latest_row_wins_whatever_the_order(spark):
