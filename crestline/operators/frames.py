@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, edge_ramp, round_to
 from .grid import WINDOW_MIN, usable_sizes, window_interval
+from .halo import Cells, dense, with_totals
 
 
 def frames(points: DataFrame, keys: list[str], t: str, value: str, width: float,
@@ -62,12 +63,13 @@ def window_features(frames_: DataFrame, key: str, sizes: Column, width: float =
                     active: float = 0.4, sums: tuple[str, ...] = ()) -> DataFrame:
     """Energy features of half-overlapping windows over frames with columns ``bin, n, s1, s2, peak``.
 
-    The duration of a series is the end of its last frame. It is found by a window on the series,
-    and that partitioning also serves the grouping by window, so frames are shuffled once. Windows
-    without a frame are left out.
+    The duration of a series is the end of its last frame, an aggregate that is joined; windows are
+    groups of (series, size, index), so no task sees a whole series. Windows without a frame are
+    left out.
     """
-    leveled = frames_.select(
-        "*", ((F.max("bin").over(Window.partitionBy(key)) + 1) * width).cast("double").alias("duration"),
+    lasting = with_totals(frames_, key, _last=F.max("bin"))
+    leveled = lasting.select(
+        *frames_.columns, ((F.col("_last") + 1) * width).cast("double").alias("duration"),
         (F.col("bin") * width).alias("_at"), rms(F.col("s2"), F.col("n")).alias("_level"))
     top = F.max("_level").over(Window.partitionBy(key, "size", "index"))
     placed = covering(leveled, "_at", "duration", sizes).withColumn("_loud", F.when(F.col("_level") > active * top, 1).otherwise(0))
@@ -118,38 +120,28 @@ def downsample(points: DataFrame, key: str, t: str, value: str, duration: Column
     step = duration / float(bins)
     index = F.least(F.lit(bins - 1).cast("long"), F.floor(F.col(t) / step))
     level = points.groupBy(key, index.alias("bin")).agg(rms(F.sum(F.col(value) * F.col(value)), F.count(F.lit(1))).alias("level"))
-    top = F.max("level").over(Window.partitionBy(key))
+    top = F.max("level").over(Window.partitionBy(key))  # at most ``bins`` rows per key
     return level.withColumn("share", F.coalesce(F.try_divide(F.col("level"), top), F.lit(0.0))).select(key, "bin", "level", "share")
 
 
 def filled(frames_: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """One row per bin from 0 to the last bin of each key; missing bins are 0.
-
-    Every frame writes the empty bins up to the next frame, the first one also those before it, so
-    this is one window on the key and no join.
-    """
-    w = Window.partitionBy(key).orderBy("bin")
-    first = F.when(F.lag("bin").over(w).isNull(), F.lit(0).cast("long")).otherwise(F.col("bin"))
-    stop = F.coalesce(F.lead("bin").over(w) - 1, F.col("bin"))
-    placed = frames_.select(key, F.col("bin").alias("_own"), *values, first.alias("_first"), stop.alias("_stop"))
-    spread = placed.withColumn("bin", F.explode(F.sequence("_first", "_stop")))
-    here = F.col("bin") == F.col("_own")
-    return spread.select(key, "bin", *[F.when(here, F.col(v)).otherwise(0).cast("double").alias(v) for v in values])
+    """One row per bin from 0 (or a negative first bin) to the last bin of each key; missing bins are 0."""
+    return dense(frames_, key, values)
 
 
 def moving_average(frames_: DataFrame, key: str, value: str, reach: int, name: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("bin").rowsBetween(-reach, reach)
-    return frames_.withColumn(name, F.avg(value).over(w))
+    """Mean over ``reach`` bins on both sides. Input: ``filled`` frames."""
+    cells = Cells(frames_, key, reach, reach)
+    return cells.add(**{name: F.avg(value).over(cells.window.rowsBetween(-reach, reach))})
 
 
 def peaks(frames_: DataFrame, key: str, value: str, delta: float = 0.05) -> DataFrame:
     """Local maxima (three rows back, two ahead) that exceed the mean of the nearby rows (three
     back, four ahead) by ``delta``; the minimum distance of picks is a greedy fold on top."""
-    w = Window.partitionBy(key).orderBy("bin")
-    top = F.max(value).over(w.rowsBetween(-3, 2))
-    near = F.avg(value).over(w.rowsBetween(-3, 4))
-    return frames_.withColumn("_top", top).withColumn("_near", near).where(
-        (F.col(value) == F.col("_top")) & (F.col(value) >= F.col("_near") + delta)).drop("_top", "_near")
+    cells = Cells(frames_, key, 3, 4)
+    w = cells.window
+    marked = cells.add(_top=F.max(value).over(w.rowsBetween(-3, 2)), _near=F.avg(value).over(w.rowsBetween(-3, 4)))
+    return marked.where((F.col(value) == F.col("_top")) & (F.col(value) >= F.col("_near") + delta)).drop("_top", "_near")
 
 
 def memorability(frames_: DataFrame, picked: DataFrame, key: str, value: str, full: float = 8.0) -> DataFrame:
@@ -166,10 +158,9 @@ def memorability(frames_: DataFrame, picked: DataFrame, key: str, value: str, fu
 
 def decay(frames_: DataFrame, key: str, value: str, floor: float = 0.1) -> DataFrame:
     """Bins from the loudest bin to the first later one below ``floor`` of it, else to the end."""
-    w = Window.partitionBy(key)
-    tops = frames_.withColumn("_max", F.max(value).over(w)).withColumn(
-        "_at", F.min(F.when(F.col(value) == F.col("_max"), F.col("bin"))).over(w))
-    below = F.min(F.when((F.col("bin") > F.col("_at")) & (F.col(value) < floor * F.col("_max")), F.col("bin")))
+    best = F.max(F.struct(F.col(value).alias("value"), (-F.col("bin")).alias("at")))  # of equals the earliest
+    tops = with_totals(frames_, key, _best=best).withColumn("_at", -F.col("_best.at"))
+    below = F.min(F.when((F.col("bin") > F.col("_at")) & (F.col(value) < floor * F.col("_best.value")), F.col("bin")))
     out = tops.groupBy(key).agg(F.first("_at").alias("loudest"), below.alias("_below"),
                                 F.min("bin").alias("_first"), F.max("bin").alias("_last"))
     length = F.coalesce(F.col("_below") - F.col("loudest"), F.col("_last") - F.col("_first") + 1)
@@ -178,17 +169,16 @@ def decay(frames_: DataFrame, key: str, value: str, floor: float = 0.1) -> DataF
 
 def trim_edges(frames_: DataFrame, key: str, value: str, threshold: float = 0.005) -> DataFrame:
     """Keep bins from the first to the last one above a share of the peak; all when none is."""
-    w = Window.partitionBy(key)
-    top = frames_.withColumn("_max", F.max(value).over(w) + 1e-12)
+    top = with_totals(frames_, key, _max=F.max(value) + 1e-12)
     loud = F.when(F.col(value) > F.col("_max") * threshold, F.col("bin"))
-    edged = top.withColumn("_from", F.min(loud).over(w)).withColumn("_to", F.max(loud).over(w))
+    edged = with_totals(top, key, _from=F.min(loud), _to=F.max(loud))
     return edged.where(F.col("_from").isNull() | F.col("bin").between(F.col("_from"), F.col("_to"))).select(*frames_.columns)
 
 
 def smoothness(frames_: DataFrame, key: str, value: str, reach: int) -> DataFrame:
     """How much of an envelope's variation survives smoothing, times depth and duty."""
     smooth = moving_average(frames_, key, value, reach, "_soft")
-    top = smooth.withColumn("_max", F.max(value).over(Window.partitionBy(key)))
+    top = with_totals(smooth, key, _max=F.max(value))
     stats = top.groupBy(key).agg(
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("dev"), F.avg("_soft").alias("soft_mean"),
         F.stddev_pop("_soft").alias("soft_dev"),
@@ -204,10 +194,8 @@ def smoothness(frames_: DataFrame, key: str, value: str, reach: int) -> DataFram
 
 def periodicity(frames_: DataFrame, key: str, value: str, lags: list[int]) -> DataFrame:
     """Correlation of a regular series with itself at each lag, and the best lag."""
-    w = Window.partitionBy(key).orderBy("bin")
-    wide = frames_
-    for lag in lags:
-        wide = wide.withColumn(f"_l{lag}", F.lag(value, lag).over(w))
+    cells = Cells(frames_, key, max(lags), 0)
+    wide = cells.add(**{f"_l{lag}": F.lag(value, lag).over(cells.window) for lag in lags})
     measured = wide.groupBy(key).agg(*[clamp(F.corr(value, f"_l{lag}"), 0.0, 1.0).alias(f"c{lag}") for lag in lags])
     options = F.array(*[F.struct(round_to(F.coalesce(F.col(f"c{lag}"), F.lit(0.0)), 6).alias("value"),
                                  F.lit(-lag).alias("lag")) for lag in lags])
@@ -232,7 +220,7 @@ def structure_hit(segments: DataFrame, key: str, order: str, onset: str, energy:
 def percentile_ratio(frames_: DataFrame, key: str, part: str, whole: str, q: float = 0.75,
                      active: float = 0.1, fewest: int = 3) -> DataFrame:
     """Percentile of part/whole over frames above a share of the key's largest frame."""
-    top = frames_.withColumn("_max", F.max(whole).over(Window.partitionBy(key)))
+    top = with_totals(frames_, key, _max=F.max(whole))
     loud = F.col(whole) > active * F.col("_max")
     found = top.where(loud).groupBy(key).agg(
         F.count(F.lit(1)).alias("active"), F.percentile(F.try_divide(F.col(part), F.col(whole)), q).alias("_q"))
@@ -252,26 +240,25 @@ def snap_zero(frames_: DataFrame, points: DataFrame, key: str, t: str, value: st
 
     Bins are the rows of a series (``filled`` frames); a point looks at its ``2 * reach + 1`` bins.
     """
-    w = Window.partitionBy(key).orderBy("bin")
-    negative = F.col(value) < 0
-    last, ahead = F.lead(F.col(value)).over(w), F.lead("bin").over(w)
-    crossing = F.when(negative != (last < 0), F.when(F.abs(value) <= F.abs(last), F.col("bin")).otherwise(ahead))
+    cells = Cells(frames_.select(key, "bin", F.col(value).alias("_v")), key, reach, reach + 1)
+    w = cells.window
+    negative = F.col("_v") < 0
+    last, ahead = F.lead("_v").over(w), F.lead("bin").over(w)
+    crossing = F.when(negative != (last < 0), F.when(F.abs("_v") <= F.abs(last), F.col("bin")).otherwise(ahead))
     near = w.rangeBetween(-reach, reach)
     before = w.rangeBetween(-reach, -1)
     after = w.rangeBetween(0, reach - 1)
-    marked = frames_.select(key, "bin", F.col(value).alias("_v"), crossing.alias("_c"))
+    marked = cells.rows.withColumn("_c", crossing)
     sides = marked.select(
-        key, "bin", F.collect_list("_c").over(before).alias("_b"), F.collect_list("_c").over(after).alias("_a"),
+        key, "bin", "_own", F.collect_list("_c").over(before).alias("_b"), F.collect_list("_c").over(after).alias("_a"),
         F.min(F.struct(F.abs("_v").alias("far"), F.col("bin").alias("at"))).over(near).alias("_low"))
     best = F.array_min(F.transform(F.concat("_b", "_a"), lambda c: F.struct(F.abs(c - F.col("bin")).alias("far"), c.alias("at"))))
-    snapped = sides.select(key, F.col("bin").alias(t), F.coalesce(best["at"], F.col("_low.at")).alias(name))
+    snapped = sides.where("_own").select(key, F.col("bin").alias(t), F.coalesce(best["at"], F.col("_low.at")).alias(name))
     return points.join(snapped, [key, t])
 
 
 def edge_fades(frames_: DataFrame, key: str, ramp: int, name: str) -> DataFrame:
-    """Weight of every bin under a linear fade at both ends of its series."""
-    w = Window.partitionBy(key)
-    position = F.row_number().over(w.orderBy("bin")) - 1
-    length = F.count(F.lit(1)).over(w)
-    return frames_.withColumns({"_at": position, "_len": length}).withColumn(
-        name, edge_ramp(F.col("_at"), F.col("_len"), ramp)).drop("_at", "_len")
+    """Weight of every bin under a linear fade at both ends of its series. Input: ``filled`` frames."""
+    ended = with_totals(frames_, key, _low=F.min("bin"), _high=F.max("bin"))
+    position, length = F.col("bin") - F.col("_low"), F.col("_high") - F.col("_low") + 1
+    return ended.withColumn(name, edge_ramp(position, length, ramp)).drop("_low", "_high")

@@ -133,11 +133,12 @@ def mixdown(events: DataFrame, keys: list[str], start: Column, length: Column, g
 
 def master(mix: DataFrame, keys: list[str], peak_db: float = -1.0) -> DataFrame:
     """Soft limit, then scale so that the loudest bin of a key reaches the target."""
-    from pyspark.sql import Window
     target = 10 ** (peak_db / 20)
     soft = mix.withColumn("left", F.tanh("left")).withColumn("right", F.tanh("right"))
-    peak = F.max(F.greatest(F.abs("left"), F.abs("right"))).over(Window.partitionBy(*keys)) + 1e-12
-    return soft.withColumn("_peak", peak).select(
+    loudest = F.max(F.greatest(F.abs("left"), F.abs("right"))) + 1e-12
+    peaks = soft.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(loudest.alias("_peak"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return soft.join(peaks, on).select(
         *keys, "bin", (F.col("left") * target / F.col("_peak")).alias("left"), (F.col("right") * target / F.col("_peak")).alias("right"))
 
 
