@@ -76,7 +76,7 @@ def window_features(frames_: DataFrame, key: str, sizes: Column, width: float =
     grouped = placed.groupBy(key, "size", "index").agg(
         F.first("duration").alias("duration"),
         F.sum("n").alias("points"), F.sum("s1").alias("total"), F.sum("s2").alias("energy"), F.max("peak").alias("peak"),
-        F.count(F.lit(1)).alias("frames"), F.sum("_level").alias("_l1"), F.sum(F.col("_level") * F.col("_level")).alias("_l2"),
+        F.max("s1").alias("s1_top"), F.count(F.lit(1)).alias("frames"), F.sum("_level").alias("_l1"), F.sum(F.col("_level") * F.col("_level")).alias("_l2"),
         F.sum("_loud").alias("_loud"), *[F.sum(c).alias(c) for c in sums])
     cells = F.col("size") / width
     loud = F.col("_loud") / cells
@@ -84,7 +84,7 @@ def window_features(frames_: DataFrame, key: str, sizes: Column, width: float =
     start, end = window_interval(F.col("index"), F.col("size"), F.col("duration"))
     return grouped.select(
         key, "size", "index", "duration", start.alias("start"), end.alias("end"),
-        "points", "frames", "total", "energy", "peak", *sums, level.alias("rms"),
+        "points", "frames", "total", "energy", "peak", "s1_top", *sums, level.alias("rms"),
         stability(F.col("_l1") / cells, deviation(cells, F.col("_l1"), F.col("_l2"))).alias("stability"),
         crest(F.col("peak"), level).alias("crest"),
         (1.0 - loud).alias("headroom"),

@@ -10,7 +10,10 @@ from ..functions.scalar import clamp, round_to
 from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import moments as M
+from ..operators import folds as D
 from ..operators import ordered as O
+from ..operators import prefix_vectors as PV
+from ..operators.ranged import persisted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,7 +107,7 @@ FEATURES = """inside AS (SELECT w.series_id, w.duration, w.size, w.index, w.star
   FROM windows w JOIN hourly h ON h.series_id = w.series_id AND h.bin >= w.start AND h.bin < w."end"),
 tops AS (SELECT series_id, size, index, max(level) AS top FROM inside GROUP BY 1, 2, 3),
 sums AS (SELECT i.series_id, i.duration, i.size, i.index, i.start, i."end", sum(n)::BIGINT AS points, count(*) AS frames, sum(s1) AS total,
-    sum(s2) AS energy, max(peak) AS peak, sum(click_s2) AS click_s2, sum(view_s2) AS view_s2, sum(purchase_s2) AS purchase_s2,
+    sum(s2) AS energy, max(peak) AS peak, max(s1) AS s1_top, sum(click_s2) AS click_s2, sum(view_s2) AS view_s2, sum(purchase_s2) AS purchase_s2,
     sum(level) AS l1, sum(level * level) AS l2, sum(CASE WHEN level > 0.4 * top THEN 1 ELSE 0 END) AS loud
   FROM inside i JOIN tops t ON t.series_id = i.series_id AND t.size = i.size AND t.index = i.index
   GROUP BY ALL),
@@ -181,35 +184,82 @@ DIMENSIONS = ("loopability", "memorability", "key_stability", "drum_state", "voc
               "timbre_uniqueness", "structure_position", "space")
 
 
+DIMS = 64
+VECTORS = 500  # the embedding of an event is number event_id % VECTORS
+FULL_PEAKS = 24.0
+
+
+def peak_rows(frames: DataFrame) -> DataFrame:
+    """Picked peaks of hourly sums, at least four hours apart."""
+    found = persisted(FR.peaks(frames, "series_id", "s1"))
+    kept = D.thin(found.withColumn("bin_id", F.col("bin")), "series_id", "bin", "bin_id", 4.0, max_rows=None)
+    return kept.select("series_id", F.col("bin").cast("long").alias("bin")).join(found, ["series_id", "bin"])
+
+
+def window_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the events' vectors inside each window, and its peaks."""
+    vectors = table(spark, sf, "embeddings").where(F.col("vec_id") < VECTORS).select(
+        "vec_id", PV.vector_stats(F.col("embedding").cast("array<double>"), F.lit(0.0), F.lit(0.0)).alias("stats"))
+    events = points(spark, sf).join(vectors, F.col("event_id") % VECTORS == F.col("vec_id")).select("series_id", "t", "stats")
+    blank = F.array_repeat(F.lit(0.0), 3 * DIMS + 4)
+    tops = peak_rows(hourly_filled(spark, sf)).select("series_id", F.col("bin").cast("double").alias("t"), F.concat(blank, F.array(F.lit(1.0), F.col("s1"))).alias("stats"))
+    return PV.window_scores(events.unionByName(tops), windows(spark, sf), "series_id", "t", "stats", DIMS, ["size", "index"], max(SIZES),
+                            more=("n_peaks", "strength"), full=0.25)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Classified windows with the eight scores as columns and as a map, and their total."""
-    rows = classified(spark, sf)
+    rows = classified(spark, sf).join(window_vectors(spark, sf), ["series_id", "size", "index"])
+    n_peaks, strength = F.round("n_peaks"), F.col("strength")
+    catchy = 0.5 * n_peaks / FULL_PEAKS + 0.5 * F.coalesce(F.try_divide(strength, n_peaks * F.col("s1_top")), F.lit(0.0))
+    usable = (F.col("s1_top") >= 1e-4) & (F.col("size") >= 10)
     values = {
-        "loopability": round_to(F.col("stability"), 4),
-        "memorability": round_to(clamp(F.col("frames") / 32.0, 0.0, 1.0), 4),
-        "key_stability": round_to(F.coalesce(F.try_divide(F.col("rms"), F.col("peak")), F.lit(0.0)), 4),
+        "loopability": round_to(0.5 * F.col("continuity") + 0.5 * F.col("stability"), 4),
+        "memorability": round_to(F.when(usable, clamp(catchy, 0.0, 1.0)).otherwise(0.0), 4),
+        "key_stability": round_to(F.col("key_stability"), 4),
         "drum_state": F.col("drum"),
         "vocal_state": F.col("vocal"),
-        "timbre_uniqueness": round_to(F.col("crest"), 4),
+        "timbre_uniqueness": round_to(F.col("timbre"), 4),
         "structure_position": M.structure_position(F.col("start"), F.col("end"), F.col("nearest"), F.col("n_bounds"), F.col("type")),
         "space": round_to(FR.space(F.col("headroom"), F.col("crest")), 4),
     }
-    rows = rows.select("*", *[v.alias(k) for k, v in values.items()])
+    kept = [c for c in rows.columns if c not in ("continuity", "key_stability", "timbre", "n_peaks", "strength")]
+    rows = rows.select(*kept, *[v.alias(k) for k, v in values.items()])
     scores = M.score_map(**{k: F.col(k) for k in DIMENSIONS})
     return rows.withColumn("scores", scores).withColumn("total_score", M.weighted_total(F.col("scores")))
 
 
-SCORED = f"""dims AS (SELECT *, {r("stability", 4)} AS loopability, {r("least(1, frames / 32.0)", 4)} AS memorability,
-    {r("coalesce(rms / nullif(peak, 0), 0)", 4)} AS key_stability, drum AS drum_state, vocal AS vocal_state, {r("crest", 4)} AS timbre_uniqueness,
+PEAKS = """peaked AS (SELECT series_id, bin, s1, max(s1) OVER (PARTITION BY series_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS top,
+  avg(s1) OVER (PARTITION BY series_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS near FROM filled),
+cand AS (SELECT series_id, bin, s1, row_number() OVER (PARTITION BY series_id ORDER BY bin) AS k FROM peaked WHERE s1 = top AND s1 >= near + 0.05),
+walk AS (SELECT series_id, k, bin AS last, true AS picked FROM cand WHERE k = 1
+  UNION ALL SELECT c.series_id, c.k, CASE WHEN c.bin - w.last > 3 THEN c.bin ELSE w.last END, c.bin - w.last > 3 FROM walk w JOIN cand c ON c.series_id = w.series_id AND c.k = w.k + 1),
+picks AS (SELECT c.series_id, c.bin, c.s1 FROM walk w JOIN cand c ON c.series_id = w.series_id AND c.k = w.k WHERE w.picked)"""
+
+VECTORED = f"""vx AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE vec_id < {VECTORS}),
+vl AS (SELECT vec_id, sqrt(sum(x * x)) AS len, sum(abs(x) * (d - 1)) / sum(abs(x)) AS c FROM vx GROUP BY 1),
+per_dim AS (SELECT w.series_id, w.size, w.index, x.d, avg(x.x) AS m, stddev_pop(x.x) AS dev, avg(x.x / l.len) AS u, avg(l.c) AS cm, stddev_pop(l.c) AS cd,
+    avg(x.x) FILTER (e.t < w.start + (w."end" - w.start) / 4.0) AS h, avg(x.x) FILTER (e.t >= w."end" - (w."end" - w.start) / 4.0) AS o
+  FROM windows w JOIN ev e ON e.series_id = w.series_id AND e.t >= w.start AND e.t < w."end" JOIN vl l ON l.vec_id = e.event_id % {VECTORS} JOIN vx x ON x.vec_id = l.vec_id
+  GROUP BY 1, 2, 3, 4),
+vectored AS (SELECT series_id, size, index, sum(m * u) / sqrt(sum(m * m)) AS cosine, avg(dev) AS spread, any_value(cd) / any_value(cm) AS moved,
+    coalesce(corr(h, o), 0) AS likeness FROM per_dim GROUP BY 1, 2, 3),
+picked AS (SELECT w.series_id, w.size, w.index, count(*) AS n_peaks, sum(p.s1) AS strength FROM windows w JOIN picks p ON p.series_id = w.series_id AND p.bin >= w.start AND p.bin < w."end" GROUP BY 1, 2, 3)"""
+
+SCORED = f"""dims AS (SELECT c.*, {r("0.5 * greatest(0, least(1, (likeness + 1) / 2)) + 0.5 * stability", 4)} AS loopability,
+    CASE WHEN s1_top >= 1e-4 AND c.size >= 10 THEN {r(f"greatest(0, least(1, 0.5 * coalesce(n_peaks, 0) / {FULL_PEAKS} + 0.5 * coalesce(strength / (n_peaks * s1_top), 0)))", 4)} ELSE 0 END AS memorability,
+    {r("greatest(0, least(1, 1 - (1 - cosine) / 0.4))", 4)} AS key_stability, drum AS drum_state, vocal AS vocal_state,
+    {r("0.5 * least(1, spread / 0.25) + 0.5 * least(1, moved)", 4)} AS timbre_uniqueness,
     CASE WHEN coalesce(n_bounds, 0) < 2 THEN 0.5 ELSE {r('''CASE WHEN type = 'transition' THEN greatest(0, least(1, 1 - abs((start + "end") / 2.0 - nearest) / greatest(("end" - start) / 2.0, 1)))
       ELSE 1 - greatest(0, least(1, 1 - abs((start + "end") / 2.0 - nearest) / greatest(("end" - start) / 2.0, 1))) END''', 4)} END AS structure_position,
     {r("greatest(0, least(1, 0.6 * headroom + 0.4 * crest))", 4)} AS space
-  FROM classified),
+  FROM classified c JOIN vectored v ON v.series_id = c.series_id AND v.size = c.size AND v.index = c.index
+  LEFT JOIN picked p ON p.series_id = c.series_id AND p.size = c.size AND p.index = c.index),
 scored AS (SELECT *, {r("loopability * 0.25 + memorability * 0.20 + key_stability * 0.15 + drum_state * 0.10 + vocal_state * 0.10 + timbre_uniqueness * 0.10 + structure_position * 0.05 + space * 0.05", 4)} AS total_score,
     loopability + memorability + key_stability + drum_state + vocal_state + timbre_uniqueness + structure_position + space AS raw_score
   FROM dims)"""
 
-MOMENTS = ", ".join([EV, SPANS, HOURLY, WINDOWS, FEATURES, BOUNDS, CLASSIFIED, SCORED])
+MOMENTS = "RECURSIVE " + ", ".join([EV, SPANS, HOURLY, FILLED, PEAKS, WINDOWS, FEATURES, BOUNDS, CLASSIFIED, VECTORED, SCORED])
 
 
 def moment_id(df_series="series_id"):

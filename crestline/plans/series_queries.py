@@ -9,9 +9,8 @@ from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import ordered as O
 from ..operators import vector_features as VF
-from .base import BOUNDS, EV, FILLED, HOURLY, SPANS, hourly, hourly_filled, points, query, r, silence_bounds, spans, table
+from .base import BOUNDS, DIMS, EV, FILLED, HOURLY, PEAKS, SPANS, hourly, hourly_filled, peak_rows, points, query, r, silence_bounds, spans, table
 
-DIMS = 64
 HOUR = 3_600_000_000
 
 
@@ -89,32 +88,18 @@ def moving_avg(spark, sf):
     return soft.select("series_id", "bin", S.round_to(F.col("smooth"), 4).alias("smooth"))
 
 
-_PEAKS = """peaked AS (SELECT series_id, bin, s1, max(s1) OVER (PARTITION BY series_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS top,
-  avg(s1) OVER (PARTITION BY series_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS near FROM filled),
-cand AS (SELECT series_id, bin, s1, row_number() OVER (PARTITION BY series_id ORDER BY bin) AS k FROM peaked WHERE s1 = top AND s1 >= near + 0.05),
-walk AS (SELECT series_id, k, bin AS last, true AS picked FROM cand WHERE k = 1
-  UNION ALL SELECT c.series_id, c.k, CASE WHEN c.bin - w.last > 3 THEN c.bin ELSE w.last END, c.bin - w.last > 3 FROM walk w JOIN cand c ON c.series_id = w.series_id AND c.k = w.k + 1),
-picks AS (SELECT c.series_id, c.bin, c.s1 FROM walk w JOIN cand c ON c.series_id = w.series_id AND c.k = w.k WHERE w.picked)"""
-
-
-def _peaks(frames):
-    found = FR.peaks(frames, "series_id", "s1")
-    kept = D.thin(found.withColumn("bin_id", F.col("bin")), "series_id", "bin", "bin_id", 4.0, max_rows=None)
-    return kept.select("series_id", F.col("bin").cast("long").alias("bin")).join(frames, ["series_id", "bin"])
-
-
-@query(f"WITH RECURSIVE {EV}, {HOURLY}, {FILLED}, {_PEAKS} SELECT series_id, bin, {r('s1', 4)} AS strength FROM picks")
+@query(f"WITH RECURSIVE {EV}, {HOURLY}, {FILLED}, {PEAKS} SELECT series_id, bin, {r('s1', 4)} AS strength FROM picks")
 def peaks(spark, sf):
-    return _peaks(hourly_filled(spark, sf)).select("series_id", "bin", S.round_to(F.col("s1"), 4).alias("strength"))
+    return peak_rows(hourly_filled(spark, sf)).select("series_id", "bin", S.round_to(F.col("s1"), 4).alias("strength"))
 
 
-@query(f"""WITH RECURSIVE {EV}, {HOURLY}, {FILLED}, {_PEAKS}, w AS (SELECT series_id, max(s1) AS top, count(*) AS len FROM filled GROUP BY 1),
+@query(f"""WITH RECURSIVE {EV}, {HOURLY}, {FILLED}, {PEAKS}, w AS (SELECT series_id, max(s1) AS top, count(*) AS len FROM filled GROUP BY 1),
 p AS (SELECT series_id, count(*) AS n, avg(s1) AS mean FROM picks GROUP BY 1)
 SELECT w.series_id, coalesce(n, 0) AS peaks, {r("CASE WHEN top >= 1e-4 AND len >= 10 THEN greatest(0, least(1, 0.5 * coalesce(n, 0) / 200.0 + 0.5 * coalesce(mean / top, 0))) ELSE 0 END", 4)} AS memorability
 FROM w LEFT JOIN p ON p.series_id = w.series_id""")
 def memorability(spark, sf):
     frames = hourly_filled(spark, sf)
-    out = FR.memorability(frames, _peaks(frames), "series_id", "s1", full=200.0)
+    out = FR.memorability(frames, peak_rows(frames), "series_id", "s1", full=200.0)
     return out.withColumn("memorability", S.round_to(F.col("memorability"), 4))
 
 
