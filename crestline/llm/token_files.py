@@ -13,24 +13,28 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from .arrow import data_of, lists_of, slices, strings_of, texts
 from .storage import shared_path, written
 
-#: Distinct parts of text in a worker's memo.
-MEMO = 200_000
+#: Distinct parts of text in a worker's memo, and bytes of text whose parts are looked up once.
+MEMO = 400_000
+SLICE_BYTES = 6 << 20
 _STATE: dict = {}
 
 
 def _cuts(ends: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Byte positions where the byte-level pre-tokenizer always begins a new part, whatever stands around.
 
-    Before a blank or line end after a visible character, before . , ! ? : ; after an ASCII letter, and after a line end
-    before an ASCII letter. A visible character is printable ASCII or one of U+00C0 to U+00FF.
+    Before a blank or line end after a visible character, before . , ! ? : ; after an ASCII letter, and before an ASCII
+    letter after a line end that follows a visible character: after other white space, line ends belong to a longer part.
+    A visible character is printable ASCII or one of U+00C0 to U+00FF.
     """
     letter = ((body | 32) >= 97) & ((body | 32) <= 122) & (body < 128)
     shown = (body > 32) & (body < 127)
     shown[1:] |= body[:-1] == 0xC3
     start = np.zeros(len(body), bool)
     gap = (body == 32) | (body == 10)
-    start[1:] = (gap[1:] & shown[:-1]) | (np.isin(body[1:], np.frombuffer(b".,!?:;", np.uint8)) & letter[:-1]) \
-        | (letter[1:] & (body[:-1] == 10))
+    start[1:] = (gap[1:] & shown[:-1]) | (np.isin(body[1:], np.frombuffer(b".,!?:;", np.uint8)) & letter[:-1])
+    line = start & (body == 10)
+    line[ends[:-1][ends[:-1] < len(body)]] = False
+    start[1:] |= letter[1:] & line[:-1]
     start[ends[:-1][np.diff(ends) > 0]] = True
     return np.append(np.flatnonzero(start), len(body))
 
@@ -57,7 +61,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
-        self.missed = 0
+        self.room, self.missed = MEMO, 0
 
     def of(self, part: str) -> bytes:
         """Ids of a part that the memo doesn't have."""
@@ -66,11 +70,11 @@ class Encoder:
             found = array("i", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(LETTERS))]).tobytes()
         else:
             found = array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-        if len(self.memo) < MEMO:
+        if len(self.memo) < self.room:
             self.memo[part] = found
         else:
             self.missed += 1
-            if self.missed > 20 * MEMO:
+            if self.missed > 20 * self.room:
                 self.memo, self.missed = {}, 0
         return found
 
@@ -97,7 +101,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", end_id: int =
         if _STATE.get("source") != source.value:
             _STATE.update(source=source.value, encoder=Encoder(source.value))
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 ids, count = _STATE["encoder"].encode(texts(part, text))
                 whole = np.full(len(ids) + len(count), end_id, np.int32)
                 whole[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
@@ -122,19 +126,22 @@ def lookup(spark: SparkSession, path: str, ids: list, key: str = "doc_id") -> Da
 
 
 def write_ordered(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
-    """Encode and write in ascending key order. One shuffle, of the texts, which are smaller than their ids."""
-    ordered = docs.select(key, text).repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    """Encode and write in ascending key order, nulls first. One shuffle, of the texts, which are smaller than their ids.
+
+    A column ``ordinal`` tells the order of all rows over all files, also of those with equal keys.
+    """
+    ordered = docs.select(key, text).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("ordinal", F.monotonically_increasing_id())
     write(encode(ordered, tokenizer_path, text, end_id), path, key)
 
 
 def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Per document of the files: key, start (ids of all documents before it), n_tokens and CRC-32 of the ids.
 
-    Starts are prefix sums in two levels: over the files, of which there are few, and inside each file. Documents with
-    the same key stand in order of their length and sum. Null keys come first. An empty folder of files gives no rows.
+    Starts are prefix sums in two levels: over the files, of which there are few, and inside each file, in the order in
+    which the files have the rows (``ordinal``), also of equal keys. An empty folder of files gives no rows.
     """
-    rows = spark.read.orc(path).select(key, "ids", F.col("_metadata.file_path").alias("file"))
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("file", T.StringType()),
+    rows = spark.read.orc(path).select(key, "ids", "ordinal", F.col("_metadata.file_path").alias("file"))
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("ordinal", T.LongType()), T.StructField("file", T.StringType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +150,13 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
             values = lists.values.to_numpy(zero_copy_only=False).astype("<u4") if len(lists) else np.zeros(0, "<u4")
             ends = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch[key], batch["file"], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
-                                             names=[key, "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch[key], batch["ordinal"], batch["file"], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
+                                             names=[key, "ordinal", "file", "n_tokens", "ids_crc32"])
 
     light = written(rows.mapInArrow(run, schema), "token-index")
-    order = [F.col(key), F.col("n_tokens"), F.col("ids_crc32")]
-    files = light.groupBy("file").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key))).alias("least"), F.sum("n_tokens").alias("total"))
-    before = files.select("file", (F.sum("total").over(Window.orderBy("least", "file")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    files = light.groupBy("file").agg(F.min("ordinal").alias("least"), F.sum("n_tokens").alias("total"))
+    before = files.select("file", (F.sum("total").over(Window.orderBy("least")) - F.col("total")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))
     return (light.withColumn("inside", inside).join(before, "file")
             .select(key, (F.col("before") + F.col("inside") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32"))
 
