@@ -19,8 +19,9 @@ from sentencepiece import sentencepiece_model_pb2 as spb
 from .arrow import add_lists, data_of, lists_of, slices, strings_of, texts
 
 MARK = "▁".encode()
-#: Distinct parts of text whose ids a worker keeps between batches.
+#: Distinct parts of text whose ids a worker keeps between batches, and bytes of text encoded at once.
 MEMO = 300_000
+SLICE_BYTES = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -69,6 +70,7 @@ class Model:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         proto.ClearField("denormalizer_spec")
         self.memo: dict[str, bytes] = {}
+        self.room = MEMO
         self.segment = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -138,7 +140,7 @@ class Model:
     def coded(self, parts: list[str]) -> pa.Array:
         """Id lists of distinct parts; a bounded memo keeps those of earlier batches."""
         new = [p for p in parts if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.room:
             self.memo.clear()
             new = parts
         for part, ids in zip(new, self.segment.encode(new, num_threads=1)):
@@ -192,42 +194,77 @@ def _read(path: str) -> bytes:
         return file.read()
 
 
+def _coded(model: Model, source: pa.Array, bos: bool, eos: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ends of the texts' ids, numbers of ids, and ids, begins and ends of all pieces with begin and end ids around."""
+    ids, count, begins, ends = model.encode(source)
+    width = np.diff(data_of(source)[0]).astype(np.int32)
+    total = count + bos + eos
+    at = np.arange(len(ids)) + np.repeat(np.arange(len(count)) * (bos + eos) + bos, count)
+    upto, flat = np.concatenate([[0], np.cumsum(total)]), []
+    for values, first, last in ((ids, model.bos, model.eos), (begins, 0, width), (ends, 0, width)):
+        whole = np.empty(upto[-1], np.int32)
+        whole[at] = values
+        if bos:
+            whole[upto[:-1]] = first
+        if eos:
+            whole[upto[1:] - 1] = last
+        flat.append(whole)
+    return upto, total, flat
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", bos: bool = True, eos: bool = True,
-           spans: bool = True) -> DataFrame:
+           spans: bool = True, decoded: str | None = None) -> DataFrame:
     """Append ``ids`` and the source spans ``begins``, ``ends`` (byte offsets into the text's UTF-8) of every piece.
 
     Begin and end ids have empty spans at both ends of the text. Null counts as the empty text, which has only the begin
     and end ids. Texts of any length are encoded whole; an empty table gives an empty table; other columns, also with
-    clashing names, stay (columns called ids, begins and ends are replaced). Nothing is shuffled. The model file is read
-    by the driver and sent to the tasks; its size does not depend on the data.
+    clashing names, stay (columns of the new names are replaced). ``decoded`` names a column for what the ids decode to,
+    made in the same pass by the same model. Nothing is shuffled. The model file is read by the driver and sent to the
+    tasks; its size does not depend on the data.
     """
     new = ["ids", "begins", "ends"] if spans else ["ids"]
-    base = df.drop("ids", "begins", "ends") if text not in ("ids", "begins", "ends") else df
+    base = df.drop(*[c for c in ("ids", "begins", "ends", decoded) if c and c != text])
     blob, columns = df.sparkSession.sparkContext.broadcast(_read(model_path)), base.columns
+    schema = add_lists(base, new)
+    if decoded:
+        schema = T.StructType([*schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(blob.value)
         for batch in batches:
-            for part in slices(batch, text):
-                source = texts(part, text)
-                ids, count, begins, ends = model.encode(source)
-                width = np.diff(data_of(source)[0]).astype(np.int32)
-                # ids of begin and end go around each text's pieces
-                total = count + bos + eos
-                at = np.arange(len(ids)) + np.repeat(np.arange(len(count)) * (bos + eos) + bos, count)
-                upto = np.concatenate([[0], np.cumsum(total)])
-                columns_of = []
-                for values, first, last in ((ids, model.bos, model.eos), (begins, 0, width), (ends, 0, width))[:len(new)]:
-                    whole = np.empty(upto[-1], np.int32)
-                    whole[at] = values
-                    if bos:
-                        whole[upto[:-1]] = first
-                    if eos:
-                        whole[upto[1:] - 1] = last
-                    columns_of.append(lists_of(whole, total))
-                yield pa.RecordBatch.from_arrays([part[c] for c in columns] + columns_of, names=columns + new)
-
-    return base.mapInArrow(run, add_lists(base, new))
+            for part in slices(batch, text, SLICE_BYTES):
+                upto, total, flat = _coded(model, texts(part, text), bos, eos)
+                out = [lists_of(values, total) for values in flat[:len(new)]]
+                if decoded:
+                    out.append(pa.array([model.whole.decode(flat[0][a:b].tolist()) for a, b in zip(upto[:-1], upto[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays([part[c] for c in columns] + out, names=schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
+def digests(df: DataFrame, model_path: str, text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
+    """Append ``n_tokens``, the SHA-256 of the ids as little-endian 32-bit numbers, and that of their decoding.
+
+    As :func:`encode` with ``decoded``, of which only digests leave the task. ``text`` goes, other columns stay.
+    """
+    import hashlib
+    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    columns = [c for c in df.columns if c not in (text, *new)]
+    base = df.select(*columns, text)
+    blob = df.sparkSession.sparkContext.broadcast(_read(model_path))
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in new[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(blob.value)
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                upto, total, flat = _coded(model, texts(part, text), bos, eos)
+                each = [flat[0][a:b] for a, b in zip(upto[:-1], upto[1:])]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in columns], pa.array(total), pa.array([sha(x.astype("<u4").tobytes()) for x in each], pa.string()),
+                                                  pa.array([sha(model.whole.decode(x.tolist()).encode()) for x in each], pa.string())], names=schema.names)
+
+    return base.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -29,11 +29,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with source spans of every document, and their decoding, as digests."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = pieces.decode(coded.select("doc_id", "ids"), model)
-    hashed = back.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return pieces.digest_ids(hashed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query("op2_jaccard_join")

@@ -37,8 +37,13 @@ def test_spans_cover_the_text(spark, odd_docs):
 
 
 def test_query_digests(spark, odd_docs, no_docs):
-    df = pieces.digest_ids(pieces.encode(odd_docs.select("doc_id", "text"), MODEL, spans=False))
     lib = spm.SentencePieceProcessor(model_file=MODEL)
+    source = odd_docs.select("doc_id", "text")
+    digests = {tuple(r) for r in pieces.digests(source, MODEL).collect()}
+    for row in pieces.encode(source, MODEL, decoded="back").collect():
+        assert row.back == lib.decode(row.ids)
+        assert (row.doc_id, len(row.ids), hashlib.sha256(np.array(row.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(row.back.encode()).hexdigest()) in digests
+    df = pieces.digest_ids(pieces.encode(odd_docs.select("doc_id", "text"), MODEL, spans=False))
     for row in df.collect():
         ids = lib.encode(row["text"] or "", add_bos=True, add_eos=True)
         assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
@@ -86,6 +91,34 @@ def test_token_files(spark, odd_docs, docs, no_docs):
     assert token_files.tokenised(no_docs, BYTES).count() == 0
 
 
+def test_parts_equal_the_library_on_random_text():
+    """White space, letters and marks in any order, paragraph breaks included."""
+    import random
+    import pyarrow as pa
+    rng = random.Random(4)
+    signs = ["a", "Bc", " ", "\n", "\n\n", "\t", "\r", ".", ",", "'s", "7", "é", "\u00a0", "\u3000", "你", "<"]
+    lib = Tokenizer.from_file(BYTES)
+    rows = ["a\n\nb", "a\nb", "\nb", "a \nb"] + ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(4000)]
+    with open(BYTES, encoding="utf-8") as file:
+        ids, count = token_files.Encoder(file.read()).encode(pa.array(rows, pa.string()))
+    upto = np.concatenate([[0], np.cumsum(count)])
+    for text, a, b in zip(rows, upto[:-1], upto[1:]):
+        assert ids[a:b].tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_starts_follow_the_file(spark):
+    """Rows with equal keys start where the file has them."""
+    path = shared_path(spark, "equal-keys")
+    df = spark.createDataFrame([(1, "word " * n) for n in (5, 2, 9, 1)] + [(None, "x"), (None, "longer text here")], "doc_id long, text string")
+    token_files.write_ordered(df.coalesce(1), path, BYTES)
+    stored = [r for r in spark.read.orc(path).orderBy("ordinal").collect()]
+    index = token_files.read_index(spark, path).orderBy("start").collect()
+    start = 0
+    for r, i in zip(stored, index):
+        assert (i.doc_id, i.start, i.n_tokens) == (r.doc_id, start, len(r.ids))
+        start += len(r.ids)
+
+
 def test_lookup_prunes(spark, docs):
     path = shared_path(spark, "lookup")
     token_files.write_ordered(docs, path, BYTES)
