@@ -28,7 +28,9 @@ from .storage import written
 from .token_files import LETTERS, Encoder
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+#: Distinct parts that a worker keeps between blocks, per tokenizer.
+ROOM = 150_000
 #: Documents above this many bytes are spread over tasks, in segments of about as many.
 LONG = 1 << 16
 #: Bytes of a fragment of a long document, and fragments composed at once.
@@ -84,6 +86,7 @@ class Pair:
         self.a = Encoder(a_source)
         self.a.tokenizer.encode_special_tokens = True
         self.b = Model(b_blob)
+        self.a.room = self.b.room = ROOM
         pieces = [self.b.segment.id_to_piece(i) for i in range(self.b.segment.get_piece_size())]
         if not (self.b.plain and self.b.apart and self.b.dummy):
             raise ValueError("the second model must keep white space, add a blank in front and fall back to bytes")
@@ -242,6 +245,7 @@ def short_blocks(df: DataFrame, sources, key: str, text: str) -> DataFrame:
                     pa.array([part["_uid"][0].as_py()], pa.int64()), lists_of_array(part[key]), lists_of_array(lists_of(figures.ravel(), np.full(len(figures), 4))),
                     lists_of_array(pa.array(sha, pa.string())), lists_of_array(pa.array(pairs)), lists_of_array(pa.array(times)),
                     *[pa.array([pack(v)], pa.binary()) for v in (local, link_at, which, np.cumsum(doc_parts))]], names=schema.names)
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
