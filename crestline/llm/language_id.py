@@ -11,10 +11,8 @@ texts when scoring, of the whole training corpus when learning.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +24,8 @@ from .storage import written
 
 MARK = "▁"
 UNDETERMINED = "und"
+#: Letters up to which a word's probability is summed as it is: at 1e-10 a letter it stays a normal number.
+SHORT = 24
 #: Words passed through at once.
 BATCH = 40_000
 #: Rounds of expectation maximisation.
@@ -34,7 +34,7 @@ ROUNDS = 3
 SMOOTH = 0.1
 #: Languages that a model may have; the table of pieces goes to every task, so its size is vocabulary times languages.
 MAX_LANGUAGES = 1000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 
 class Model(NamedTuple):
@@ -54,31 +54,54 @@ def letter_pieces(model_path: str) -> list[str]:
 
 
 class Lattice:
-    """Pieces inside words: an automaton over the vocabulary; a character that is no piece counts as the unknown one."""
+    """Pieces inside words, found by walking a trie of the vocabulary from all characters at once; a character that is no
+    piece counts as the unknown one."""
 
     def __init__(self, pieces: list[str]):
-        self.automaton = ahocorasick.Automaton()
-        self.length = np.array([len(p) for p in pieces] + [1], np.int64)
         self.unknown = len(pieces)
+        letters = sorted({c for p in pieces for c in p})
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.wide = len(letters) + 1
+        steps: dict[tuple[int, int], int] = {}
+        piece_at = [-1]
         for i, piece in enumerate(pieces):
-            self.automaton.add_word(piece, i)
-        self.automaton.make_automaton()
+            node = 0
+            for c in piece:
+                key = node * self.wide + int(self.code[ord(c)])
+                node = steps.setdefault(key, len(piece_at))
+                if node == len(piece_at):
+                    piece_at.append(-1)
+            piece_at[node] = i
+        self.keys = np.array(sorted(steps) + [np.iinfo(np.int64).max], np.int64)
+        self.child = np.array([steps[k] for k in self.keys[:-1].tolist()] + [0], np.int64)
+        self.piece = np.array(piece_at, np.int64)
 
     def edges(self, batch: list[str]) -> tuple[np.ndarray, ...]:
         """Start, end and piece of every piece in the words put in a row, and each word's first and last place."""
-        joined = "\n".join([MARK + w for w in batch])
+        joined = "\n".join([MARK + w for w in batch]) + "\n"
         size = np.array([len(w) + 1 for w in batch], np.int64)
         first = np.cumsum(size + 1) - size - 1
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-        end, piece = found[:, 0] + 1, found[:, 1]
-        start = end - self.length[piece]
-        single = np.zeros(len(joined) + 1, bool)
-        single[start[self.length[piece] == 1]] = True
-        inside = np.ones(len(joined) + 1, bool)
+        code = self.code[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        inside = np.ones(len(code), bool)
         inside[first + size] = False
-        alone = np.flatnonzero(inside & ~single)
-        return (np.concatenate([start, alone]), np.concatenate([end, alone + 1]),
-                np.concatenate([piece, np.full(len(alone), self.unknown)]), first, first + size)
+        at = np.flatnonzero(inside)
+        state, alone, found = np.zeros(len(at), np.int64), inside.copy(), []
+        for k in range(len(code)):
+            step = state * self.wide + code[at + k]
+            place = np.searchsorted(self.keys, step)
+            known = self.keys[place] == step
+            at, state = at[known], self.child[place[known]]
+            if not len(at):
+                break
+            piece = self.piece[state]
+            full = piece >= 0
+            found.append((at[full], at[full] + k + 1, piece[full]))
+            if not k:
+                alone[at[full]] = False
+        rest = np.flatnonzero(alone)
+        found.append((rest, rest + 1, np.full(len(rest), self.unknown)))
+        return (*[np.concatenate(x) for x in zip(*found)], first, first + size)
 
     @staticmethod
     def _steps(key: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -89,36 +112,51 @@ class Lattice:
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(sorted_local[heads]) != 0)) if len(heads) else np.zeros(0, np.int64), len(heads))
         return order, np.append(heads, len(order)), list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
-    def _pass(self, source, target, weight, base, local) -> None:
-        """Fill ``base`` at ``target`` with the log of the sum of what comes from ``source`` over each edge."""
+    def _pass(self, source, target, weight, base, local, logs: bool) -> None:
+        """Fill ``base`` at ``target`` with the sum of what comes from ``source`` over each edge."""
         order, heads, runs = self._steps(target, local)
         source, weight, places = source[order], weight[order], target[order]
         for a, b in runs:
             lo, hi = heads[a], heads[b]
-            base[places[heads[a:b]]] = np.logaddexp.reduceat(base[source[lo:hi]] + weight[lo:hi], heads[a:b] - lo, axis=0)
+            if logs:
+                base[places[heads[a:b]]] = np.logaddexp.reduceat(base[source[lo:hi]] + weight[lo:hi], heads[a:b] - lo, axis=0)
+            else:
+                base[places[heads[a:b]]] = np.add.reduceat(base[source[lo:hi]] * weight[lo:hi], heads[a:b] - lo, axis=0)
+
+    @staticmethod
+    def _by_length(batch: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Places of short words, whose products of probabilities stay above zero, and of others, which are summed as logs."""
+        large = np.array([len(w) > SHORT for w in batch], bool)
+        yield from ((at, logs) for at, logs in ((np.flatnonzero(~large), False), (np.flatnonzero(large), True)) if len(at))
 
     def forward(self, batch: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of every word in every language."""
-        start, end, piece, first, last = self.edges(batch)
-        origin = np.repeat(first, last - first + 1)
-        base = np.full((len(origin), table.shape[1]), -np.inf)
-        base[first] = 0.0
-        self._pass(start, end, table[piece], base, end - origin[end])
-        return base[last]
+        out = np.empty((len(batch), table.shape[1]))
+        for at, logs in self._by_length(batch):
+            start, end, piece, first, last = self.edges([batch[i] for i in at.tolist()])
+            origin = np.repeat(first, last - first + 1)
+            base = np.full((len(origin), table.shape[1]), -np.inf if logs else 0.0)
+            base[first] = 0.0 if logs else 1.0
+            self._pass(start, end, (table if logs else np.exp(table))[piece], base, end - origin[end], logs)
+            out[at] = base[last] if logs else np.log(base[last])
+        return out
 
     def expected(self, batch: list[str], language: np.ndarray, times: np.ndarray, table: np.ndarray, into: np.ndarray) -> None:
         """Add to ``into`` how often each piece is used, over words of given languages and counts."""
-        start, end, piece, first, last = self.edges(batch)
-        word = np.repeat(np.arange(len(batch)), last - first + 1)
-        weight = table[piece, language[word[start]]]
-        ahead = np.full(len(word), -np.inf)
-        back = np.full(len(word), -np.inf)
-        ahead[first], back[last] = 0.0, 0.0
-        self._pass(start, end, weight, ahead, end - first[word[end]])
-        self._pass(end, start, weight, back, last[word[start]] - start)
-        own = word[start]
-        share = np.exp(ahead[start] + weight + back[end] - ahead[last][own]) * times[own]
-        np.add.at(into, (piece, language[own]), share)
+        for at, logs in self._by_length(batch):
+            start, end, piece, first, last = self.edges([batch[i] for i in at.tolist()])
+            word = np.repeat(np.arange(len(at)), last - first + 1)
+            own = word[start]
+            weight = (table if logs else np.exp(table))[piece, language[at][own]]
+            none, one = (-np.inf, 0.0) if logs else (0.0, 1.0)
+            ahead, back = np.full(len(word), none), np.full(len(word), none)
+            ahead[first], back[last] = one, one
+            self._pass(start, end, weight, ahead, end - first[word[end]], logs)
+            self._pass(end, start, weight, back, last[own] - start, logs)
+            whole = ahead[last][own]
+            share = np.exp(ahead[start] + weight + back[end] - whole) if logs else ahead[start] * weight * back[end] / whole
+            cells = piece * table.shape[1] + language[at][own]
+            into += np.bincount(cells, weights=share * times[at][own], minlength=into.size).reshape(into.shape)
 
 
 _LATTICES: dict[tuple, Lattice] = {}
