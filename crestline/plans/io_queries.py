@@ -89,7 +89,7 @@ def stream_dedup(spark, sf):
     """Events arrive twice; each id passes once."""
     stream = X.stamped(_events(spark, sf), "ts", "40 days").select("event_id", "user_id", "event_type", "ts")
     twice = stream.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    return X.run_to_table(X.arrivals(twice, "event_id", "ts"), "dedup").drop("ts")
+    return X.run_to_table(X.arrivals(twice, "event_id", "ts"), workspace(spark, "dedup")).drop("ts")
 
 
 @query("""WITH w AS (SELECT user_id, value, epoch_us(ts) // 43200000000 - k AS i FROM events, (VALUES (0), (1)) v(k))
@@ -98,7 +98,7 @@ FROM w GROUP BY user_id, i HAVING (i + 2) * 43200000000 <= (SELECT max(epoch_us(
 def stream_sliding(spark, sf):
     from ..functions.scalar import round_to
     stream = X.stamped(_events(spark, sf), "ts", "1 hour")
-    out = X.run_to_table(X.sliding(stream, "user_id", "ts", "value", "24 hours", "12 hours"), "sliding")
+    out = X.run_to_table(X.sliding(stream, "user_id", "ts", "value", "24 hours", "12 hours"), workspace(spark, "sliding"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"),
                       "n", round_to(F.col("total"), 2).alias("total"), "peak")
 
@@ -109,14 +109,14 @@ SELECT user_id, min(ts) AS "start", make_timestamp(max(us) + 43200000000) AS "en
 HAVING max(us) + 43200000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""")
 def stream_sessions(spark, sf):
     stream = X.stamped(_events(spark, sf), "ts", "1 hour")
-    out = X.run_to_table(X.sessions(stream, "user_id", "ts", "12 hours"), "sessions")
+    out = X.run_to_table(X.sessions(stream, "user_id", "ts", "12 hours"), workspace(spark, "sessions"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf):
     stream = _events(spark, sf).select("user_id", "event_type", "ts", "event_id", "value")
-    return X.latest_state(stream, ["user_id", "event_type"], ["ts", "event_id"], "latest").drop("ts")
+    return X.latest_state(stream, ["user_id", "event_type"], ["ts", "event_id"], workspace(spark, "latest")).drop("ts")
 
 
 @query("""SELECT doc_id, digest FROM (SELECT doc_id, md5(text) AS digest, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents)
@@ -125,4 +125,4 @@ def stream_ingest(spark, sf):
     stream = X.read_table_stream(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
     docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
     known = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("digest")
-    return X.ingest(stream, known, "digest", ["doc_id"], "ingest")
+    return X.ingest(stream, known, "digest", ["doc_id"], workspace(spark, "ingest"))

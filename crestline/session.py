@@ -30,10 +30,12 @@ _LOCAL: list[str] = []
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh path for written tables, inside the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own, once.
+    Only a local session without that setting (a test) gets a folder of its own, once; on a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="crestline-"))
         root = _LOCAL[0]

@@ -1,11 +1,25 @@
-"""Incremental arrival, sliding windows, sessions and latest-wins state over streams."""
+"""Incremental arrival, sliding windows, sessions and latest-wins state over streams.
+
+Each run processes what is available and ends. ``path`` is the caller's folder for the output and the checkpoint: a later run
+with the same path goes on where the last one stopped and returns the table of all runs.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.ordered import newest_per
-from ..session import workspace
+from ..sources import versions as V
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
@@ -41,54 +55,135 @@ def sessions(stream: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
         key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process all that is available and return the written table."""
+@contextmanager
+def _settings(spark: SparkSession, **wanted: str):
+    """Session settings for the start of a query, which keeps those it started with."""
+    names = {"store": "spark.sql.streaming.stateStore.providerClass", "empty_batches": "spark.sql.streaming.noDataMicroBatches.enabled"}
+    before = {names[k]: spark.conf.get(names[k], None) for k in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(names[key], value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", **settings: str) -> DataFrame:
+    """Process all that is available and return the written table of this run and those before."""
     spark = stream.sparkSession
-    out = workspace(spark, purpose)
-    query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/table")
-             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    with _settings(spark, **settings):
+        query = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/table")
+                 .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+
 
+# --- latest rows -------------------------------------------------------------------------
 
-def latest_state(stream: DataFrame, keys: list[str], version: list[str], purpose: str) -> DataFrame:
-    """Newest row per key.
+def latest_state(stream: DataFrame, keys: list[str], version: list[str], path: str) -> DataFrame:
+    """Newest row per key over all runs; a late row loses.
 
-    The newest row is the state of a streaming aggregate, so a late row loses against it. Each
-    batch writes only the keys that changed, to a folder of its own number; a retried batch writes
-    the same folder again. The table is the newest change per key.
+    The stream keeps no state. Each batch is reduced to the newest row of its keys, with partial aggregation before the
+    shuffle, and written to a folder of its number, so a retried batch writes the same folder again. The table is the newest of
+    the compacted version and the changes since; ``compact_latest`` makes the next version.
     """
     spark = stream.sparkSession
-    out = workspace(spark, purpose)
-    rest = [c for c in stream.columns if c not in keys]
-    newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_row"))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.select(*keys, "_row.*").select(*stream.columns).write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+        newest_per(batch, keys, version).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    query = (newest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint")
+    query = (stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    changes = spark.read.schema(stream.schema).parquet(f"{out}/changes/batch=*")
-    return newest_per(changes, keys, version)
+    return latest_table(spark, path, stream.schema, keys, version)
 
 
-def ingest(stream: DataFrame, known: DataFrame, digest: str, order: list[str], purpose: str) -> DataFrame:
-    """Rows of a stream whose digest is neither known nor seen in an earlier batch."""
-    from ..operators.catalog import incremental
-    spark = stream.sparkSession
-    out = workspace(spark, purpose)
+def _changes(spark: SparkSession, path: str, schema, after: int) -> DataFrame:
+    """Rows of the batches behind ``after``, with the batch in ``_batch``; older folders are pruned, not read."""
+    found = None
+    try:
+        # Only the list of the batch folders is needed here: no file is opened.
+        found = spark.read.schema(schema).option("basePath", f"{path}/changes").parquet(f"{path}/changes/batch=*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if found is None:
+        return spark.createDataFrame([], schema).withColumn("_batch", F.lit(0).cast("long"))
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/[^/]*$", 1).cast("long")
+    return found.withColumn("_batch", number).where(F.col("_batch") > after).select(*schema.names, "_batch")
 
-    digests = stream.select(digest).schema.add("batch", "long")
 
-    def admit(batch: DataFrame, number: int) -> None:
-        seen = known.select(digest)
-        if number > 0:
-            earlier = batch.sparkSession.read.schema(digests).parquet(f"{out}/admitted")
-            seen = seen.unionByName(earlier.where(F.col("batch") < number).select(digest))
-        incremental(batch, seen, digest, order).write.mode("overwrite").parquet(f"{out}/admitted/batch={number}")
+def latest_table(spark: SparkSession, path: str, schema, keys: list[str], version: list[str]) -> DataFrame:
+    """What ``latest_state`` returned last, without running the stream."""
+    base = V.last_commit(spark, f"{path}/compacted")
+    rows = _changes(spark, path, schema, -1 if base is None else base.covers).drop("_batch")
+    if base is not None:
+        rows = V.opened(spark, f"{path}/compacted", base).unionByName(rows)
+    return newest_per(rows, keys, version)
 
-    query = (stream.writeStream.foreachBatch(admit).option("checkpointLocation", f"{out}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/admitted/batch=*")
+
+def compact_latest(spark: SparkSession, path: str, schema, keys: list[str], version: list[str], keep: int = 2) -> int | None:
+    """Fold all changes into a new version; returns its commit, None where there is no change since the last.
+
+    Call it between runs. If it fails, the version before and all changes stay in force. Versions but the last ``keep`` go.
+    """
+    base = V.last_commit(spark, f"{path}/compacted")
+    last = _changes(spark, path, schema, -1 if base is None else base.covers).agg(F.max("_batch")).first()[0]
+    if last is None:
+        return None
+    number = V.publish(latest_table(spark, path, schema, keys, version), f"{path}/compacted", covers=last)
+    V.discard(spark, f"{path}/compacted", keep)
+    return number
+
+
+# --- ingest ------------------------------------------------------------------------------
+
+class _Unseen(StatefulProcessor):
+    """Keyed state of the digests: the least row of a batch passes where the digest has no state; each sighting renews it."""
+
+    def __init__(self, order: list[str], ttl_ms: int | None):
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "admitted boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        least = min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
+        fresh = not self.seen.exists()
+        if fresh or self.ttl_ms is not None:
+            self.seen.update((True,))
+        if fresh:
+            yield least
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def _thin(digest: str, order: list[str]):
+    """Least row per digest of each Arrow batch, so that a frequent digest reaches its state as one row per batch."""
+    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+            codes = batch.column(digest).take(ranks).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            yield batch.take(ranks.take(pa.array(np.unique(codes, return_index=True)[1])))
+    return thin
+
+
+def ingest(stream: DataFrame, known: DataFrame, digest: str, order: list[str], path: str, ttl_ms: int | None = None) -> DataFrame:
+    """Rows of a stream whose digest is neither known nor admitted before, over all runs with this path.
+
+    Of several rows of a digest in one batch the least by ``order`` (nulls first) passes. Digests live in the keyed state store,
+    so a batch costs its own rows and no reread of what was admitted. ``known`` fills the state in the first batch of the first
+    run; later runs ignore it. With ``ttl_ms`` a digest is forgotten that long after its last sighting and may pass again; without,
+    state grows with the distinct digests. Rows without a digest can't be compared and do not pass.
+    """
+    rows = stream.where(F.col(digest).isNotNull()).mapInArrow(_thin(digest, order), stream.schema)
+    start = known.select(digest).where(F.col(digest).isNotNull()).distinct().groupBy(digest)
+    fresh = rows.groupBy(digest).transformWithState(
+        _Unseen(order, ttl_ms), stream.schema, "Append", "None" if ttl_ms is None else "ProcessingTime", start)
+    # A time to live would ask for batches without rows for ever; state that nobody asks for need not be dropped at once.
+    return run_to_table(fresh, path, store=ROCKSDB, empty_batches="false")
