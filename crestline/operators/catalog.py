@@ -187,6 +187,59 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(single.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
+def merge_recipes(old: DataFrame, candidates: DataFrame, order: list[str], kinds=RECIPE_KINDS) -> DataFrame:
+    """Recipes after the candidates of all runs, taken one after another by ``order``.
+
+    ``old`` has recipe_id (unique), run_id, kind, hero_moment_id, manifest (JSON text), seed, pipeline_ver and may have more
+    columns, which stay; ``candidates`` the same seven, with what the run itself says already filled in, and ``order``. A
+    candidate without an id or with an unknown kind is skipped; without a kind it takes that of its recipe and is skipped where
+    there is none yet. The last run owns the recipe; kind, hero, seed and version stay where nothing newer is given; manifests
+    are merged by entry and the later value wins, also a null. A manifest that is no JSON object counts as empty.
+
+    Every part is an aggregate with map-side combine over old and new rows together, so a recipe of very many candidates is no
+    hot key; only the entries of one manifest come together.
+    """
+    fields = ["run_id", "kind", "hero_moment_id", "seed", "pipeline_ver"]
+    at = F.struct(F.lit(1).alias("_new"), *order)
+    given = candidates.withColumn("kind", F.nullif("kind", F.lit(""))).where(F.length(F.col("recipe_id").cast("string")) > 0)
+    given = given.where(F.col("kind").isNull() | F.col("kind").isin(*kinds)).select("recipe_id", *fields, "manifest", at.alias("_at"))
+    before = F.struct(F.lit(0).alias("_new"), *[F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in order])
+    kept = old.select("recipe_id", *fields, "manifest", before.alias("_at"))
+    known = kept.unionByName(given).where(F.col("kind").isNotNull()).groupBy("recipe_id").agg(F.min("_at").alias("_from"))
+    usable = given.join(known, "recipe_id").where(F.col("_at") >= F.col("_from")).drop("_from")
+    rows = kept.unionByName(usable)
+
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c)
+    merged = rows.groupBy("recipe_id").agg(F.max_by("run_id", "_at").alias("run_id"), *[newest(c) for c in fields[1:]])
+    entries = rows.select("recipe_id", "_at", F.explode(F.try_variant_get(
+        F.try_parse_json("manifest"), "$", "map<string,variant>")).alias("_entry", "_value"))
+    entries = entries.select("recipe_id", "_at", "_entry", F.coalesce(F.to_json("_value"), F.lit("null")).alias("_value"))
+    entries = entries.groupBy("recipe_id", "_entry").agg(F.max_by("_value", "_at").alias("_value"))
+    objects = entries.groupBy("recipe_id").agg(F.map_from_entries(F.collect_list(F.struct("_entry", "_value"))).alias("_map"))
+    text = F.to_json(F.to_variant_object(F.transform_values("_map", lambda _, v: F.parse_json(v))))
+    out = merged.join(objects.select("recipe_id", text.alias("manifest")), "recipe_id", "left")
+    out = out.withColumn("manifest", F.coalesce("manifest", F.lit("{}")))
+    more = [c for c in old.columns if c not in ("recipe_id", "manifest", *fields)]
+    if more:
+        out = out.join(old.select("recipe_id", *more), "recipe_id", "left")
+    return out.select("recipe_id", "run_id", "kind", "hero_moment_id", "manifest", "seed", "pipeline_ver", *more)
+
+
+def migration_counts(targets: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
+    """What ``insert_absent`` does per target table (old rows, new rows, key): new rows inserted, present already, repeated
+    within the new rows, and without a key, which are not inserted. A target without new rows has zeros."""
+    def counted(name: str, old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+        keys = new.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+        there = old.select(F.col(key).alias("_key"), F.lit(True).alias("_old")).distinct()
+        absent = F.col("_old").isNull() & F.col("_key").isNotNull()
+        total = lambda cond, n, name: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long").alias(name)
+        return keys.join(there, "_key", "left").agg(
+            total(absent, F.lit(1), "inserted"), total(F.col("_old"), F.col("_n"), "present"),
+            total(absent, F.col("_n") - 1, "repeated"), total(F.col("_key").isNull(), F.col("_n"), "without_key"),
+        ).select(F.lit(name).alias("target"), "inserted", "present", "repeated", "without_key")
+    return reduce(DataFrame.unionByName, [counted(name, *target) for name, target in targets.items()])
+
+
 def set_field(old: DataFrame, changes: DataFrame, key: str, name: str, defaults: dict, longest: int = 40) -> DataFrame:
     """Set one field from valid changes, keep the rest; unknown keys get a row of defaults."""
     value = F.trim(F.col(name))

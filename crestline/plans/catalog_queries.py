@@ -345,6 +345,52 @@ def run_candidates(spark, sf):
     return rows.groupBy("recipe_id", "run_id", "kind").agg(F.max("seed").alias("seed"))
 
 
+_LINE_KIND = "CASE WHEN l_linenumber = 7 THEN 'other' WHEN l_returnflag = 'A' THEN 'loop' WHEN l_returnflag = 'N' THEN 'chop' END"
+
+
+@query(f"""WITH g AS (SELECT l_partkey AS recipe_id, l_orderkey AS run_id, {_LINE_KIND} AS kind, CASE WHEN l_linenumber = 1 THEN 'o' || l_orderkey END AS hero,
+  CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS seed, CASE WHEN l_linenumber = 2 THEN 'v2' END AS ver, l_linenumber AS line,
+  CASE WHEN l_returnflag = 'A' THEN l_quantity::INT END AS tempo, NULL AS brand,
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS pos FROM lineitem),
+o AS (SELECT p_partkey AS recipe_id, -1 AS run_id, CASE WHEN p_size % 4 = 0 THEN 'stem' END AS kind, 'h' || p_size AS hero, p_size AS seed, 'v1' AS ver,
+  NULL AS line, p_size AS tempo, p_brand AS brand, 0 AS pos FROM part WHERE p_size % 2 = 0),
+f AS (SELECT recipe_id, min(pos) AS first FROM (SELECT * FROM g UNION ALL SELECT * FROM o) WHERE kind IN ('loop', 'chop', 'stem') GROUP BY 1),
+u AS (SELECT g.* FROM g JOIN f USING (recipe_id) WHERE pos >= first AND coalesce(kind, 'loop') <> 'other' UNION ALL SELECT * FROM o)
+SELECT recipe_id, arg_max(run_id, pos) AS run_id, arg_max(kind, pos) AS kind, arg_max(hero, pos) AS hero_moment_id, arg_max(seed, pos)::BIGINT AS seed,
+  arg_max(ver, pos) AS pipeline_ver, arg_max(line, pos)::INT AS line, arg_max(tempo, pos)::INT AS tempo, arg_max(brand, pos) AS brand FROM u GROUP BY 1""")
+def recipe_merge(spark, sf):
+    """Half of the parts are recipes already; the lines of all orders are candidates for the recipe of their part."""
+    part = table(spark, sf, "part").where("p_size % 2 = 0")
+    old = part.select(
+        F.col("p_partkey").alias("recipe_id"), F.lit(-1).cast("long").alias("run_id"), F.when(F.col("p_size") % 4 == 0, "stem").alias("kind"),
+        F.concat(F.lit("h"), F.col("p_size")).alias("hero_moment_id"), F.col("p_size").cast("long").alias("seed"), F.lit("v1").alias("pipeline_ver"),
+        F.to_json(F.struct(F.col("p_size").alias("tempo"), F.col("p_brand").alias("brand"))).alias("manifest"))
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    line = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("recipe_id"), F.col("l_orderkey").alias("run_id"), F.expr(_LINE_KIND).alias("kind"),
+        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("o"), F.col("l_orderkey"))).alias("hero_moment_id"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_suppkey").cast("long")).alias("seed"), F.when(F.col("l_linenumber") == 2, "v2").alias("pipeline_ver"),
+        F.to_json(F.struct(F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "A", F.col("l_quantity").cast("int")).alias("tempo"))).alias("manifest"),
+        *order)
+    entry = lambda name, kind: F.get_json_object("manifest", f"$.{name}").cast(kind).alias(name)
+    return C.merge_recipes(old, line, order).select("recipe_id", "run_id", "kind", "hero_moment_id", "seed", "pipeline_ver",
+                                                    entry("line", "int"), entry("tempo", "int"), entry("brand", "string"))
+
+
+@query("""SELECT 'assets' AS target, count(*) FILTER (k = 1 AND n_chars % 2 = 1) AS inserted, count(*) FILTER (old) AS present,
+  count(*) FILTER (NOT old AND k > 1) AS repeated, 0 AS without_key FROM (SELECT *, count(*) FILTER (n_chars % 2 = 0) OVER (PARTITION BY md5(text)) > 0 AS old,
+  row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents)
+UNION ALL SELECT 'jobs', count(DISTINCT o_custkey) FILTER (o_custkey % 3 = 1), count(*) FILTER (o_custkey % 3 = 0),
+  count(*) FILTER (o_custkey % 3 = 1) - count(DISTINCT o_custkey) FILTER (o_custkey % 3 = 1), count(*) FILTER (o_custkey % 3 = 2) FROM orders""")
+def migrate_counts(spark, sf):
+    """Documents of even length are migrated by digest; of the orders, each third customer is there and each third has no key."""
+    docs = table(spark, sf, "documents").select(F.md5("text").alias("digest"), "n_chars")
+    customer = F.col("o_custkey")
+    orders = table(spark, sf, "orders").select(F.when(customer % 3 != 2, customer).alias("id"))
+    return C.migration_counts({"assets": (docs.where("n_chars % 2 = 0"), docs, "digest"),
+                               "jobs": (table(spark, sf, "orders").select(customer.alias("id")).where("id % 3 = 0"), orders, "id")})
+
+
 @query("""SELECT d.doc_id, CASE WHEN d.n_chars % 3 = 0 THEN 'opened' WHEN l.doc_id IS NULL THEN NULL ELSE 'kept' END AS outcome,
   CASE WHEN l.doc_id IS NULL THEN 'rated' WHEN l.quality = 1 THEN 'keep' ELSE 'reject' END AS verdict
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NOT NULL OR d.n_chars % 3 = 0""")

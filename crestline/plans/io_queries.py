@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import feedback as B
 from ..session import workspace
 from ..sources import readers as R
+from ..sources import versions as V
 from ..sources import writers as W
 from ..streaming import streams as X
 from .base import query, table
@@ -53,6 +54,19 @@ def write_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("""SELECT 'second' AS state, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
+UNION ALL SELECT 'back', o_orderkey, o_totalprice FROM orders""")
+def publish_versions(spark, sf):
+    """Orders as a first version, a second one made of it, then the first one made current again."""
+    path = workspace(spark, "published")
+    V.publish(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, ["o_orderstatus"])
+    raised = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    V.publish(V.current(spark, path).withColumn("o_totalprice", raised), path, ["o_orderstatus"])
+    second = V.current(spark, path).withColumn("state", F.lit("second"))
+    V.rollback(spark, path, 1)
+    return second.unionByName(V.current(spark, path).withColumn("state", F.lit("back"))).drop("o_orderstatus")
+
+
 @query()
 def package_manifest(spark, sf):
     """Manifest of a written dataset with its check against the files: no problem is expected."""
