@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp, edge_ramp, round_to
 from .grid import WINDOW_MIN, usable_sizes, window_interval
 from .halo import Cells, dense, with_totals
+from .quantiles import quantile
+from .ranged import persisted
 
 
 def frames(points: DataFrame, keys: list[str], t: str, value: str, width: float,
@@ -205,11 +207,15 @@ def periodicity(frames_: DataFrame, key: str, value: str, lags: list[int]) -> Da
 
 def structure_hit(segments: DataFrame, key: str, order: str, onset: str, energy: str) -> DataFrame:
     """1, 0.5 or 0 from segment means: spread, dense breaks, quiet ends."""
+    segments = persisted(segments)
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in (onset, energy)]))
+    middles = quantile(segments.select(key, values.alias("_v")).select(key, "_v.name", "_v.value"), [key, "name"], "value", 0.5)
+    middles = middles.groupBy(F.col(key).alias("_key")).agg(*[F.max(F.when(F.col("name") == c, F.col("quantile"))).alias(f"{c}_mid") for c in (onset, energy)])
     stats = segments.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{c}_{n}") for c in (onset, energy)
-          for n, f in (("mean", F.avg), ("dev", F.stddev_pop), ("max", F.max), ("mid", F.median))],
+        *[f(c).alias(f"{c}_{n}") for c in (onset, energy) for n, f in (("mean", F.avg), ("dev", F.stddev_pop), ("max", F.max))],
         F.min_by(energy, order).alias("_head"), F.max_by(energy, order).alias("_tail"))
+    stats = stats.join(middles, F.col(key).eqNullSafe(F.col("_key")), "left")
     spread = F.greatest(*[F.col(f"{c}_dev") / (F.col(f"{c}_mean") + 1e-9) for c in (onset, energy)])
     dense = (F.col(f"{onset}_max") > 1.5 * F.col(f"{onset}_mid")) | (F.col(f"{energy}_max") > 1.5 * F.col(f"{energy}_mid"))
     quiet = F.least("_head", "_tail") < 0.6 * F.col(f"{energy}_mean")
@@ -221,10 +227,11 @@ def percentile_ratio(frames_: DataFrame, key: str, part: str, whole: str, q: flo
                      active: float = 0.1, fewest: int = 3) -> DataFrame:
     """Percentile of part/whole over frames above a share of the key's largest frame."""
     top = with_totals(frames_, key, _max=F.max(whole))
-    loud = F.col(whole) > active * F.col("_max")
-    found = top.where(loud).groupBy(key).agg(
-        F.count(F.lit(1)).alias("active"), F.percentile(F.try_divide(F.col(part), F.col(whole)), q).alias("_q"))
-    return found.select(key, "active", F.when(F.col("active") < fewest, 0.0).otherwise(F.col("_q")).alias("ratio"))
+    loud = persisted(top.where(F.col(whole) > active * F.col("_max")).select(key, F.try_divide(F.col(part), F.col(whole)).alias("_share")))
+    counts = loud.groupBy(key).agg(F.count(F.lit(1)).alias("active"))
+    found = quantile(loud, [key], "_share", q).select(F.col(key).alias("_key"), "quantile")
+    found = counts.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return found.select(key, "active", F.when(F.col("active") < fewest, 0.0).otherwise(F.col("quantile")).alias("ratio"))
 
 
 def align_channels(frames_: DataFrame, keys: list[str], channel: str) -> DataFrame:

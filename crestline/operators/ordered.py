@@ -118,21 +118,27 @@ def first_inside(windows: DataFrame, bounds: DataFrame, keys: list[str], at: str
     return found.select(*windows.columns, inside.alias(name))
 
 
-def with_bounds(df: DataFrame, bounds: DataFrame, key: str, at: str, name: str = "bounds") -> DataFrame:
-    """The sorted boundaries of a row's series as an array, for series with few boundaries; a
-    series with very many is served by ``as_of``."""
-    few = bounds.groupBy(key).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias(name))
-    return df.join(few, key, "left")
+def span_bounds(spans: DataFrame, bounds: DataFrame, keys: list[str], ident: list[str], at: str, inside: str = "bound",
+                closest: str = "nearest", count: str = "n_bounds", eps: float = 1e-6, parts: int | None = AUTO) -> DataFrame:
+    """Per span, unique by ``keys`` and ``ident``: the first boundary inside ``[start+eps, end-eps)``, the closest one to its
+    center (of two equally close ones the earlier), and how many boundaries its key has; NULL, NULL and 0 without any.
 
-
-def inside_of(bounds: Column, start: Column, end: Column, eps: float = 1e-6) -> Column:
-    """First boundary strictly inside an interval, NULL without one."""
-    return F.array_min(F.filter(bounds, lambda b: (b > start + eps) & (b < end - eps)))
-
-
-def closest_of(bounds: Column, t: Column) -> Column:
-    """Closest boundary; of two equally close ones the earlier."""
-    return F.array_min(F.transform(bounds, lambda b: F.struct(F.abs(t - b).alias("far"), b.alias("at"))))["at"]
+    A span is two probes, one at its start and one at its center. Probes and boundaries are merged in one order and passed
+    once; no row ever holds the boundaries of a key.
+    """
+    center = (F.col("start") + F.col("end")) / 2.0
+    probe = lambda t, side: F.struct(t.cast("double").alias("at"), F.lit(side).alias("side"))
+    probes = spans.select(*keys, *ident, "end", F.explode(F.array(probe(F.col("start") + eps, 0), probe(center, 1))).alias("_probe"))
+    probes = probes.select(*keys, *ident, "end", F.col("_probe.at").alias("_at"), F.col("_probe.side").alias("_side"))
+    found = as_of(probes, bounds, keys, "_at", at, "_early", "_late", parts)
+    later = F.col("_early").isNull() | (F.col("_late") - F.col("_at") < F.col("_at") - F.col("_early"))
+    first = F.when((F.col("_side") == 0) & (F.col("_late") < F.col("end") - eps), F.col("_late"))
+    near = F.when(F.col("_side") == 1, F.when(F.col("_late").isNotNull() & later, F.col("_late")).otherwise(F.col("_early")))
+    both = found.groupBy(*keys, *ident).agg(F.max(first).alias(inside), F.max(near).alias(closest))
+    counts = bounds.where(F.col(at).isNotNull()).select(*keys, at).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    counts = counts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return both.join(counts, match, "left").select(*keys, *ident, inside, closest, F.coalesce(count, F.lit(0)).alias(count))
 
 
 def state_changes(df: DataFrame, keys: list[str], order: list[str], state: Column, width: float,

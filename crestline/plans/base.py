@@ -144,12 +144,8 @@ LIMITS = {
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     """Window features with the first boundary inside, the nearest one to the center, and type."""
-    near = O.with_bounds(features(spark, sf), silence_bounds(spark, sf), "series_id", "bound")
-    center = (F.col("start") + F.col("end")) / 2.0
-    near = near.withColumns({
-        "bound": O.inside_of(F.col("bounds"), F.col("start"), F.col("end")),
-        "nearest": O.closest_of(F.col("bounds"), center),
-        "n_bounds": F.size("bounds")}).drop("bounds")
+    near = O.span_bounds(windows(spark, sf), silence_bounds(spark, sf), ["series_id"], ["size", "index"], "bound")
+    near = features(spark, sf).join(near, ["series_id", "size", "index"])
     level = F.col("rms")
     part = lambda c: round_to(FR.energy_share(FR.rms(F.col(f"{c}_s2"), F.col("points")), level), 4)
     shared = near.select("*", part("click").alias("drum"), part("view").alias("vocal"), part("purchase").alias("bass"),

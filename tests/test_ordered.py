@@ -64,6 +64,34 @@ def test_as_of_and_nearest(spark, points, limit):
         assert near[i] == (min(mine, key=lambda x: (round(abs(x - t), 9), x)) if mine else None)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_span_bounds(spark, limit):
+    rng = random.Random(4)
+    keys = ["hot"] * 5 + ["k1", "k2", "none", None]
+    spans = [(rng.choice(keys), i, float(rng.randrange(400)), float(rng.randrange(1, 60))) for i in range(300)]
+    marks = [(rng.choice(["hot", "hot", "k1", "k2", None]), float(rng.randrange(460))) for _ in range(90)] + [("k1", None), ("idle", 3.0)]
+    df = spark.createDataFrame([(k, i, s, s + n) for k, i, s, n in spans], "k string, id long, start double, `end` double")
+    got = O.span_bounds(df, spark.createDataFrame(marks, "k string, at double"), ["k"], ["id"], "at", parts=limit)
+    assert "ArrayType" not in str(got.schema) and "collect_" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.id: (r.k, r.bound, r.nearest, r.n_bounds) for r in got.collect()}
+    want = {}
+    for k, i, start, n in spans:
+        mine = sorted({at for key, at in marks if key == k and at is not None})
+        center = start + n / 2
+        want[i] = (k, next((x for x in mine if start < x < start + n), None), min(mine, key=lambda x: (abs(x - center), x), default=None), len(mine))
+    assert found == want
+
+
+def test_span_bounds_of_a_series_with_very_many(spark):
+    """One series holds all boundaries; each range partition gets its share of the merged rows."""
+    marks = spark.range(200_000).select(F.lit("s").alias("k"), (F.col("id") * 3.0).alias("at"))
+    spans = spark.range(1_000).select(F.lit("s").alias("k"), F.col("id"), (F.col("id") * 600.0 + 1.0).alias("start"), (F.col("id") * 600.0 + 5.0).alias("end"))
+    got = O.span_bounds(spans, marks, ["k"], ["id"], "at", parts=16)
+    row = got.agg(F.count("*").alias("n"), F.sum((F.col("bound") == F.col("id") * 600 + 3).cast("int")).alias("inside"),
+                  F.sum((F.col("nearest") == F.col("id") * 600 + 3).cast("int")).alias("near"), F.min("n_bounds").alias("of")).first()
+    assert tuple(row) == (1_000, 1_000, 1_000, 200_000)
+
+
 @pytest.mark.parametrize("limit", LIMITS)
 def test_state_changes_close_an_open_state(spark, limit):
     rows = [("a", float(i), i in (2, 3, 7, 8, 9)) for i in range(10)] + [("b", 0.0, True), ("b", 1.0, False)]
