@@ -43,6 +43,26 @@ def incremental(new: DataFrame, known: DataFrame, key: str, order: list[str], fo
     return firsts if force else unseen(firsts, known, key)
 
 
+def ingest_report(new: DataFrame, known: DataFrame, key: str, error: str | None = None, force: bool = False) -> DataFrame:
+    """What becomes of the rows of a scan, as one row of counts: ``scanned``, ``added`` (what :func:`incremental` returns),
+    ``skipped_known``, ``skipped_repeated`` (later rows of an added or known digest) and ``failed``.
+
+    A row with an error, or without a digest, has failed; all are 0 for an empty scan. Rows are counted per digest before
+    they meet the known ones, so a digest that most rows share is one row in the join.
+    """
+    bad = F.col(key).isNull() if error is None else F.col(key).isNull() | F.col(error).isNotNull()
+    failed = F.coalesce(F.sum(bad.cast("long")), F.lit(0).cast("long")).alias("failed")
+    counts = new.where(~bad).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = known.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct().withColumn("_known", F.lit(True))
+    fresh = F.lit(True) if force else F.col("_known").isNull()
+    total = lambda value: F.coalesce(F.sum(value.cast("long")), F.lit(0).cast("long"))
+    good = counts.join(seen, "_key", "left").agg(
+        total(F.col("_n")).alias("_good"), total(fresh).alias("added"),
+        total(~fresh).alias("skipped_known"), total(F.col("_n") - 1).alias("skipped_repeated"))
+    both = good.withColumn("_one", F.lit(1)).join(new.agg(failed).withColumn("_one", F.lit(1)), "_one")
+    return both.select((F.col("_good") + F.col("failed")).alias("scanned"), "added", "skipped_known", "skipped_repeated", "failed")
+
+
 def admit(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows and whether there were more."""
     some = df.orderBy(*order).limit(limit + 1)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
 from ..operators import feedback as B
 from ..session import workspace
 from ..sources import readers as R
@@ -12,12 +13,35 @@ from ..streaming import streams as X
 from .base import query, table
 
 
-@query()
+def _text_files(spark, sf, path):
+    """A file per document with its text and a line end, below a folder that names the document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartition(F.col("doc_id")).write.partitionBy("doc_id").text(path)
+
+
+def _doc_id(path):
+    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("long")
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS md5, strlen(coalesce(text, '')) + 1 AS size_bytes, NULL::VARCHAR AS error FROM documents""")
 def file_scan(spark, sf):
-    """Events written as partitioned CSV files, found again by content."""
+    """Documents written as text files among others, found again by content; those of another extension aren't opened."""
     path = workspace(spark, "scan")
-    table(spark, sf, "events").repartition(4, "event_type").write.partitionBy("event_type").csv(path, header=True)
-    return R.scan_content(spark, path, ("CSV", "json"))
+    _text_files(spark, sf, f"{path}/texts")
+    table(spark, sf, "events").select("event_id").write.csv(f"{path}/others")
+    return R.scan_content(spark, path, ("TXT", "json")).select(_doc_id("path").alias("doc_id"), "md5", "size_bytes", "error")
+
+
+@query("""WITH f AS (SELECT md5(coalesce(text, '') || chr(10)) AS digest, doc_id % 3 = 0 AS old FROM documents),
+g AS (SELECT digest, count(*) AS n, bool_or(old) AS known FROM f GROUP BY 1)
+SELECT sum(n)::BIGINT AS scanned, count(*) FILTER (NOT known) AS added, count(*) FILTER (known) AS skipped_known, sum(n - 1)::BIGINT AS skipped_repeated, 0::BIGINT AS failed FROM g""")
+def scan_report(spark, sf):
+    """Counts of a scan of all documents' files where the contents of every third document are known from before."""
+    path = workspace(spark, "report")
+    _text_files(spark, sf, path)
+    found = R.scan_content(spark, path, ("txt",))
+    known = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary")).alias("md5"))
+    return C.ingest_report(found, known, "md5", "error")
 
 
 @query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
@@ -67,16 +91,15 @@ def publish_versions(spark, sf):
     return second.unionByName(V.current(spark, path).withColumn("state", F.lit("back"))).drop("o_orderstatus")
 
 
-@query()
+@query("""SELECT doc_id, strlen(coalesce(text, '')) + 1 AS bytes, sha256(coalesce(text, '') || chr(10)) AS sha256, NULL::VARCHAR AS problem FROM documents""")
 def package_manifest(spark, sf):
-    """Manifest of a written dataset with its check against the files: no problem is expected."""
+    """Manifest of the documents' text files with its check against the files: no problem is expected."""
     path = workspace(spark, "package")
-    orders = table(spark, sf, "orders")
-    W.write_partitioned(orders, f"{path}/data", ["o_orderstatus"], "json")
+    _text_files(spark, sf, f"{path}/data")
     W.package_manifest(spark, f"{path}/data").write.parquet(f"{path}/manifest")
     recorded = spark.read.parquet(f"{path}/manifest")
     problems = W.verify_manifest(recorded, W.package_manifest(spark, f"{path}/data"))
-    return recorded.join(problems, "path", "left")
+    return recorded.join(problems, "path", "left").select(_doc_id("path").alias("doc_id"), "bytes", "sha256", "problem")
 
 
 @query("SELECT doc_id, 'regenerate' AS verdict, DATE '2024-01-01' + (doc_id % 7)::INT AS day FROM labels WHERE toxic = 1")

@@ -25,17 +25,33 @@ def adapter(name: str) -> Adapter:
     return _ADAPTERS[name]
 
 
+def _files(spark: SparkSession, path: str, extensions: tuple[str, ...], lenient: bool = False) -> DataFrame:
+    """Files below ``path``; other extensions (in any case) are left out while folders are listed, before a file is opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        cases = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(cases) + "}")
+    if lenient:
+        reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return reader.load(path)
+
+
 @register("content")
-def scan_content(spark: SparkSession, path: str, extensions=EXTENSIONS) -> DataFrame:
-    """Recursive scan of files with the given extensions (any case): path, digest, size, title.
+def scan_content(spark: SparkSession, path: str, extensions=EXTENSIONS, largest: int = (1 << 31) - 1) -> DataFrame:
+    """Recursive scan of files with the given extensions (any case): path, digest, size, title and error.
 
-    Each file is read inside a task; only its digest leaves it.
+    Spark lists the folders (in a job of its own where there are many) and deals the files to tasks; each file is read
+    inside a task, and only its digest leaves it. A file that cannot be read does not end the scan: it has a null digest
+    and the error ``unreadable``, one of more than ``largest`` bytes, which is not opened, ``too large``. The listing
+    itself opens nothing; it is joined with the digests by path.
     """
-    wanted = r"(?i)\.(" + "|".join(extensions) + r")$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(F.col("path").rlike(wanted)).select(
-        "path", F.md5("content").alias("md5"), F.col("length").alias("size_bytes"),
-        F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"))
+    wanted = tuple(extensions)
+    listed = _files(spark, path, wanted).select("path", F.col("length").alias("size_bytes"))
+    read = _files(spark, path, wanted, lenient=True).where(F.col("length") <= largest)
+    digests = read.select(F.col("path").alias("_path"), F.md5("content").alias("md5"))
+    both = listed.join(digests, F.col("path") == F.col("_path"), "left")
+    error = F.when(F.col("size_bytes") > largest, "too large").when(F.col("md5").isNull(), "unreadable")
+    return both.select("path", "md5", "size_bytes", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("title"), error.alias("error"))
 
 
 @register("parquet")

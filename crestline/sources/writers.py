@@ -1,6 +1,8 @@
 """Partitioned output, package manifests and append-only logs."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,16 @@ def append_daily(df: DataFrame, path: str, stamp: str) -> None:
 
 
 def package_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path, size and sha256 of every data file below a folder."""
+    """Relative path, size and sha256 of every data file below a folder.
+
+    The folder is cut off the front of a file's path, behind an optional scheme and host, so a folder of the same name
+    further down or up does not mislead.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    tail = path.rstrip("/").split("/")[-1]
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    root = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?\Q" + folder + r"\E/(.*)$"
     return files.select(
-        F.regexp_extract("path", f"/{tail}/(.*)$", 1).alias("path"),
+        F.regexp_extract("path", root, 1).alias("path"),
         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
