@@ -7,12 +7,15 @@ steps, each spread over tasks: the functions of its parts, their composition in
 parts, and a replay of each part from its entry anchor. A part can only be entered with an anchor
 that lies less than ``gap`` before it; every other entry acts like a fresh start. Parts are at
 least ``gap`` wide, so such an anchor is in the part before.
+
+Inside a task, rows are handled a batch at a time as arrays. Each point as an anchor has one successor, the point that
+takes over from it: a bisection finds the first point far enough away, a table of maxima the first stronger one. The
+anchors that a walk visits, and the one it ends with, follow from successors of successors, doubled until the batch ends
+(logarithmically many steps for all rows together). Only the open anchors are kept from batch to batch.
 """
 from __future__ import annotations
 
-import heapq
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,48 +35,103 @@ _WALK_TYPES = "_key string, first long, entry long, t double, s double, taken bo
 _FAR = float("-inf")
 
 
-def _groups(frames):
-    """Rows of consecutive (key, part) groups from sorted batches."""
-    current, rows = None, []
-    for pdf in frames:
-        for row in pdf.itertuples(index=False, name=None):
-            key = (row[0], row[1])
-            if key != current:
-                if rows:
-                    yield current, rows
-                current, rows = key, []
-            rows.append(row)
-    if rows:
-        yield current, rows
+def _runs(pdf: pd.DataFrame) -> np.ndarray:
+    """Edges of the (key, part) groups of a sorted batch."""
+    key, part = pdf["_key"].to_numpy(), pdf[PART].to_numpy()
+    new = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(pdf)]])
+
+
+class _Points:
+    """Points of a batch in order, and who takes over from an anchor among them."""
+
+    def __init__(self, t: np.ndarray, s: np.ndarray, gap: float, stronger: bool):
+        self.t, self.n, self.gap = t, len(t), gap
+        # strengths: maximum of the 1, 2, 4, ... points from each point on
+        self.tops = [np.where(np.isnan(s), _FAR, s)] if stronger else []
+        while self.tops and 1 << len(self.tops) <= self.n:
+            reach, wide = 1 << (len(self.tops) - 1), self.tops[-1].copy()
+            np.maximum(wide[:-reach], self.tops[-1][reach:], out=wide[:-reach])
+            self.tops.append(wide)
+
+    def successor(self, t: np.ndarray, s: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Place from ``low`` on, before ``end``, of the point that takes over from each anchor (t, s); ``n`` if none does."""
+        low, high = np.minimum(low, end), end.copy()
+        first = low.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            far = open_ & (self.t[np.minimum(middle, self.n - 1)] - t >= self.gap)
+            high = np.where(far, middle, high)
+            low = np.where(open_ & ~far, middle + 1, low)
+        found = high
+        if self.tops:
+            s, at = np.where(np.isnan(s), _FAR, s), first
+            for k in reversed(range(len(self.tops))):
+                weaker = (at < self.n) & (self.tops[k][np.minimum(at, self.n - 1)] <= s)
+                at = np.where(weaker, np.minimum(at + (1 << k), self.n), at)
+            found = np.minimum(found, at)
+        return np.where(found < end, found, self.n)
+
+    def steps(self, s: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Successor of every point, up to the end of its group; ``n`` follows itself."""
+        return np.append(self.successor(self.t, s, np.arange(1, self.n + 1), end), self.n)
+
+    def visited(self, steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """All places on the ways from the starts, in order."""
+        places = more = starts[starts < self.n]
+        while len(more):
+            more = steps[places]
+            more = more[more < self.n]
+            places, steps = np.concatenate([places, more]), steps[steps]
+        return np.sort(places)
+
+    def last(self, steps: np.ndarray) -> np.ndarray:
+        """Last place on the way from every place."""
+        at = np.where(steps < self.n, steps, np.arange(self.n + 1))
+        while not np.array_equal(at, further := at[at]):
+            at = further
+        return at
 
 
 def _transfer(gap: float, stronger: bool):
-    """Exit anchor of a part for each entry anchor. Entries that reach the same anchor are one
-    from there on, so a point is handled once however many entries there are."""
+    """Exit anchor of a part for each entry anchor. Entries that reach the same anchor are one from there on."""
     def run(frames):
-        for (key, part), rows in _groups(frames):
-            given = [(FRESH, _FAR, _FAR)]
-            anchors = {FRESH: (_FAR, [0])}
-            oldest, weakest = deque([FRESH]), [(_FAR, FRESH)]
-            for _, _, side, t, ident, s in rows:
-                if side == 0:
-                    anchors[ident] = (t, [len(given)])
-                    given.append((ident, t, s))
-                    oldest.append(ident)
-                    heapq.heappush(weakest, (s, ident))
+        group, given, now, slot = None, [], None, None  # open part, its entries, their anchors (id, t, s), and which entry has which
+
+        def closed() -> pd.DataFrame:
+            ident, t, s = (np.concatenate(column) for column in zip(*given))
+            return pd.DataFrame({"_key": [group[0]] * len(ident), "_part": group[1], "first": group[1], "last": group[1],
+                                 "entry": ident, "t": t, "s": s, "exit": now[0][slot]}, columns=_TABLE)
+
+        for pdf in frames:
+            edges = _runs(pdf)
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                rows = pdf.iloc[start:stop]
+                key = (rows["_key"].iloc[0], int(rows[PART].iloc[0]))
+                if key != group:
+                    if group is not None:
+                        yield closed()
+                    fresh = (np.array([FRESH]), np.array([_FAR]), np.array([_FAR]))
+                    group, given, now, slot = key, [fresh], fresh, np.zeros(1, np.int64)
+                side = rows["_side"].to_numpy()
+                ident, t, s = (rows[c].to_numpy() for c in ("_id", "_t", "_s"))
+                if (side == 0).any():
+                    entries = tuple(c[side == 0] for c in (ident, t, s))
+                    given.append(entries)
+                    slot = np.concatenate([slot, len(now[0]) + np.arange(len(entries[0]))])
+                    now = tuple(np.concatenate(both) for both in zip(now, entries))
+                ident, t, s = (c[side == 1] for c in (ident, t, s))
+                if not len(t):
                     continue
-                moved = []
-                while oldest and (oldest[0] not in anchors or t - anchors[oldest[0]][0] >= gap):
-                    moved += anchors.pop(oldest.popleft(), (0, []))[1]
-                while stronger and weakest and (weakest[0][1] not in anchors or weakest[0][0] < s):
-                    moved += anchors.pop(heapq.heappop(weakest)[1], (0, []))[1]
-                if moved:
-                    anchors[ident] = (t, moved)
-                    oldest.append(ident)
-                    if stronger:
-                        heapq.heappush(weakest, (s, ident))
-            yield pd.DataFrame([(key, part, part, part, *given[i], ident) for ident, (_, entries) in anchors.items() for i in entries],
-                               columns=_TABLE)
+                points, n = _Points(t, s, gap, stronger), len(t)
+                taken = points.successor(now[1], now[2], np.zeros(len(now[0]), np.int64), np.full(len(now[0]), n))
+                ends = points.last(points.steps(s, np.full(n, n)))[taken]
+                moved = ends < n
+                now = tuple(np.where(moved, new[np.minimum(ends, n - 1)], old) for old, new in zip(now, (ident, t, s)))
+                _, one, of = np.unique(now[0], return_index=True, return_inverse=True)
+                now, slot = tuple(c[one] for c in now), of[slot]
+        if group is not None:
+            yield closed()
     return run
 
 
@@ -155,30 +213,62 @@ def _seeds(points: DataFrame, gap: float, stronger: bool) -> DataFrame:
 def _replay(gap: float, stronger: bool):
     """Walk every part from its anchor. A thinned point is emitted when it is kept, a merged one
     when the next anchor opens or the part ends with it and no later part takes it over."""
+    columns = ["_key", "_t", "_id", "_s"]
+
     def run(frames):
-        current, anchor, taken = None, None, False
+        current, anchor, taken = None, None, False  # open group, its anchor (t, id, s), and whether a later part takes that over
         for pdf in frames:
-            out = []
-            for key, part, side, t, ident, s, flag in pdf.itertuples(index=False, name=None):
-                if (key, part) != current:
-                    if stronger and anchor and not taken:
-                        out.append((current[0], *anchor))
-                    current, anchor, taken = (key, part), None, False
-                if side == 0:
-                    taken = flag
-                    anchor = (t, ident, s) if ident != FRESH else None
-                    continue
-                opens = anchor is None or t - anchor[0] >= gap
-                if stronger and opens and anchor:
-                    out.append((key, *anchor))
-                if opens or (stronger and s > anchor[2]):
-                    anchor = (t, ident, s)
-                if opens and not stronger:
-                    out.append((key, *anchor))
-            if out:
-                yield pd.DataFrame(out, columns=["_key", "_t", "_id", "_s"])
+            if not len(pdf):
+                continue
+            edges = _runs(pdf)
+            key, part, side, flag = (pdf[c].to_numpy() for c in ("_key", PART, "_side", "taken"))
+            values = [pdf[c].to_numpy() for c in ("_t", "_id", "_s")]
+            k = len(edges) - 1
+            goes_on = current is not None and (key[0], part[0]) == current
+            if stronger and anchor and not taken and not goes_on:
+                yield pd.DataFrame([(current[0], *anchor)], columns=columns)
+            # anchor of every group: its seed, or what the batch before left open
+            heads = edges[:-1]
+            seeded = side[heads] == 0
+            has = seeded & (values[1][heads] != FRESH)
+            later = seeded & flag[heads].astype(bool)
+            held = [v[heads].copy() for v in values]
+            if goes_on and not seeded[0]:
+                has[0], later[0] = anchor is not None, taken
+                for column, value in zip(held, anchor or ()):
+                    column[0] = value
+            # points only; groups are stretches of them
+            own = side == 1
+            bounds = np.concatenate([[0], np.cumsum(own)])[edges]
+            t, ident, s = (v[own] for v in values)
+            n = len(t)
+            group = np.repeat(np.arange(k), np.diff(bounds))
+            if n:
+                points = _Points(t, s, gap, stronger)
+                taking = points.successor(held[0], held[2], bounds[:-1], bounds[1:])
+                starts = np.where(has, taking, np.where(bounds[:-1] < bounds[1:], bounds[:-1], n))
+                places = points.visited(points.steps(s, bounds[1:][group]), starts)
+            else:
+                places = np.zeros(0, np.int64)
+            # the anchors of all groups in order, those they began with first
+            began = np.flatnonzero(has)
+            of = np.concatenate([began, group[places]])
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            walk = [np.concatenate([h[began], v[places]])[order] for h, v in zip(held, (t, ident, s))]
+            new = np.concatenate([np.zeros(len(began), bool), np.ones(len(places), bool)])[order]
+            ends = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+            if stronger:
+                opens = np.append(walk[0][1:] - walk[0][:-1] >= gap, False) if len(of) else ends
+                out = np.where(ends, (of < k - 1) & ~later[of], opens)
+            else:
+                out = new
+            if out.any():
+                yield pd.DataFrame({"_key": key[heads][of[out]], "_t": walk[0][out], "_id": walk[1][out], "_s": walk[2][out]})
+            current, taken = (key[-1], part[-1]), bool(later[-1])
+            anchor = tuple(c[-1].item() for c in walk) if len(of) and of[-1] == k - 1 else None
         if stronger and anchor and not taken:
-            yield pd.DataFrame([(current[0], *anchor)], columns=["_key", "_t", "_id", "_s"])
+            yield pd.DataFrame([(current[0], *anchor)], columns=columns)
     return run
 
 
@@ -188,6 +278,7 @@ def _fold(df: DataFrame, key: str, t: str, ident: str, strength: str | None, gap
     points = df.select(
         F.col(key).cast("string").alias("_key"), F.col(t).cast("double").alias("_t"), F.col(ident).cast("long").alias("_id"),
         (F.col(strength).cast("double") if stronger else F.lit(0.0)).alias("_s"))
+    points = points.where(F.col("_t").isNotNull() & ~F.isnan("_t") & F.col("_id").isNotNull())
     points = points.withColumn(PART, F.lit(0).cast("long")) if max_rows is None else _parts(points, gap, max_rows or MAX_ROWS)
     rows = points.select("_key", PART, F.lit(1).alias("_side"), "_t", "_id", "_s", F.lit(False).alias("taken"))
     if max_rows is not None:
@@ -200,7 +291,7 @@ def _fold(df: DataFrame, key: str, t: str, ident: str, strength: str | None, gap
 def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int | None = AUTO) -> DataFrame:
     """Keep a point when it lies at least ``gap`` after the last kept one; the first is kept.
 
-    ``ident`` is a unique non-negative number that also breaks ties of ``t``.
+    ``ident`` is a unique non-negative number that also breaks ties of ``t``. Rows without a time or number are left out.
     """
     kept = _fold(df, key, t, ident, None, gap, max_rows)
     return kept.select(F.col("_key").cast(df.schema[key].dataType).alias(key),
@@ -209,7 +300,10 @@ def thin(df: DataFrame, key: str, t: str, ident: str, gap: float, max_rows: int
 
 def merge_stronger(df: DataFrame, key: str, t: str, ident: str, strength: str, gap: float,
                    max_rows: int | None = AUTO) -> DataFrame:
-    """Merge points closer than ``gap`` to the current one; a stronger point takes its place."""
+    """Merge points closer than ``gap`` to the current one; a stronger point takes its place.
+
+    Rows without a time or number are left out; a point without a strength is weaker than all others.
+    """
     kept = _fold(df, key, t, ident, strength, gap, max_rows)
     return kept.select(F.col("_key").cast(df.schema[key].dataType).alias(key), F.col("_t").alias(t),
                        F.col("_id").alias(ident), F.col("_s").alias(strength))

@@ -1,6 +1,7 @@
 """Greedy folds: known answers, and random series with whole and with cut keys."""
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,68 @@ def test_random_series(spark, limit, gap, span):
         assert sorted(r.id for r in merged if r.k == k) == sorted(merge_plain(pts, gap))
 
 
+def batches_of(points, rng):
+    """Sorted rows of one or two keys, cut into batches of random length (empty ones as well)."""
+    rows = [(k, p, 1, float(t), i, float(s), False) for k, pts in points for p, t, i, s in pts]
+    pdf = pd.DataFrame(rows, columns=["_key", D.PART, "_side", "_t", "_id", "_s", "taken"])
+    cuts = sorted(rng.randrange(len(pdf) + 1) for _ in range(rng.randrange(6)))
+    return [pdf.iloc[a:b].reset_index(drop=True) for a, b in zip([0, *cuts], [*cuts, len(pdf)])]
+
+
+@pytest.mark.parametrize("gap,span", [(0, 50), (1, 20), (7, 200), (60, 500), (10_000, 300)])
+def test_batches_may_end_anywhere(gap, span):
+    rng = random.Random(gap)
+    for _ in range(150):
+        series = [(k, sorted((rng.randrange(span), i + 100 * n, rng.choice([0, 1, 2, rng.randrange(9)])) for i in range(rng.randrange(1, 40)))) for n, k in enumerate("abc")]
+        flat = [(k, [(0, *p) for p in pts]) for k, pts in series]
+        for stronger, plain in ((False, thin_plain), (True, merge_plain)):
+            out = [f for f in D._replay(float(gap), stronger)(iter(batches_of(flat, rng)))]
+            got = pd.concat(out) if out else pd.DataFrame({"_key": [], "_id": []})
+            for k, pts in series:
+                assert sorted(got["_id"][got["_key"] == k]) == sorted(plain(pts, gap))
+
+
+def test_exits_of_a_part_for_every_entry():
+    """The end of a walk from each entry, also when the part comes in several batches."""
+    rng = random.Random(8)
+    for _ in range(150):
+        gap = rng.choice([3, 10, 30])
+        entries = sorted((100 - rng.randrange(gap), 900 + i, rng.randrange(9)) for i in range(rng.randrange(5)))
+        pts = sorted((100 + rng.randrange(80), i, rng.randrange(9)) for i in range(rng.randrange(40)))
+        for stronger in (False, True):
+            rows = [("k", 4, side, float(t), i, float(s), False) for side, ps in ((0, entries), (1, pts)) for t, i, s in ps]
+            if not rows:
+                continue
+            pdf = pd.DataFrame(rows, columns=["_key", D.PART, "_side", "_t", "_id", "_s", "taken"])
+            cut = rng.randrange(len(pdf) + 1)
+            frames = [f for f in (pdf.iloc[:cut], pdf.iloc[cut:]) if len(f)]
+            table = pd.concat(list(D._transfer(float(gap), stronger)(iter(frames))))
+            want = {}
+            for entry in [None, *entries]:
+                now = entry
+                for p in pts:
+                    if now is None or p[0] - now[0] >= gap or (stronger and p[2] > now[2]):
+                        now = p
+                want[entry[1] if entry else D.FRESH] = now[1] if now else D.FRESH
+            assert dict(zip(table["entry"], table["exit"])) == want
+
+
+def test_points_without_time_or_strength(spark):
+    rows = [("a", None, 1, 9.0), ("a", 0.0, 2, None), ("a", 0.1, 3, 0.5), ("a", 5.0, None, 1.0), ("a", float("nan"), 5, 1.0), (None, 1.0, 4, None), (None, 1.1, 6, None)]
+    df = spark.createDataFrame(rows, "k string, t double, id long, s double")
+    for limit in (None, 0, 1):
+        assert sorted(r.id for r in D.thin(df.where("k IS NOT NULL"), "k", "t", "id", 0.5, limit).collect()) == [2]
+        assert sorted(r.id for r in D.merge_stronger(df.where("k IS NOT NULL"), "k", "t", "id", "s", 0.5, limit).collect()) == [3]
+    assert sorted(r.id for r in D.merge_stronger(df, "k", "t", "id", "s", 0.5, None).collect()) == [3, 4]
+    assert D.thin(df.limit(0), "k", "t", "id", 0.5).collect() == []
+
+
+def test_a_long_series_in_one_part(spark):
+    """Half a million points of one key without a step of Python for each."""
+    df = spark.range(500_000).select(F.lit("a").alias("k"), (F.col("id") * 1.0).alias("t"), "id", (F.col("id") % 11).cast("double").alias("s"))
+    assert D.thin(df, "k", "t", "id", 10.0).agg(F.count("*"), F.max("id")).first()[:] == (50_000, 499_990)
+
+
 def test_end_of_span_closes_the_list(spark):
     kept = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 1.9)], "k string, t double")
     spans = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 3.0)], "k string, d double")
