@@ -13,23 +13,29 @@ from ..streaming import streams as X
 from .base import query, table
 
 
-def _text_files(spark, sf, path):
-    """A file per document with its text and a line end, below a folder that names the document."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs.repartition(F.col("doc_id")).write.partitionBy("doc_id").text(path)
+def _text_files(spark, sf, path, per_file=1):
+    """Files of the documents' texts in the order of their numbers, each text with a line end, below folders named file=number."""
+    docs = table(spark, sf, "documents").select((F.col("doc_id") / per_file).cast("long").alias("file"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("row"))
+    lines = F.transform(F.array_sort(F.collect_list("row")), lambda r: r["text"])
+    docs.groupBy("file").agg(F.array_join(lines, "\n").alias("text")).write.partitionBy("file").text(path)
 
 
-def _doc_id(path):
-    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("long")
+def _file(path):
+    return F.regexp_extract(path, r"file=(\d+)/", 1).cast("long")
 
 
-@query("""SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS md5, strlen(coalesce(text, '')) + 1 AS size_bytes, NULL::VARCHAR AS error FROM documents""")
+#: Documents a file in the queries that read every file's content.
+PER_FILE = 8
+_FILES = f"""f AS (SELECT doc_id // {PER_FILE} AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)"""
+
+
+@query(f"""WITH {_FILES} SELECT file, md5(content) AS md5, strlen(content) AS size_bytes, NULL::VARCHAR AS error FROM f""")
 def file_scan(spark, sf):
     """Documents written as text files among others, found again by content; those of another extension aren't opened."""
     path = workspace(spark, "scan")
-    _text_files(spark, sf, f"{path}/texts")
+    _text_files(spark, sf, f"{path}/texts", PER_FILE)
     table(spark, sf, "events").select("event_id").write.csv(f"{path}/others")
-    return R.scan_content(spark, path, ("TXT", "json")).select(_doc_id("path").alias("doc_id"), "md5", "size_bytes", "error")
+    return R.scan_content(spark, path, ("TXT", "json")).select(_file("path").alias("file"), "md5", "size_bytes", "error")
 
 
 @query("""WITH f AS (SELECT md5(coalesce(text, '') || chr(10)) AS digest, doc_id % 3 = 0 AS old FROM documents),
@@ -91,15 +97,15 @@ def publish_versions(spark, sf):
     return second.unionByName(V.current(spark, path).withColumn("state", F.lit("back"))).drop("o_orderstatus")
 
 
-@query("""SELECT doc_id, strlen(coalesce(text, '')) + 1 AS bytes, sha256(coalesce(text, '') || chr(10)) AS sha256, NULL::VARCHAR AS problem FROM documents""")
+@query(f"""WITH {_FILES} SELECT file, strlen(content) AS bytes, sha256(content) AS sha256, NULL::VARCHAR AS problem FROM f""")
 def package_manifest(spark, sf):
     """Manifest of the documents' text files with its check against the files: no problem is expected."""
     path = workspace(spark, "package")
-    _text_files(spark, sf, f"{path}/data")
+    _text_files(spark, sf, f"{path}/data", PER_FILE)
     W.package_manifest(spark, f"{path}/data").write.parquet(f"{path}/manifest")
     recorded = spark.read.parquet(f"{path}/manifest")
     problems = W.verify_manifest(recorded, W.package_manifest(spark, f"{path}/data"))
-    return recorded.join(problems, "path", "left").select(_doc_id("path").alias("doc_id"), "bytes", "sha256", "problem")
+    return recorded.join(problems, "path", "left").select(_file("path").alias("file"), "bytes", "sha256", "problem")
 
 
 @query("SELECT doc_id, 'regenerate' AS verdict, DATE '2024-01-01' + (doc_id % 7)::INT AS day FROM labels WHERE toxic = 1")
