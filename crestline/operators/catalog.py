@@ -26,6 +26,25 @@ JOB_STATES = (
 DOWNSTREAM = ("fingerprint", "bpm", "bpm_conf", "key_note", "key_conf", "status", "stems_ready", "analyzed_at")
 
 
+# --- domains -----------------------------------------------------------------------------
+
+def domain_report(df: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows per column and value, with ``valid``: whether the value is in the column's domain. Null never is."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                                         F.coalesce(F.col(c).isin(*d), F.lit(False)).alias("valid")) for c, d in domains.items()]))
+    return df.select(pairs.alias("_p")).select("_p.*").groupBy("column", "value", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_domains(df: DataFrame, domains: dict[str, tuple[str, ...]], strict: bool = False) -> DataFrame:
+    """Rows whose columns are all inside their domains. ``strict`` ends the job at the first other row instead, naming
+    column and value; the check is part of the checked column, so it happens wherever that is read or written."""
+    if not strict:
+        return df.where(reduce(Column.__and__, [F.coalesce(F.col(c).isin(*d), F.lit(False)) for c, d in domains.items()], F.lit(True)))
+    wrong = lambda c: F.raise_error(F.concat(F.lit(f"{c} outside its domain: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+    checked = {c: F.when(F.col(c).isin(*d), F.col(c)).otherwise(wrong(c)) for c, d in domains.items()}
+    return df.withColumns(checked)
+
+
 # --- incremental ingest ------------------------------------------------------------------
 
 def unseen(new: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -44,11 +44,16 @@ def normalise_reasons(reasons: Column) -> Column:
     return F.filter(reasons, lambda r: r.isin(*REASONS))
 
 
+def verdict_of(verdict: Column) -> Column:
+    """The verdict as stored: without one (null, empty, white space) a candidate is only rated."""
+    return F.coalesce(F.nullif(F.trim(verdict), F.lit("")), F.lit("rated"))
+
+
 def rejects(run: Column, candidate: Column, verdict: Column) -> dict[str, Column]:
     """Rules of a feedback row, for ``catalog.quarantine``."""
     empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return {"missing_id": empty(run) | empty(candidate),
-            "bad_verdict": ~F.coalesce(F.nullif(F.trim(verdict), F.lit("")), F.lit("rated")).isin(*VERDICTS)}
+            "bad_verdict": ~verdict_of(verdict).isin(*VERDICTS)}
 
 
 def source_of(hero: dict[str, Column], manifest: dict[str, Column], samples: Column) -> Column:
@@ -94,6 +99,25 @@ def source_priors(rows: DataFrame, source: str, kind: str, verdict: str, base: d
     return grouped.select(source, *priors)
 
 
+def feedback_scores(df: DataFrame, total: str, source: str, kind: str, penalties: DataFrame, priors: DataFrame,
+                    base: dict[str, float] = SOURCE_PRIOR, step: float = 0.1, name: str = "adjusted") -> DataFrame:
+    """Candidates with a score that feedback has changed: ``total``, times the prior of the source for the candidate's kind
+    over the base prior of that kind, divided by 1 + ``step`` for each rejected candidate of the source.
+
+    ``penalties`` and ``priors`` are what :func:`source_penalties` and :func:`source_priors` return, one row per source. A
+    source without feedback, and a kind outside of ``base``, change nothing; a null source is the source ``unknown``. A
+    score never turns negative or zero by feedback, so equal ones keep their order among themselves.
+    """
+    both = penalties.select(F.col(source).alias("_source"), F.col("penalty").alias("_penalty")).join(
+        priors.select(F.col(source).alias("_source"), *[F.col(k).alias(f"_{k}") for k in base]), "_source", "full")
+    rows = df.join(both, F.coalesce(F.col(source), F.lit("unknown")) == F.col("_source"), "left")
+    ratio = F.lit(1.0)
+    for k, p in base.items():
+        ratio = F.when(F.lower(kind) == k, F.coalesce(F.col(f"_{k}"), F.lit(p)) / p).otherwise(ratio)
+    less = 1.0 - step * F.coalesce(F.col("_penalty"), F.lit(0))
+    return rows.select(*[F.col(c) for c in df.columns], round_to(F.col(total) * ratio / less, 6).alias(name))
+
+
 def global_prior(rows: DataFrame, reasons: str, dims: str, base: dict[str, float] = GLOBAL_PRIOR) -> DataFrame:
     """One row per kind: the base prior times all factors, normalised to 1; the rounding rest goes
     to the largest. The product is a sum of logs, so it is one aggregate with map-side combine."""

@@ -491,3 +491,30 @@ def repro_diff(spark, sf):
     first = run("first")
     diff = T.reproducible(first, run("second"), ["created_at"]).agg(F.count(F.lit(1)).alias("differing"))
     return first.agg(F.count(F.lit(1)).alias("n")).withColumn("differing", diff.scalar())
+
+
+_STATES = """SELECT CASE o_orderstatus WHEN 'F' THEN 'allowed' WHEN 'O' THEN 'needs_review' WHEN 'P' THEN 'pending' END AS rights,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE 'ingested' END AS job FROM orders"""
+
+
+def _states(spark, sf):
+    """Rights and job states from orders; pending rights, priorities and nulls are in no domain."""
+    status, number = F.col("o_orderstatus"), F.col("o_orderkey")
+    rights = F.when(status == "F", "allowed").when(status == "O", "needs_review").when(status == "P", "pending")
+    job = F.when(number % 7 == 0, F.lit(None)).when(number % 5 == 0, F.col("o_orderpriority")).otherwise("ingested")
+    return table(spark, sf, "orders").select("o_orderkey", rights.alias("rights"), job.alias("job"))
+
+
+_DOMAINS = {"rights": C.RIGHTS_STATES, "job": C.JOB_STATES}
+
+
+@query(f"""WITH s AS ({_STATES}) SELECT 'rights' AS "column", rights AS value, coalesce(rights IN {C.RIGHTS_STATES}, false) AS valid, count(*) AS n FROM s GROUP BY 2
+UNION ALL SELECT 'job', job, coalesce(job IN {C.JOB_STATES}, false), count(*) FROM s GROUP BY job""")
+def domain_report(spark, sf):
+    return C.domain_report(_states(spark, sf), _DOMAINS)
+
+
+@query(f"""WITH s AS (SELECT o_orderkey, {_STATES[7:]}) SELECT o_orderkey, rights, job FROM s WHERE rights IN {C.RIGHTS_STATES} AND job IN {C.JOB_STATES}""")
+def in_domains(spark, sf):
+    """Orders whose states are all known; strict mode then finds nothing to object to."""
+    return C.in_domains(C.in_domains(_states(spark, sf), _DOMAINS), _DOMAINS, strict=True)

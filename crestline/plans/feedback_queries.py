@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import catalog as C
 from ..operators import feedback as B
+from ..operators import moments as M
 from .base import query, r, table
 
 
@@ -19,22 +20,22 @@ def _feedback(spark, sf):
 
 FB = """fb AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'reject' ELSE 'keep' END AS verdict, quality, toxic FROM labels)"""
 
-_VERDICT = "CASE turn WHEN 0 THEN NULL WHEN 1 THEN 'keep' WHEN 2 THEN 'reject' WHEN 3 THEN 'regenerate' WHEN 4 THEN 'export' ELSE 'maybe' END"
+_VERDICT = "CASE turn WHEN 0 THEN NULL WHEN 1 THEN 'keep' WHEN 2 THEN 'reject' WHEN 3 THEN 'regenerate' WHEN 4 THEN 'export' WHEN 5 THEN ' ' ELSE 'maybe' END"
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN ' ' ELSE 'c' || turn END AS candidate, {_VERDICT} AS verdict, length(text) AS len FROM conversations)
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'missing_id' WHEN verdict = 'maybe' THEN 'bad_verdict' END AS reason, coalesce(verdict, 'rated') AS verdict,
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'missing_id' WHEN verdict = 'maybe' THEN 'bad_verdict' END AS reason, coalesce(nullif(trim(verdict), ''), 'rated') AS verdict,
   concat_ws(',', CASE WHEN turn BETWEEN 1 AND 5 THEN 'chop=' || turn END, CASE WHEN len % 8 BETWEEN 1 AND 5 THEN 'drums=' || (len % 8) END) AS dims, 'no_space,too_rigid' AS reasons FROM p""")
 def validate_feedback(spark, sf):
     t = F.col("turn")
-    verdict = F.when(t == 0, F.lit(None)).when(t == 1, "keep").when(t == 2, "reject").when(t == 3, "regenerate").when(t == 4, "export").otherwise("maybe")
+    verdict = F.when(t == 0, F.lit(None)).when(t == 1, "keep").when(t == 2, "reject").when(t == 3, "regenerate").when(t == 4, "export").when(t == 5, " ").otherwise("maybe")
     dims = F.create_map(F.lit("chop"), t + 0.5, F.lit("color"), F.lit(3.0), F.lit("drums"), (F.length("text") % 8).cast("double"))
     rows = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "system", " ").otherwise(F.concat(F.lit("c"), t)).alias("candidate"), verdict.alias("verdict"),
         dims.alias("dims"), F.array(F.lit("no_space"), F.col("role"), F.lit("too_rigid")).alias("reasons"))
     split = C.quarantine(rows, B.rejects(F.col("conv_id").cast("string"), F.col("candidate"), F.col("verdict")))
     shown = F.transform(F.map_entries(B.normalise_dims(F.col("dims"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return split.select("conv_id", "turn", "reason", F.coalesce("verdict", F.lit("rated")).alias("verdict"), F.array_join(shown, ",").alias("dims"),
+    return split.select("conv_id", "turn", "reason", B.verdict_of(F.col("verdict")).alias("verdict"), F.array_join(shown, ",").alias("dims"),
                         F.array_join(B.normalise_reasons(F.col("reasons")), ",").alias("reasons"))
 
 
@@ -79,6 +80,34 @@ def source_priors(spark, sf):
     return B.source_priors(_attributed(spark, sf), "source", "kind", "verdict")
 
 
+RESCORED = f"""pen AS (SELECT source, -count(*) AS penalty FROM att WHERE verdict = 'reject' AND source IS NOT NULL GROUP BY 1),
+pri AS (SELECT coalesce(source, 'unknown') AS source, {', '.join(_prior_sql(k, b) for k, b in B.SOURCE_PRIOR.items())} FROM att WHERE kind IN ('loop', 'chop', 'stem') GROUP BY 1),
+cands AS (SELECT doc_id, source, CASE lang WHEN 'en' THEN 'loop' WHEN 'fr' THEN 'chop' WHEN 'de' THEN 'stem' ELSE 'other' END AS kind, n_chars / (n_chars + 1000.0::DOUBLE) AS total FROM documents),
+rescored AS (SELECT c.doc_id, c.source, c.kind, {r("""total * CASE c.kind WHEN 'loop' THEN coalesce(loop, 0.34) / 0.34 WHEN 'chop' THEN coalesce(chop, 0.33) / 0.33 WHEN 'stem' THEN coalesce(stem, 0.33) / 0.33 ELSE 1 END
+    / (1.0 - 0.1 * coalesce(penalty, 0))""", 6)} AS adjusted
+  FROM cands c LEFT JOIN pen ON pen.source = coalesce(c.source, 'unknown') LEFT JOIN pri ON pri.source = coalesce(c.source, 'unknown'))"""
+
+
+def _rescored(spark, sf):
+    """Documents as candidates, longer ones with a higher score, which the feedback on their sources changes."""
+    rows = _attributed(spark, sf)
+    kind = F.when(F.col("lang") == "en", "loop").when(F.col("lang") == "fr", "chop").when(F.col("lang") == "de", "stem").otherwise("other")
+    candidates = table(spark, sf, "documents").select("doc_id", "source", kind.alias("kind"), (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("total"))
+    return B.feedback_scores(candidates, "total", "source", "kind", B.source_penalties(rows, "source", "verdict"), B.source_priors(rows, "source", "kind", "verdict"))
+
+
+@query(f"WITH {ATTRIBUTED}, {RESCORED} SELECT doc_id, source, kind, adjusted FROM rescored")
+def feedback_scores(spark, sf):
+    return _rescored(spark, sf).drop("total")
+
+
+@query(f"""WITH {ATTRIBUTED}, {RESCORED} SELECT doc_id, source, kind, adjusted FROM (
+  SELECT * FROM rescored QUALIFY row_number() OVER (PARTITION BY kind ORDER BY adjusted DESC, doc_id) <= 8) ORDER BY adjusted DESC, doc_id LIMIT 20""")
+def rank_with_feedback(spark, sf):
+    """The best twenty candidates after feedback, at most eight of a kind."""
+    return M.rank_capped(_rescored(spark, sf), "kind", [F.col("adjusted").desc(), F.col("doc_id")], 8, 20).drop("total")
+
+
 GLOBAL = FB + f""", f AS (SELECT sum(CASE WHEN toxic = 1 THEN ln(0.85) + ln(0.9) ELSE 0 END + CASE WHEN toxic + 2 < 3 THEN ln(0.9) ELSE 0 END) AS loop,
   sum(CASE WHEN toxic = 0 THEN ln(0.85) ELSE 0 END + CASE WHEN quality * 2 + 1 < 3 THEN ln(0.9) ELSE 0 END) AS chop, sum(CASE WHEN toxic = 1 THEN ln(1.05) ELSE 0 END) AS stem FROM labels),
 p AS (SELECT 0.33 * exp(loop) AS l, 0.34 * exp(chop) AS c, 0.33 * exp(stem) AS s FROM f),
