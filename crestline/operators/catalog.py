@@ -70,16 +70,14 @@ def ingest_report(new: DataFrame, known: DataFrame, key: str, error: str | None
     they meet the known ones, so a digest that most rows share is one row in the join.
     """
     bad = F.col(key).isNull() if error is None else F.col(key).isNull() | F.col(error).isNotNull()
-    failed = F.coalesce(F.sum(bad.cast("long")), F.lit(0).cast("long")).alias("failed")
-    counts = new.where(~bad).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = new.groupBy(F.when(~bad, F.col(key)).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))  # failed rows are the null group
     seen = known.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct().withColumn("_known", F.lit(True))
-    fresh = F.lit(True) if force else F.col("_known").isNull()
+    good = F.col("_key").isNotNull()
+    fresh = good if force else good & F.col("_known").isNull()
     total = lambda value: F.coalesce(F.sum(value.cast("long")), F.lit(0).cast("long"))
-    good = counts.join(seen, "_key", "left").agg(
-        total(F.col("_n")).alias("_good"), total(fresh).alias("added"),
-        total(~fresh).alias("skipped_known"), total(F.col("_n") - 1).alias("skipped_repeated"))
-    both = good.withColumn("_one", F.lit(1)).join(new.agg(failed).withColumn("_one", F.lit(1)), "_one")
-    return both.select((F.col("_good") + F.col("failed")).alias("scanned"), "added", "skipped_known", "skipped_repeated", "failed")
+    return counts.join(seen, "_key", "left").agg(
+        total(F.col("_n")).alias("scanned"), total(fresh).alias("added"), total(good & ~fresh).alias("skipped_known"),
+        total(F.when(good, F.col("_n") - 1)).alias("skipped_repeated"), total(F.when(~good, F.col("_n"))).alias("failed"))
 
 
 def admit(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
